@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import packing, sharding, simhash
 
 QUERIES = {
     "op1_simhash_neardup": simhash.op1_simhash,
+    "op7_bestfit_packing": packing.op7_packing,
+    "op10_rendezvous_sharding": sharding.op10_sharding,
 }
 ORACLES: dict[str, str] = {}
