@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, sharding, simhash
+from . import chat, matroska, mixing, packing, sharding, simhash
 
 QUERIES = {
     "op1_simhash_neardup": simhash.op1_simhash,
+    "op6_matroska_columns": matroska.op6_media,
     "op7_bestfit_packing": packing.op7_packing,
+    "op8_chat_prefix_target": chat.op8_chat,
+    "op9_source_mixing": mixing.op9_mixing,
     "op10_rendezvous_sharding": sharding.op10_sharding,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_chat_prefix_target": chat.ORACLE, "op9_source_mixing": mixing.ORACLE}
