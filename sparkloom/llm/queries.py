@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat, matroska, mixing, packing, sharding, simhash
+from . import chat, gru, language, matroska, mixing, packing, quality, rabitq, sharding, simhash
 
 QUERIES = {
     "op1_simhash_neardup": simhash.op1_simhash,
+    "op2_quality_rff": quality.op2_quality,
+    "op3_rabitq_ann": rabitq.op3_ann,
+    "op4_gru_lm": gru.op4_lm,
+    "op5_language_hierarchy": language.op5_language,
     "op6_matroska_columns": matroska.op6_media,
     "op7_bestfit_packing": packing.op7_packing,
     "op8_chat_prefix_target": chat.op8_chat,
     "op9_source_mixing": mixing.op9_mixing,
     "op10_rendezvous_sharding": sharding.op10_sharding,
 }
-ORACLES: dict[str, str] = {"op8_chat_prefix_target": chat.ORACLE, "op9_source_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op3_rabitq_ann": rabitq.ORACLE, "op8_chat_prefix_target": chat.ORACLE, "op9_source_mixing": mixing.ORACLE}
