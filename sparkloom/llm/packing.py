@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,17 +26,49 @@ CAPACITY = 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: Words on which the vocabulary's normalizer does nothing but lower-case: printable ASCII and the letters of Latin-1.
+_PLAIN = regex.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_SPECIAL = ("<|startoftext|>", "<|endoftext|>")
+#: How the vocabulary cuts a word before merging (a fixed value of its file).
+_CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """The visible character that stands for each byte: itself where Latin-1 shows it, else the next from U+0100 on."""
+    shown = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in shown else chr(next(rest)) for b in range(256)}
+
+
 class WordCache:
     """Token ids of a text as little-endian uint32 bytes, looked up by white-space-delimited word.
 
-    The vocabulary's patterns never cross ASCII white space, so a text's ids are its words' ids in a row; a word is
-    encoded once and kept until ``limit`` words are held.
+    The vocabulary's patterns never cross ASCII white space, so a text's ids are its words' ids in a row. A word met for
+    the first time is cut by the vocabulary's own pattern and its parts, kept too, go straight to the merging model;
+    words beyond plain Latin letters, marks and digits go through the whole tokenizer. Both caches are emptied when
+    they hold ``limit`` entries.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
-        self.tok, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        self.tok, self.limit, self.known, self.parts = Tokenizer.from_file(path), limit, {}, {}
+        self.model, self.alphabet = self.tok.model, _byte_alphabet()
+
+    def _part(self, part: str) -> bytes:
+        got = self.parts.get(part)
+        if got is None:
+            if len(self.parts) > self.limit:
+                self.parts.clear()
+            merged = self.model.tokenize(part.encode("utf-8").decode("latin-1").translate(self.alphabet))
+            got = self.parts[part] = b"".join([t.id.to_bytes(4, "little") for t in merged])
+        return got
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if _PLAIN.fullmatch(text) and not any(s in text for s in _SPECIAL):
+            return b"".join(map(self._part, _CUT.findall(text.lower())))
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
         words = text.encode("utf-8", "surrogatepass").split() if text else []
@@ -46,11 +79,9 @@ class WordCache:
             pass
         if len(known) > self.limit:
             known.clear()
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tok.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        for w in words:
+            if w not in known:
+                known[w] = self._word(w)
         return b"".join([known[w] for w in words])
 
 
