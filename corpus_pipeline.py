@@ -1,4 +1,71 @@
-STAGES = []
+"""From raw documents to packed training sequences: quality, language, near-duplicates, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns
+of ``docs``. ``run`` writes each stage's rows to the shared folder and reads them back for the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkloom.llm import language, mixing, packing, quality, simhash
+from sparkloom.llm.common import durable, free_name, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects (score below 0.3) go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter or without a language that the machines agree on (score below 0.5) go."""
+    return language.keep_identified(docs, language.fit(docs))
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: that with the smallest doc_id.
+
+    Rows that repeat a doc_id are copies of each other: one of them stays, the first by text. Rows without a doc_id
+    take one from their text, beyond 2^62, so that they give way to documents that have one.
+    """
+    mark, own = free_name(docs.columns, "_keep"), free_name(docs.columns, "_own")
+    beyond = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2)
+    named = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), beyond))
+    found = durable(simhash.near_duplicates(named, id_col=own), "dedup-classes")
+    rows, ids = found.select(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias(mark))
+    kept = named.join(keep, F.col(own) == F.col(mark), "left_semi")
+    if rows != ids:  # some id repeats: its rows meet, which the usual table is spared
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        kept = kept.groupBy(own).agg(F.min_by(whole, F.coalesce("text", F.lit(""))).alias("r")).select("r.*")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents come as often as the mix takes them; one that it takes in part comes with just those words."""
+    return mixing.mixed_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("language ID", language_stage),
+    ("SimHash near-dedup", dedup_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: The classifiers, fingerprints and tokens are not SQL's to compute; the tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = durable(stage(spark, docs, sf_dir), f"stage-{name.split()[0].lower()}")
+    return docs
