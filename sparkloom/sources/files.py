@@ -46,7 +46,7 @@ def write(df: DataFrame, path: str, mode: str = "errorifexists", **options: str)
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     w = df.write.mode(mode).options(**options)
     if kind == "csv":
-        w.option("header", "true").csv(path)
+        w.option("header", "true").option("escape", '"').csv(path)
     elif kind in ("json", "jsonl", "ndjson"):
         w.json(path)
     elif kind in ("parquet", "orc"):
