@@ -124,24 +124,26 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     give nothing.
     """
     taken = mix(docs, id_col=id_col, text_col=text_col, **options)
-    per_id = taken.groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_sizes")).withColumnRenamed("doc_id", "_id").where("_taken > 0")
-    rows = docs.withColumn("_size", F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long"))
-    rows = rows.where("_size > 0").join(per_id, rows[id_col].cast("long").eqNullSafe(F.col("_id")))
-    rows = rows.withColumn("_t", F.when(F.col("_sizes") == F.col("_size"), F.col("_taken")).otherwise(F.floor(F.col("_taken") / F.col("_sizes") * F.col("_size"))))
-    rows = rows.withColumn("_whole", F.floor(F.col("_t") / F.col("_size"))).withColumn("_rest", (F.col("_t") % F.col("_size")).cast("int"))
-    part = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1)), 1, F.greatest(F.col("_rest"), F.lit(1))), " ")
+    per_id = taken.groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("sizes")).where("taken > 0")
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # whole rows ride in one column, so that no name can clash
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(doc.alias("doc"), F.col(id_col).cast("long").alias("id"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
+    rows = rows.where("size > 0").join(per_id, F.col("id").eqNullSafe(F.col("doc_id")))
+    own = F.when(F.col("sizes") == F.col("size"), F.col("taken")).otherwise(F.floor(F.col("taken") / F.col("sizes") * F.col("size")))
+    rows = rows.withColumn("t", own).withColumns({"whole": F.floor(F.col("t") / F.col("size")), "rest": (F.col("t") % F.col("size")).cast("int")})
     # copy 0 is the part; 1, 2, ... are whole
-    copies = F.filter(F.sequence(F.lit(0).cast("long"), F.col("_whole")), lambda k: (k > 0) | (F.col("_rest") > 0))
-    rows = rows.withColumn("_copy", F.explode(copies))
-    rows = rows.withColumn("_text", F.when(F.col("_copy") > 0, F.col(text_col)).otherwise(part))
+    copies = F.filter(F.sequence(F.lit(0).cast("long"), F.col("whole")), lambda k: (k > 0) | (F.col("rest") > 0))
+    rows = rows.withColumn("copy", F.explode(copies))
+    body, is_whole = F.col("doc").getField(text_col), F.col("copy") > 0
+    part = F.array_join(F.slice(F.regexp_extract_all(body, F.lit(f"({WORD})"), F.lit(1)), 1, F.greatest(F.col("rest"), F.lit(1))), " ")
     out = []
     for c in docs.columns:
         if c == text_col:
-            out.append(F.col("_text").alias(c))
+            out.append(F.when(is_whole, body).otherwise(part).alias(c))
         elif c == "n_chars":
-            out.append(F.when(F.col("_copy") > 0, F.col(c)).otherwise(F.char_length("_text").cast(docs.schema[c].dataType)).alias(c))
+            out.append(F.when(is_whole, F.col("doc").getField(c)).otherwise(F.char_length(part).cast(docs.schema[c].dataType)).alias(c))
         else:
-            out.append(F.col(c))
+            out.append(F.col("doc").getField(c).alias(c))
     return rows.select(*out)
 
 
