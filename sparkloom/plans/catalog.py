@@ -399,8 +399,8 @@ def sample_rounded(spark, d):
 
 @query()
 def sample_unique_quota(spark, d):
-    c = t(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("text")).withColumn("stratum", F.least("n", F.lit(4)))
-    return Q.unique_quota(c.select("stratum", "conv_id", F.sha2("text", 256).alias("family")), "stratum", "conv_id", ["family"], 2).select("stratum", "conv_id")
+    docs = t(spark, d, "documents").select("lang", "doc_id", F.sha2("text", 256).alias("family"))
+    return Q.unique_quota(docs, "lang", "doc_id", ["family"], 10).select("lang", "doc_id")
 
 
 @query("SELECT lang, doc_id, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) <= 40 THEN 'calibration' ELSE 'holdout' END AS split FROM documents")
