@@ -89,7 +89,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0,
     total, block = int(total), max(1, min(MOST_BLOCK, int(total) // SLOTS))
     sources = durable(source_targets(sized, weights, cap).coalesce(1), "mix-sources")
     named = _name(sized, sources)
-    digits = max(1, math.ceil(math.log(max(2, rows / 8192), 16)))
+    digits = max(2, math.ceil(math.log(max(2, rows / 2048), 16)))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     keyed = named.where("size > 0").withColumn("k", key).withColumn("bucket", F.substring("k", 1, digits))
     sums = keyed.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
