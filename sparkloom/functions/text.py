@@ -95,6 +95,20 @@ def nfc(c: Column | str) -> Column:
     return run(col(c).cast("string"))
 
 
+def demojize(c: Column | str) -> Column:
+    """Pictographs as `` :name: `` from their Unicode names; an Arrow UDF. Names are Unicode's, not a chat program's."""
+    pictograph = re.compile("[\u203c\u2049\u2139\u2190-\u21ff\u2300-\u23ff\u2460-\u24ff\u25a0-\u27bf\u2900-\u297f\u2b00-\u2bff\U0001f000-\U0001faff]")
+
+    def name(m: re.Match) -> str:
+        return f" :{unicodedata.name(m[0], 'symbol').lower().replace(' ', '_').replace('-', '_')}: "
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: pictograph.sub(name, t), na_action="ignore")
+
+    return run(col(c).cast("string"))
+
+
 def author_key(c: Column | str) -> Column:
     a = squeeze(F.lower(text_of(c)))
     return F.when(a.isin("[deleted]", "deleted", "none", "nan", "[removed]"), F.lit("")).otherwise(a)

@@ -72,9 +72,15 @@ def terms(df: DataFrame, doc: str, text: str, grams: int = 1, stop: list[str] =
     return d.select(doc, F.explode(F.concat(*runs) if len(runs) > 1 else runs[0]).alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf(tf: DataFrame, doc: str, documents: int, min_df: int = 1, max_share: float = 1.0) -> DataFrame:
-    """(doc, term, weight): smoothed inverse document frequency, rows of length 1. No window spans a term."""
-    df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where((F.col("df") >= min_df) & (F.col("df") <= max_share * documents))
+def tfidf(tf: DataFrame, doc: str, documents: int, min_df: int = 1, max_share: float = 1.0, max_terms: int | None = None) -> DataFrame:
+    """(doc, term, weight): smoothed inverse document frequency, rows of length 1. No window spans a term.
+
+    ``max_terms`` keeps the terms that occur most often in all, ties by term: a vocabulary limit, part of the measure.
+    """
+    df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).where((F.col("df") >= min_df) & (F.col("df") <= max_share * documents))
+    if max_terms is not None:
+        df_ = df_.orderBy(F.desc("total"), "term").limit(max_terms)
+    df_ = df_.drop("total")
     raw = tf.join(df_, "term").withColumn("_w", F.col("tf") * (F.log((1.0 + documents) / (1.0 + F.col("df"))) + 1.0))
     size = raw.groupBy(doc).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_n"))
     return raw.join(size, doc).select(doc, "term", (F.col("_w") / F.col("_n")).alias("weight"))
@@ -129,3 +135,27 @@ def mapping_problems(mapping: DataFrame, groups: DataFrame, group: str, theme: s
     j = mapping.join(known, group, "left")
     why = F.when(F.col(group) == noise, "noise is mapped").when(F.col("_known").isNull(), "unknown group").when(F.coalesce(F.trim(theme), F.lit("")) == "", "no theme")
     return j.select(group, theme, why.alias("problem")).where("problem is not null")
+
+
+def dtm_terms(df: DataFrame, doc: str, text: str, stop: list[str], anchors: list[str] = ()) -> DataFrame:
+    """(doc, term, tf) of lower-case letter words without stop words, unless they are anchors."""
+    drop = [w for w in stop if w not in set(anchors)]
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z]+"), F.lit(0))
+    kept = F.filter(words, lambda w: ~w.isin(*drop)) if drop else words
+    return df.select(doc, F.explode(kept).alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def truncation_audit(df: DataFrame, text: str, limit: int = 256) -> DataFrame:
+    """How many texts an encoder of ``limit`` tokens would cut, by white-space words as a lower bound of tokens."""
+    n = F.size(F.split(F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " ")), " "))
+    d = df.select(n.alias("n"))
+    q = F.percentile("n", [0.5, 0.9, 0.95, 0.99])
+    return d.agg(F.count(F.lit(1)).alias("texts"), F.count_if(F.col("n") > limit).alias("cut"), *[q[i].alias(f"p{k}") for i, k in enumerate((50, 90, 95, 99))], F.max("n").alias("longest"))
+
+
+def alignment_problems(rows: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """Keys with a row and no vector, a vector and no row, or either more than once: (key, problem)."""
+    a = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_a"))
+    b = vectors.groupBy(key).agg(F.count(F.lit(1)).alias("_b"))
+    why = F.when(F.col("_a").isNull(), "vector without row").when(F.col("_b").isNull(), "row without vector").when((F.col("_a") > 1) | (F.col("_b") > 1), "repeated")
+    return a.join(b, key, "full").select(key, why.alias("problem")).where("problem is not null")

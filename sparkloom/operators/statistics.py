@@ -170,6 +170,14 @@ def confusion(df: DataFrame, groups: list[str], gold: Column, guess: Column, zer
     return g.select(*groups, "tp", "fp", "fn", "tn", div(tp, tp + fp).alias("precision"), div(tp, tp + fn).alias("recall"), div(2 * tp, 2 * tp + fp + fn).alias("f1"), div(tp + tn, tp + fp + fn + tn).alias("accuracy"))
 
 
+def policy_grid(df: DataFrame, gold: list[str], policies: list[str], keys: list[str] = ()) -> DataFrame:
+    """A confusion row for every (annotator, policy), the best F1 first: columns of 0/1 labels are unpivoted, not looped over."""
+    pairs = F.array(*[F.struct(F.lit(g).alias("annotator"), F.lit(p).alias("policy"), F.col(g).cast("int").alias("gold"), F.col(p).cast("int").alias("guess")) for g in gold for p in policies])
+    long = df.select(*keys, F.explode(pairs).alias("x")).select(*keys, "x.*")
+    grid = confusion(long, [*keys, "annotator", "policy"], F.col("gold") == 1, F.col("guess") == 1)
+    return grid.orderBy(F.desc_nulls_last("f1"), *keys, "annotator", "policy")
+
+
 def threshold_sweep(df: DataFrame, score: str, gold: Column, thresholds: list[float], zero: float | None = 0.0) -> DataFrame:
     """A confusion row for each threshold (score above it). Rows meet thresholds after a histogram of the few cut points."""
     ts = sorted(thresholds)

@@ -590,6 +590,35 @@ def centroid_groups(spark, d):
     return clustering.group_centroids(M.centroids(t(spark, d, "embeddings"), "label", "embedding"), "label", "centroid", 4)
 
 
+@query(r"SELECT count(*) AS texts, count(*) FILTER (n > 256) AS cut, quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.9) AS p90, quantile_cont(n, 0.95) AS p95, quantile_cont(n, 0.99) AS p99, CAST(max(n) AS INT) AS longest FROM (SELECT len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) AS n FROM documents)")
+def truncation_audit(spark, d):
+    return M.truncation_audit(t(spark, d, "documents"), "text", 256)
+
+
+@query("SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents) WHERE term NOT IN ('the', 'of', 'und') GROUP BY ALL")
+def dtm_terms(spark, d):
+    return M.dtm_terms(t(spark, d, "documents"), "doc_id", "text", ["the", "of", "und", "and"], ["and"])
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'row without vector' ELSE 'vector without row' END AS problem FROM documents WHERE (doc_id % 5 = 0) <> (doc_id % 7 = 0)")
+def alignment_problems(spark, d):
+    docs = t(spark, d, "documents").select("doc_id")
+    return M.alignment_problems(docs.where("doc_id % 5 = 0"), docs.where("doc_id % 7 = 0"), "doc_id")
+
+
+@query("""WITH l AS (SELECT quality AS a1, 1 - toxic AS a2, CAST(doc_id % 3 > 0 AS INT) AS strict, CAST(doc_id % 2 AS INT) AS loose FROM labels), x AS (SELECT unnest(['a1', 'a1', 'a2', 'a2']) AS annotator, unnest(['strict', 'loose', 'strict', 'loose']) AS policy, unnest([a1, a1, a2, a2]) AS g, unnest([strict, loose, strict, loose]) AS p FROM l),
+c AS (SELECT annotator, policy, count(*) FILTER (g = 1 AND p = 1) AS tp, count(*) FILTER (g = 0 AND p = 1) AS fp, count(*) FILTER (g = 1 AND p = 0) AS fn, count(*) FILTER (g = 0 AND p = 0) AS tn FROM x GROUP BY ALL)
+SELECT *, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy FROM c""")
+def policy_grid(spark, d):
+    l = t(spark, d, "labels").select(F.col("quality").alias("a1"), (1 - F.col("toxic")).alias("a2"), (F.col("doc_id") % 3 > 0).cast("int").alias("strict"), (F.col("doc_id") % 2).cast("int").alias("loose"))  # noqa: E741
+    return rounded(K.policy_grid(l, ["a1", "a2"], ["strict", "loose"]))
+
+
+@query()
+def density_topics(spark, d):
+    return rounded(clustering.density_topics(M.centroids(t(spark, d, "embeddings"), "label", "embedding"), "label", "centroid", 2, 1))
+
+
 # --- near-duplicates -------------------------------------------------------------------------------------------------------
 
 
@@ -605,6 +634,12 @@ def char_gram_neighbours(spark, d):
     return rounded(neardup.best_neighbour(w, 0.5))
 
 
+@query()
+def near_duplicate_audit(spark, d):
+    c = t(spark, d, "conversations").where("role = 'user'").withColumn("key", F.format_string("%d-%d", "conv_id", "turn"))
+    return rounded(neardup.near_duplicate_audit(c, "key", "text", "role", "role", 0.6))
+
+
 @query("""WITH r AS (SELECT DISTINCT o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_custkey % 5 = 0), k AS (SELECT o_custkey FROM r GROUP BY 1 HAVING count(DISTINCT o_orderstatus) = 1)
 SELECT o_custkey, o_orderstatus, o_orderpriority FROM r JOIN k USING (o_custkey) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) = 1""")
 def registration_dedup(spark, d):

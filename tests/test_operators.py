@@ -190,3 +190,30 @@ def test_epoch_detection(spark):
 def test_snowflake(spark):
     d = spark.createDataFrame([(str((1_700_000_000_000 - C.SNOWFLAKE_EPOCH_MS) << 22),)], "id string")
     assert str(d.select(C.snowflake_time("id").alias("t")).first().t) == "2023-11-14 22:13:20"
+
+
+def test_density_clusters_find_two_blobs_and_noise():
+    rng = np.random.default_rng(0)
+    x = np.vstack([rng.normal(0, 0.1, (30, 2)), rng.normal(5, 0.1, (25, 2)), [[2.5, -9.0]]])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    labels, strength = clustering.density_clusters(d, 10, 5)
+    assert len(set(labels[:30]) - {-1}) == 1 and len(set(labels[30:55]) - {-1}) == 1 and labels[0] != labels[31] and labels[55] == -1
+    assert (labels[:55] >= 0).mean() > 0.8 and strength.max() == 1.0 and strength[55] == 0
+
+
+def test_near_duplicate_audit_and_flags(spark):
+    base = "a rather long sentence about nothing in particular that is repeated"
+    rows = [("p1", base, "c", "ann", 2), ("p2", base + "!", "c", "ann", 1), ("p3", base + "?", "c", "bob", 3), ("p4", "short", "c", "ann", 4), ("p5", "something else entirely with enough words and characters in it", "c", None, 5), ("q1", base, "x", "ann", 6)]
+    d = spark.createDataFrame(rows, "k string, t string, kind string, who string, at int")
+    pairs = neardup.near_duplicate_audit(d, "k", "t", "kind", "who", 0.9, min_df=1)
+    got = {(r.kind, r.a, r.b): r.same_author for r in pairs.collect()}
+    assert set(got) <= {("c", "p1", "p2"), ("c", "p1", "p3"), ("c", "p2", "p3")} and len(got) >= 2 and got.get(("c", "p1", "p2"), True)
+    flags = {r.k: r.is_near_duplicate_repeat for r in neardup.near_repeat_flags(d, pairs, "k", "at", 0.9).collect()}
+    assert not flags["p2"] and not flags["p3"] and not flags["p4"] and sum(flags.values()) == int(("c", "p1", "p2") in got)
+
+
+def test_demojize(spark):
+    from sparkloom.functions.text import demojize
+
+    d = spark.createDataFrame([("hi \U0001f600!",), (None,), ("plain",)], "t string").coalesce(1)
+    assert [r.v for r in d.select(demojize("t").alias("v")).collect()] == ["hi  :grinning_face: !", None, "plain"]
