@@ -85,16 +85,17 @@ def within_radius(fp: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
             r = rows[cut : cut + (1 << 16)]
             tile = r // 64 + step
             count, over = [np.zeros(len(r), dtype=np.uint64) for _ in range(counters)], np.zeros(len(r), dtype=np.uint64)
-            for b in range(64):
-                carry = planes[b, tile] ^ (np.uint64(0) - ((fp[r] >> np.uint64(b)) & np.uint64(1)))
-                for k in range(counters):
+            for b in range(0, 64, 2):  # a full adder takes two planes and the ones; carries go up a counter each
+                one = planes[b, tile] ^ (np.uint64(0) - ((fp[r] >> np.uint64(b)) & np.uint64(1)))
+                two = planes[b + 1, tile] ^ (np.uint64(0) - ((fp[r] >> np.uint64(b + 1)) & np.uint64(1)))
+                half = count[0] ^ one
+                carry = (count[0] & one) | (half & two)
+                count[0] = half ^ two
+                for k in range(1, counters):
                     carry, count[k] = count[k] & carry, count[k] ^ carry
                 over |= carry
                 if b >= 8 and b % 8 == 0:
-                    passed = over.copy()
-                    if radius + 1 < 1 << counters:
-                        passed |= _beyond(count, radius)
-                    keep = np.flatnonzero(passed != full)
+                    keep = np.flatnonzero((over | _beyond(count, radius)) != full)
                     if len(keep) < len(r) // 2:  # abandon words in which all 64 distances have passed the radius
                         r, tile, over, count = r[keep], tile[keep], over[keep], [c[keep] for c in count]
                         if not len(r):
