@@ -23,8 +23,9 @@ from pyspark.sql import Window
 
 from .common import durable, table
 
-#: Rows in a block of the index and of the queries; at 1,000 dimensions a pair is about 300 MB.
-ROW_BLOCK, QUERY_BLOCK = 1 << 16, 1 << 12
+#: Rows in a block: a thirty-second of the index within these bounds, and queries in a block. A pair of the largest blocks
+#: takes about 100 MB at 64 dimensions.
+ROW_BLOCKS, LEAST_ROWS, MOST_ROWS, QUERY_BLOCK = 32, 1 << 12, 1 << 17, 1 << 12
 #: Width of the error bound in standard errors: a true neighbour is passed over with a chance below 1 in 100, near the k-th only.
 EPSILON = 2.5
 
@@ -125,7 +126,7 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     return good.select("id", "dim", "vec").mapInPandas(run, INDEX), centres
 
 
-def search(index: DataFrame, centres: dict[int, np.ndarray], queries: Column, k: int = 20, row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK, seed: int = 0) -> DataFrame:
+def search(index: DataFrame, centres: dict[int, np.ndarray], queries: Column, k: int = 20, row_block: int | None = None, query_block: int = QUERY_BLOCK, seed: int = 0) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for each row of ``index`` that ``queries`` (a condition on id) selects, its
     ``k`` nearest other rows of its dimension by inner product, ties to the smaller id.
 
@@ -133,6 +134,7 @@ def search(index: DataFrame, centres: dict[int, np.ndarray], queries: Column, k:
     (the best). An empty index or no queries give no rows; fewer candidates than ``k`` give as many as there are.
     """
     n, m = index.agg(F.count(F.lit(1)), F.count_if(queries)).first()
+    row_block = row_block or min(MOST_ROWS, max(LEAST_ROWS, -(-n // ROW_BLOCKS)))
     row_blocks, query_blocks = max(1, -(-n // row_block)), max(1, -(-m // query_block))
     rows = index.withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(row_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     asked = index.where(queries).select("id", "dim", "vec").dropDuplicates(["id"])
