@@ -622,7 +622,11 @@ def density_topics(spark, d):
 # --- near-duplicates -------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(r"""WITH RECURSIVE w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)])) AS s FROM w WHERE len(w) >= 20), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL), e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c / (x.n + y.n - c) >= 0.85),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node)
+SELECT node AS key, min(root) AS family FROM r GROUP BY 1""")
 def near_families(spark, d):
     return neardup.near_families(t(spark, d, "documents"), "doc_id", "text")
 
