@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import fold, table
 
 MODULUS, HELD_OUT = 3, 1
-MAX_ROWS = 2_000
+MAX_ROWS = 1_500
 BITS2, BITS3 = 10, 12
 DIM = (1 << BITS2) + (1 << BITS3)
 UNKNOWN = "und"
