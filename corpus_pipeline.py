@@ -43,8 +43,10 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as the mix takes them; one that it takes in part comes with just those words."""
-    return mixing.mixed_documents(docs)
+    """Documents come as often as the mix takes them; one that it takes in part comes with just those words.
+
+    Every source gives its target to the word, however small it is beside the corpus."""
+    return mixing.mixed_documents(docs, exact=True)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

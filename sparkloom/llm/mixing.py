@@ -69,13 +69,16 @@ def schedule(sources: DataFrame, total: int, block: int, cap: float = 3.0) -> Da
     return ranked.where(F.col("rank") < F.col("blocks") * int(cap)).select("slot", "sid", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", exact: bool = False) -> DataFrame:
     """Rows (doc_id, size, source_size, target, taken), one for each row of ``docs``.
 
     taken counts the words that the mix takes from the row, repeats counted, at most ``cap`` times its size. A source's
     blocks wear evenly: the first few of its shuffled order are taken once more than the rest. Null texts have size 0
     and give nothing; null sources are one source, last; repeated rows are rows of their own; an empty table gives no
     rows; other columns are not read.
+
+    The schedule gives whole slots, so that a source of few blocks misses its target by up to a few of them. With
+    ``exact`` a source gives its target to the word instead: whole rounds, then the first words of its shuffled order.
     """
     sized = durable(
         docs.select(
@@ -98,15 +101,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0,
     inside = Window.partitionBy("sid", "bucket").orderBy("k", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = keyed.withColumn("upto", F.sum("size").over(inside)).join(sums, ["sid", "bucket"])
     laid = laid.select("doc_id", "size", "sid", (F.col("base") + F.col("upto") - F.col("size")).alias("start"))
+    if exact:
+        due = sources.select("sid", F.round("target").cast("long").alias("due"), F.col("source_size").alias("all_"))
+        rounds, rest = F.expr("due div all_"), F.col("due") % F.col("all_")
+        extra = F.greatest(F.lit(0), F.least("size", rest - F.col("start")))
+        taken = laid.join(due, "sid").select("sid", "start", "doc_id", "size", (rounds * F.col("size") + extra).alias("taken"))
+    else:
+        taken = _by_slots(laid, sources, total, block, cap)
+    none = named.where("size = 0").select("sid", F.lit(-1).cast("long").alias("start"), "doc_id", "size", F.lit(0).cast("long").alias("taken"))
+    out = taken.unionByName(none).join(sources.select("sid", "source_size", "target"), "sid")
+    return out.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+
+
+def _by_slots(laid: DataFrame, sources: DataFrame, total: int, block: int, cap: float) -> DataFrame:
+    """Rows (sid, start, doc_id, size, taken): documents cut into blocks, each taken once for every slot that names it."""
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     cut = laid.withColumn("block", F.explode(F.sequence(first, last)))
     words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
     uses = schedule(sources, total, block, cap).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("uses"))
     taken = cut.withColumn("words", words).join(uses, ["sid", "block"], "left")
-    taken = taken.groupBy("sid", "start", "doc_id", "size").agg(F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).alias("taken"))
-    none = named.where("size = 0").select("sid", F.lit(-1).cast("long").alias("start"), "doc_id", "size", F.lit(0).cast("long").alias("taken"))
-    out = taken.unionByName(none).join(sources.select("sid", "source_size", "target"), "sid")
-    return out.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    return taken.groupBy("sid", "start", "doc_id", "size").agg(F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).alias("taken"))
 
 
 def _name(sized: DataFrame, sources: DataFrame) -> DataFrame:

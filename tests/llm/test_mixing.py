@@ -86,3 +86,19 @@ def test_empty_and_native(spark):
     out = mixing.mixed_documents(spark.createDataFrame(corpus()[:50], SCHEMA))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_small_sources_of_a_large_corpus_get_their_targets(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(mixing, "SLOTS", 64)  # blocks as coarse as those of a corpus of hundreds of millions of words
+    sizes = {"a": [900] * 40, "b": [7, 20], "c": [300] * 2, "d": [1000] * 30, "e": [50] * 90}
+    rows = [(1000 * k + i, " ".join(["w"] * n), s, None, 1) for k, (s, ns) in enumerate(sizes.items()) for i, n in enumerate(ns)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = defaultdict(int)
+    for r in corpus_pipeline.mixing_stage(spark, df, "").collect():
+        got[r.source] += len(r.text.split())
+    for s, t in targets({s: sum(ns) for s, ns in sizes.items()}).items():
+        assert got[s] == round(t), s
+    for r in mixing.mix(df, exact=True).collect():
+        assert r.taken <= 3 * r.size
