@@ -4,7 +4,7 @@ Counts of every training word come from one pass and one aggregate over the corp
 token and spelling buckets for all other words are the model's outputs, factored into classes: log P(class) + log
 P(output | class), and for a word in a bucket + log P(word | bucket) from the counts. So every text has a proper
 probability. The network is plain numpy: warm-started on the driver from a bounded sample by truncated backpropagation,
-then refined on the executors over a fixed share of all training documents, whose parameters are averaged.
+then refined on the executors over all training documents, in tasks of about equally many, whose parameters are averaged.
 
 Scoring is one pass: documents of a batch are dealt to lanes, lanes run window by window, and a lane's state is carried
 from window to window (and cleared between documents), so a text of any length is scored whole in bounded memory. The
@@ -33,8 +33,8 @@ HEAD = 200_000
 HIDDEN, CLASSES, WIDTH, BUCKETS = 32, 32, 64, 128
 OUTPUTS = CLASSES * WIDTH
 WINDOW, LANES = 32, 256
-#: Training: documents of the driver's sample, its steps, and the refinement's share of all training documents.
-WARM_DOCS, WARM_STEPS, REFINE_ONE_IN, REFINERS = 1500, 450, 50, 32
+#: Training: documents of the driver's sample, its steps, documents of a refiner, and models averaged in one task.
+WARM_DOCS, WARM_STEPS, REFINER_DOCS, FAN_IN = 1500, 450, 2000, 16
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -225,7 +225,8 @@ class Network:
         return float(loss / count), grad, h
 
     def train(self, docs: list[np.ndarray], steps: int | None, rate: float, lanes: int = 64, seed: int = 0) -> int:
-        """Truncated backpropagation with Adam over ``docs`` (arrays of outputs), round and round for ``steps`` windows, or once."""
+        """Truncated backpropagation with Adam over ``docs`` (arrays of outputs), round and round for ``steps`` windows, or once
+        over every token: what the lanes do not divide is a lane of its own, last."""
         docs = [d for d in docs if len(d)]
         if not docs:
             return 0
@@ -238,27 +239,28 @@ class Network:
             before = np.concatenate([[0], stream[:-1]]).astype(np.int32)
             fresh = (before == 0).astype(np.float32)
             use = min(lanes, max(1, len(stream) // WINDOW))
-            length = len(stream) // use // WINDOW * WINDOW or len(stream) // use
-            cut = lambda a: a[: use * length].reshape(use, length)  # noqa: B023, E731
-            inp, tgt, new = cut(before), cut(stream), cut(fresh)
-            new[:, 0] = 1
-            h = np.zeros((use, HIDDEN), np.float32)
-            for at in range(0, length, WINDOW):
-                if steps is not None and done >= steps:
-                    break
-                w = slice(at, at + WINDOW)
-                _, grad, h = self.gradients(inp[:, w], tgt[:, w], new[:, w], h)
-                done += 1
-                tokens += inp[:, w].size
-                lr = rate * min(1.0, done / 20) * (1.0 if steps is None else max(0.1, 1 - done / steps))
-                norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-                shrink = min(1.0, 1.0 / (norm + 1e-12))
-                for n in self.NAMES:
-                    g = grad[n] * np.float32(shrink)
-                    m[n] += np.float32(0.1) * (g - m[n])
-                    v[n] += np.float32(0.01) * (g * g - v[n])
-                    a = np.float32(lr / (1 - 0.9**done))
-                    getattr(self, n)[...] -= a * m[n] / (np.sqrt(v[n] / np.float32(1 - 0.99**done)) + np.float32(1e-7))
+            length = len(stream) // use if steps is None else len(stream) // use // WINDOW * WINDOW or len(stream) // use
+            blocks = [(slice(0, use * length), use)] + ([(slice(use * length, None), 1)] if steps is None and use * length < len(stream) else [])
+            for span, wide in blocks:
+                inp, tgt, new = before[span].reshape(wide, -1), stream[span].reshape(wide, -1), fresh[span].reshape(wide, -1)
+                new[:, 0] = 1
+                h = np.zeros((wide, HIDDEN), np.float32)
+                for at in range(0, inp.shape[1], WINDOW):
+                    if steps is not None and done >= steps:
+                        break
+                    w = slice(at, at + WINDOW)
+                    _, grad, h = self.gradients(inp[:, w], tgt[:, w], new[:, w], h)
+                    done += 1
+                    tokens += inp[:, w].size
+                    lr = rate * min(1.0, done / 20) * (1.0 if steps is None else max(0.1, 1 - done / steps))
+                    norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+                    shrink = min(1.0, 1.0 / (norm + 1e-12))
+                    for n in self.NAMES:
+                        g = grad[n] * np.float32(shrink)
+                        m[n] += np.float32(0.1) * (g - m[n])
+                        v[n] += np.float32(0.01) * (g * g - v[n])
+                        a = np.float32(lr / (1 - 0.9**done))
+                        getattr(self, n)[...] -= a * m[n] / (np.sqrt(v[n] / np.float32(1 - 0.99**done)) + np.float32(1e-7))
             if steps is None:
                 break
         return tokens
@@ -319,7 +321,7 @@ def _outputs(words: list[bytes], lex: Lexicon) -> tuple[np.ndarray, np.ndarray,
 
 
 def learn(docs: DataFrame, lex: Lexicon, counts: np.ndarray, seed: int = 0) -> Network:
-    """Warm start on the driver, then refinement on executors and a mean weighted by tokens. ``docs``: (id, text), training rows."""
+    """Warm start on the driver, then refinement on executors over every row and a mean weighted by tokens. ``docs``: (id, text), training rows."""
     net = Network(counts, seed)
     n = docs.count()
     shared = docs.sparkSession.sparkContext.broadcast(lex)
@@ -346,20 +348,42 @@ def learn(docs: DataFrame, lex: Lexicon, counts: np.ndarray, seed: int = 0) -> N
                     held, size = [], 0
         tokens += own.train(held, None, 0.001, seed=seed)
         if tokens:
-            yield pd.DataFrame({"p": [own.parameters().tobytes()], "n": [tokens]})
-
-    share = hashed.where(F.pmod(F.xxhash64("h"), F.lit(REFINE_ONE_IN)) == 0)
-    tasks = max(1, min(REFINERS, n // REFINE_ONE_IN // 1000))
-    sets = share.select("h", "text").mapInPandas(encode, "h long, ids binary").repartition(tasks, "h").sortWithinPartitions("h", "ids")
-    total, mean = 0, np.zeros(len(start))
-    for r in sets.mapInPandas(refine, "p binary, n long").toLocalIterator():  # at most REFINERS rows of one model each
-        mean += np.frombuffer(r.p, np.float32).astype(np.float64) * r.n
-        total += r.n
-    if total:
-        net.load(mean / total)
+            yield pd.DataFrame({"at": [TaskContext.get().partitionId()], "p": [own.parameters().tobytes()], "n": [tokens]})
+
+    tasks = max(1, -(-n // REFINER_DOCS))
+    sets = hashed.select("h", "text").mapInPandas(encode, "h long, ids binary").repartition(tasks, "h", "ids").sortWithinPartitions("h", "ids")
+    models = durable(sets.mapInPandas(refine, MODEL), "lm-models")
+    highest = models.agg(F.max("at")).first()[0]
+    if highest is not None:
+        net.load(np.frombuffer(mean_model(models, highest + 1).first().p, np.float64))
     return net
 
 
+MODEL = "at long, p binary, n long"
+
+
+def mean_model(models: DataFrame, tasks: int) -> DataFrame:
+    """At most one row (at, p, n): the mean of ``models``' parameters (float32), weighted by n, in float64.
+
+    Models meet FAN_IN at a time, level upon level, so no task holds many and the driver gets one.
+    """
+
+    def mean(f: pd.DataFrame) -> pd.DataFrame:
+        f, total = f.sort_values("at"), int(f["n"].sum())
+        p = sum(np.frombuffer(b, np.float64) * (n / total) for b, n in zip(f["p"], f["n"], strict=True))
+        return pd.DataFrame({"at": [int(f["at"].iloc[0]) // FAN_IN], "p": [p.tobytes()], "n": [total]})
+
+    def widen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            yield f.assign(p=[np.frombuffer(b, np.float32).astype(np.float64).tobytes() for b in f["p"]])
+
+    out, left = models.mapInPandas(widen, MODEL), tasks
+    while True:
+        out, left = out.groupBy(F.floor(F.col("at") / FAN_IN)).applyInPandas(mean, MODEL), -(-left // FAN_IN)
+        if left <= 1:
+            return out
+
+
 PASS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<string>"
 
 

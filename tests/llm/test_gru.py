@@ -88,3 +88,23 @@ def test_empty_and_nothing_to_learn(spark):
     lone = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
     out = gru.score_documents(spark.createDataFrame([(lone, "x y")], "doc_id long, text string")).first()
     assert (out.n_tokens, out.n_known, out.train_tokens, out.base_score) == (3, 0, 0, 0.0)
+
+
+def test_every_training_document_reaches_the_network(spark, monkeypatch):
+    models, keep = [], gru.durable
+    monkeypatch.setattr(gru, "durable", lambda df, tag: models.append(keep(df, tag)) or models[-1])
+    monkeypatch.setattr(gru, "WARM_STEPS", 2)
+    monkeypatch.setattr(gru, "REFINER_DOCS", 40, raising=False)
+    df = spark.createDataFrame([(i, f"a{i % 7} b{i % 5}") for i in range(300)], "id long, text string")
+    lex, outputs = gru.build_lexicon(gru.word_counts(df), 300)
+    gru.learn(df, lex, outputs)
+    assert sum(r.n for m in models for r in m.collect()) == 300 * 3
+
+
+def test_mean_of_models(spark):
+    rng = np.random.default_rng(5)
+    p, n = rng.standard_normal((40, 6)).astype(np.float32), rng.integers(1, 9, 40)
+    rows = [(i, p[i].tobytes(), int(n[i])) for i in range(40)]
+    got = gru.mean_model(spark.createDataFrame(rows, gru.MODEL), 40).collect()
+    assert len(got) == 1 and got[0].n == n.sum()
+    assert np.allclose(np.frombuffer(got[0].p, np.float64), np.average(p.astype(np.float64), axis=0, weights=n))
