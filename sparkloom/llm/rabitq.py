@@ -61,7 +61,8 @@ def search_block(
     ids: np.ndarray, x: np.ndarray, codes: tuple[np.ndarray, np.ndarray, np.ndarray],
     query_ids: np.ndarray, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int, epsilon: float = EPSILON,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """For each query the ``k`` nearest rows of the block, by (score down, id up): query ids, ids, scores, rows reranked."""
+    """For each query the ``k`` nearest ids of the block, each by its best row, by (score down, id up): query ids, ids, scores,
+    rows reranked."""
     bits, length, fit = codes
     d = x.shape[1]
     rotated = queries.astype(np.float64) @ turn
@@ -69,6 +70,7 @@ def search_block(
     spread = length * np.sqrt(np.maximum(0, 1 - fit * fit)) / fit * (epsilon / np.sqrt(max(1, d - 1)))
     signs = np.unpackbits(bits, axis=1, count=d).astype(np.float32) * 2 - 1
     gain = (length / (fit * np.sqrt(d))).astype(np.float32)
+    repeats = len(np.unique(ids)) < len(ids)
     out_q, out_i, out_s, reranked = [], [], [], 0
     for at in range(0, len(queries), 256):
         part = slice(at, at + 256)
@@ -81,15 +83,22 @@ def search_block(
             upper = e + bound
             upper[own] = -np.inf
             e[own] = -np.inf
-            first = np.argpartition(-e, 2 * k)[: 2 * k] if len(ids) > 2 * k else np.arange(len(ids))
-            first = first[e[first] > -np.inf]
+            others, width = len(ids) - len(own), 2 * k
+            while True:  # once, but where ids repeat so often that the best rows are of fewer than k of them
+                first = np.argpartition(-e, width)[:width] if len(ids) > width else np.arange(len(ids))
+                first = first[e[first] > -np.inf]
+                sure = exact(x[first], queries[q]) if len(first) else np.empty(0)
+                sure = sure[_best(ids[first], sure, k, repeats)]
+                if len(sure) >= k or len(first) >= others or not len(first):
+                    break
+                width *= 4
             if not len(first):
                 continue
-            floor = np.sort(exact(x[first], queries[q]))[-k] if len(first) >= k else -np.inf
-            chosen = np.flatnonzero(upper >= floor - 1e-9 * abs(floor)) if len(first) < len(ids) - len(own) else first
+            floor = sure[-1] if len(sure) >= k else -np.inf
+            chosen = np.flatnonzero(upper >= floor - 1e-9 * abs(floor)) if len(first) < others else first
             scores = exact(x[chosen], queries[q])
             reranked += len(chosen)
-            best = np.lexsort((ids[chosen], -scores))[:k]
+            best = _best(ids[chosen], scores, k, repeats)
             out_q.append(np.full(len(best), query_ids[q]))
             out_i.append(ids[chosen[best]])
             out_s.append(scores[best])
@@ -98,6 +107,14 @@ def search_block(
     return np.concatenate(out_q), np.concatenate(out_i), np.concatenate(out_s), reranked
 
 
+def _best(ids: np.ndarray, scores: np.ndarray, k: int, repeats: bool) -> np.ndarray:
+    """Places of the ``k`` best ids by (score down, id up), each at its best row."""
+    order = np.lexsort((ids, -scores))
+    if repeats:
+        order = order[np.sort(np.unique(ids[order], return_index=True)[1])]
+    return order[:k]
+
+
 INDEX = "id long, dim int, vec array<float>, code binary, length double, fit double"
 
 
@@ -147,7 +164,7 @@ def search(index: DataFrame, centres: dict[int, np.ndarray], queries: Column, k:
         d = int(a["dim"].iloc[0])
         codes = (np.stack([np.frombuffer(c, np.uint8) for c in a["code"]]), a["length"].to_numpy(), a["fit"].to_numpy())
         got = search_block(a["id"].to_numpy(), np.stack(a["vec"].to_numpy()), codes, q["id"].to_numpy(), np.stack(q["vec"].to_numpy()), centres[d], rotation(d, seed), k)
-        return pd.DataFrame({"query_id": got[0], "vec_id": got[1], "score": got[2]}).drop_duplicates(["query_id", "vec_id"])
+        return pd.DataFrame({"query_id": got[0], "vec_id": got[1], "score": got[2]})
 
     found = rows.groupBy("dim", "rb", "qb").cogroup(asked.groupBy("dim", "rb", "qb")).applyInPandas(pair, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -48,3 +48,20 @@ def test_bound_prunes_and_recall_is_high():
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert rabitq.nearest(df).count() == 0
+
+
+def test_repeated_ids_are_one_neighbour_and_take_one_place(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(np.float32(x)) for x in rng.standard_normal(12)]) for i in range(300)]
+    near = [float(np.float32(x)) for x in np.array(rows[20][1]) * 3]
+    copies = rows + rows + [(301, near)] * 200 + [(301, [-x for x in near])] * 5  # each row twice; one id fills many places
+    df = spark.createDataFrame(copies, "vec_id long, embedding array<float>")
+    index, centres = rabitq.build_index(df)
+    got = rabitq.search(index, centres, F.col("id") % 20 == 0, 20, row_block=5000).collect()
+    want = brute([*rows, (301, near)], 20)  # the better row of 301 for query 20
+    found = {(r.query_id, r.rank): (r.vec_id, r.score) for r in got}
+    assert found.keys() == want.keys()
+    assert all(found[20, r] == want[20, r] for r in range(1, 21))
+    assert all(len({found[q, r][0] for r in range(1, 21)}) == 20 for q, n in found if n == 1)
