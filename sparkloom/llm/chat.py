@@ -72,7 +72,9 @@ def expand(formatted: DataFrame) -> DataFrame:
 def read_back(formatted: DataFrame) -> DataFrame:
     """Rows (conv_id, turns, targets, formatted_chars), parsed from the rendered text and its examples alone.
 
-    turns: array of (role, text); targets: the trainable texts, one an example, in order. Both unescaped.
+    turns: array of (role, text); targets: the trainable texts as their spans cut them, one an example, in order. Both
+    unescaped. A span is cut from its own segment, as a cut from the whole text would walk it from its beginning each
+    time; a context that does not end where that segment begins is an error.
     """
     segs = formatted.select("conv_id", "formatted", "examples", F.split("formatted", r"<\|im_end\|>\n").alias("s"))
     segs = segs.withColumn("s", F.slice("s", 1, F.size("s") - 1))
@@ -86,7 +88,13 @@ def read_back(formatted: DataFrame) -> DataFrame:
             ),
         ),
     )
-    return cut.select("conv_id", "turns", F.transform("examples", lambda e: F.get("turns", e["segment"])["text"]).alias("targets"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+    # how far an example's segment is from that of the one before it, for context_end to be held against
+    chars = lambda a, b: F.aggregate(F.slice("s", (a + 1).cast("int"), (b - a).cast("int")), F.lit(0).cast("long"), lambda n, x: n + F.char_length(x) + F.lit(len(END)))
+    last = lambda i, field: F.when(i > 0, F.get("examples", i - 1)[field].cast("long")).otherwise(F.lit(0).cast("long"))
+    follows = lambda e, i: e["context_end"] - last(i, "context_end") == chars(last(i, "segment"), e["segment"])
+    span = lambda e: F.substr(F.get("s", e["segment"]), (e["target_start"] - e["context_end"] + 1).cast("int"), (e["target_end"] - e["target_start"]).cast("int"))
+    targets = F.transform("examples", lambda e, i: F.when(follows(e, i), unescape(span(e))).otherwise(F.raise_error(F.lit("a context does not end where its example's turn begins")).cast("string")))
+    return cut.select("conv_id", "turns", targets.alias("targets"), F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
 def digests(formatted: DataFrame) -> DataFrame:

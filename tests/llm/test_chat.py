@@ -57,3 +57,19 @@ def test_empty_and_native(spark):
     assert out.count() == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_digests_follow_the_spans(spark):
+    import pytest
+
+    data = [(1, 0, "user", "ask", None), (1, 1, "assistant", "answer", None), (1, 2, "user", "more", None), (1, 3, "assistant", "reply", None)]
+    stored = chat.format_conversations(spark.createDataFrame(data, SCHEMA))
+    moved = lambda **by: stored.withColumn("examples", F.transform("examples", lambda e, i: F.struct(e["segment"], *[(e[c] + F.when(i == 1, by.get(c, 0)).otherwise(0)).alias(c) for c in ("context_end", "target_start", "target_end")])))
+    loss = lambda df: chat.digests(df).first().loss_sha256
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert loss(moved()) == sha("answerreply")
+    assert loss(moved(target_start=1)) == sha("answereply")
+    assert loss(moved(target_end=-1)) == sha("answerrepl")
+    for by in ({"context_end": 1}, {"context_end": 1, "target_start": 1, "target_end": 1}):
+        with pytest.raises(Exception, match="context"):
+            loss(moved(**by))
