@@ -141,11 +141,31 @@ def index_table(spark: SparkSession, n: int, draws: int, block: float, seed: int
     return spark.createDataFrame(pd.DataFrame({"draw": np.repeat(np.arange(draws), n), "pos": np.tile(np.arange(n), draws), "idx": idx.ravel()}), "draw int, pos int, idx int")
 
 
+def index_tables(lengths: DataFrame, draws: int, block: float, seed: int) -> DataFrame:
+    """Rows (n, draw, pos, idx) for every distinct ``n`` of ``lengths``, made on the executors; a length's generator has
+    the seed ``seed`` + 100 ``block`` + n."""
+
+    def run(batches):
+        for f in batches:
+            for n in map(int, f["n"]):
+                idx = stationary_indices(n, draws, block, int(seed + 100 * block + n))
+                yield pd.DataFrame({"n": np.full(draws * n, n), "draw": np.repeat(np.arange(draws), n), "pos": np.tile(np.arange(n), draws), "idx": idx.ravel()})
+
+    return lengths.select(F.col("n").cast("int").alias("n")).distinct().mapInPandas(run, "n int, draw int, pos int, idx int")
+
+
 def bootstrap_correlations(pairs: DataFrame, groups: list[str], order: str, indices: DataFrame, rank: bool = False) -> DataFrame:
-    """(groups, draw, r): both series resampled by the same positions; ``rank`` ranks within each draw."""
+    """(groups, draw, r): both series resampled by the same positions; ``rank`` ranks within each draw.
+
+    ``indices`` is an index_table, for groups of its length only (others are an error), or index_tables.
+    """
     w = Window.partitionBy(*(groups or [F.lit(1)]))
-    d = pairs.withColumn("idx", F.row_number().over(w.orderBy(order)) - 1)
-    drawn = d.join(indices, "idx")
+    d = pairs.withColumns({"idx": F.row_number().over(w.orderBy(order)) - 1, "n": F.count(F.lit(1)).over(w).cast("int")})
+    if "n" not in indices.columns:
+        indices = indices.withColumn("n", F.lit((indices.agg(F.max("pos")).first()[0] or 0) + 1))
+    lengths = [r.n for r in indices.select("n").distinct().collect()]  # a row a length
+    unknown = F.raise_error(F.concat(F.lit("no indices for a series of length "), F.col("n").cast("string"))).cast("int")
+    drawn = d.withColumn("n", F.when(F.col("n").isin(lengths), F.col("n")).otherwise(unknown)).join(indices, ["n", "idx"])
     if rank:
         drawn = drawn.withColumns({"x": average_rank("x", [*groups, "draw"]), "y": average_rank("y", [*groups, "draw"])})
     return drawn.groupBy(*groups, "draw").agg(correlation("x", "y").alias("r"))

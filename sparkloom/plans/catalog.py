@@ -465,8 +465,8 @@ def benjamini_hochberg(spark, d):
 @query()
 def bootstrap_intervals(spark, d):
     s = series(spark, d)
-    n = s.groupBy("area").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0] or 1
-    draws = K.bootstrap_correlations(s, ["area"], "month", K.index_table(spark, n, 200, 3, 20260909))
+    lengths = s.groupBy("area").agg(F.count(F.lit(1)).alias("n"))
+    draws = K.bootstrap_correlations(s, ["area"], "month", K.index_tables(lengths, 4999, 3, 20260909))
     return rounded(K.intervals(draws, ["area"]))
 
 

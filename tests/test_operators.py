@@ -217,3 +217,18 @@ def test_demojize(spark):
 
     d = spark.createDataFrame([("hi \U0001f600!",), (None,), ("plain",)], "t string").coalesce(1)
     assert [r.v for r in d.select(demojize("t").alias("v")).collect()] == ["hi  :grinning_face: !", None, "plain"]
+
+
+def test_bootstrap_takes_every_row_of_series_of_unequal_length(spark):
+    x, y = np.random.default_rng(2).standard_normal((2, 14))
+    sizes = {"a": 5, "b": 14}
+    d = spark.createDataFrame([(g, i, float(x[i]), float(y[i])) for g, n in sizes.items() for i in range(n)], "g string, week int, x double, y double")
+    lengths = d.groupBy("g").count().withColumnRenamed("count", "n")
+    got = {(r.g, r.draw): r.r for r in K.bootstrap_correlations(d, ["g"], "week", K.index_tables(lengths, 30, 3, 1)).collect()}
+    for g, n in sizes.items():
+        idx = K.stationary_indices(n, 30, 3, 1 + 300 + n)
+        for k in range(30):
+            if len(set(idx[k])) > 2:
+                assert math.isclose(got[g, k], np.corrcoef(x[idx[k]], y[idx[k]])[0, 1], abs_tol=1e-9)
+    with pytest.raises(Exception, match="no indices"):
+        K.bootstrap_correlations(d, ["g"], "week", K.index_table(spark, 5, 30, 3, 1)).collect()
