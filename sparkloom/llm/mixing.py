@@ -2,7 +2,8 @@
 
 Slot i of the mix sits at frac(i * golden ratio) on the cumulative target weights, which names its source; the slot's
 rank among its source's slots names a block of equally many words of that source's shuffled documents, round and round.
-Low discrepancy keeps every stretch of the mix near the target weights.
+Low discrepancy keeps every stretch of the mix near the target weights; a source's last slot is cut, or the missing ones
+are appended, so that its words add up to its target.
 
 At scale: text is read once, for its number of words. No window spans a source: documents are ordered within
 (source, hash bucket) and slots within (source, chunk), with running totals over the small per-bucket sums. Slots meet
@@ -23,6 +24,8 @@ GOLDEN = 0.6180339887498949
 #: Slots to aim at, and the most words in a block.
 SLOTS, MOST_BLOCK = 1 << 17, 4096
 CELLS, CHUNK = 1 << 12, 1 << 16
+#: Rows of a group of like rows that one task writes out at a time.
+COPIES = 1 << 14
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
@@ -47,38 +50,53 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
 
 
 def schedule(sources: DataFrame, total: int, block: int, cap: float = 3.0) -> DataFrame:
-    """Rows (slot, sid, rank, block): the mix in order. ``rank`` counts a source's slots from 0."""
-    spark = sources.sparkSession
-    upto = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = sources.withColumn("hi_", F.sum("target").over(upto) / F.lit(float(total)))
-    cut = cut.withColumn("lo_", F.coalesce(F.lag("hi_").over(Window.orderBy("sid")), F.lit(0.0)))
-    cut = cut.withColumn("hi_", F.when(F.lead("sid").over(Window.orderBy("sid")).isNull(), F.lit(2.0)).otherwise(F.col("hi_")))
-    cells = cut.where("hi_ > lo_").select(
-        "sid", "lo_", "hi_", F.ceil(F.col("source_size") / F.lit(float(block))).cast("long").alias("blocks"),
-        F.explode(F.sequence(F.least(F.floor(F.col("lo_") * CELLS), F.lit(CELLS - 1)), F.least(F.floor(F.col("hi_") * CELLS), F.lit(CELLS - 1)))).alias("cell"),
-    ).where("blocks > 0")
-    slots = spark.range(-(-total // block)).select(F.col("id").alias("slot"), F.expr(f"id * {GOLDEN!r}D - floor(id * {GOLDEN!r}D)").alias("u"))
+    """Rows (slot, sid, rank, block, words, part): the mix in order. ``rank`` counts a source's slots from 0.
+
+    A source's due is its target to the word. The slot of its last rank takes only the first ``words`` of its block where
+    less is due (``part``). What the golden ratio deals a source beyond its due is void; ranks that it deals too few take the
+    void slots and then follow after all others. So every source gives its due, however small it is beside a block.
+    """
+    spark, deal = sources.sparkSession, -(-total // block)
+    in_turn = Window.orderBy("sid")
+    upto = in_turn.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = sources.where("source_size > 0 and target > 0").withColumn("hi_", F.sum("target").over(upto) / F.lit(float(total)))
+    cut = cut.withColumn("lo_", F.coalesce(F.lag("hi_").over(in_turn), F.lit(0.0)))
+    cut = cut.withColumn("hi_", F.when(F.lead("sid").over(in_turn).isNull(), F.lit(2.0)).otherwise(F.col("hi_")))
+    cut = cut.withColumn("blocks", F.ceil(F.col("source_size") / F.lit(float(block))).cast("long")).withColumn("due", F.round("target").cast("long"))
+    cut = cut.withColumn("rest", F.col("due") % F.col("source_size")).withColumn("end_blocks", F.ceil(F.col("rest") / F.lit(float(block))).cast("long"))
+    cut = cut.withColumn("ranks", F.expr("due div source_size") * F.col("blocks") + F.col("end_blocks"))
+    due = durable(cut.select("sid", "lo_", "hi_", "source_size", "blocks", "rest", "end_blocks", "ranks"), "mix-due")
+    cells = due.select("sid", "lo_", "hi_", "ranks", F.explode(F.sequence(F.least(F.floor(F.col("lo_") * CELLS), F.lit(CELLS - 1)), F.least(F.floor(F.col("hi_") * CELLS), F.lit(CELLS - 1)))).alias("cell"))
+    slots = spark.range(deal).select(F.col("id").alias("slot"), F.expr(f"id * {GOLDEN!r}D - floor(id * {GOLDEN!r}D)").alias("u"))
     slots = slots.withColumn("cell", F.floor(F.col("u") * CELLS)).withColumn("chunk", F.floor(F.col("slot") / CHUNK))
-    named = slots.join(cells, "cell").where("u >= lo_ and u < hi_").select("slot", "chunk", "sid", "blocks")
-    sums = named.groupBy("sid", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    named = slots.join(cells, "cell").where("u >= lo_ and u < hi_").select("slot", "chunk", "sid", "ranks")
+    sums = durable(named.groupBy("sid", "chunk").agg(F.count(F.lit(1)).alias("n")), "mix-chunks")
     before = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("sid", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    based = lambda sums: sums.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
     inside = Window.partitionBy("sid", "chunk").orderBy("slot")
-    ranked = named.withColumn("r", F.row_number().over(inside) - 1).join(sums, ["sid", "chunk"])
-    ranked = ranked.withColumn("rank", F.col("base") + F.col("r"))
-    return ranked.where(F.col("rank") < F.col("blocks") * int(cap)).select("slot", "sid", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
-
-
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", exact: bool = False) -> DataFrame:
+    last = based(sums).join(due.select("sid", "ranks"), "sid").where("base + n > ranks").select("sid", "chunk", "base", "ranks")
+    void = named.select("slot", "chunk", "sid").join(last, ["sid", "chunk"]).withColumn("rank", F.col("base") + F.row_number().over(inside) - 1).where("rank >= ranks")
+    void = durable(void.select("slot", (F.row_number().over(Window.orderBy("slot")) - 1).cast("long").alias("at")), "mix-void")  # a few a source, as what is late
+    late = due.join(sums.groupBy("sid").agg(F.sum("n").alias("got")), "sid", "left").withColumn("few", F.greatest(F.lit(0), F.col("ranks") - F.coalesce("got", F.lit(0))))
+    late = late.withColumn("at", F.sum("few").over(upto) - F.col("few")).where("few > 0").select("sid", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("few") - 1)).alias("at"))
+    late = late.join(void, "at", "left").select(F.coalesce("slot", F.col("at") + deal).alias("slot"), "sid")
+    named = durable(named.select("slot", "sid").join(void, "slot", "left_anti").unionByName(late), "mix-slots").withColumn("chunk", F.floor(F.col("slot") / CHUNK))
+    base = based(named.groupBy("sid", "chunk").agg(F.count(F.lit(1)).alias("n"))).drop("n")
+    ranked = named.withColumn("r", F.row_number().over(inside) - 1).join(base, ["sid", "chunk"])
+    placed = ranked.select("slot", "sid", (F.col("base") + F.col("r")).alias("rank")).join(due.drop("lo_", "hi_"), "sid")
+    placed = placed.withColumn("block", F.col("rank") % F.col("blocks")).withColumn("part", (F.col("rank") == F.col("ranks") - 1) & (F.col("rest") > 0))
+    whole = F.least(F.lit(block).cast("long"), F.col("source_size") - F.col("block") * block)
+    return placed.select("slot", "sid", "rank", "block", F.when(F.col("part"), F.col("rest") - (F.col("end_blocks") - 1) * block).otherwise(whole).alias("words"), "part")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Rows (doc_id, size, source_size, target, taken), one for each row of ``docs``.
 
     taken counts the words that the mix takes from the row, repeats counted, at most ``cap`` times its size. A source's
     blocks wear evenly: the first few of its shuffled order are taken once more than the rest. Null texts have size 0
     and give nothing; null sources are one source, last; repeated rows are rows of their own; an empty table gives no
-    rows; other columns are not read.
-
-    The schedule gives whole slots, so that a source of few blocks misses its target by up to a few of them. With
-    ``exact`` a source gives its target to the word instead: whole rounds, then the first words of its shuffled order.
+    rows; other columns are not read. Rows alike in source, id and size are laid out as one group, so that no id, null
+    ones included, can fill a window.
     """
     sized = durable(
         docs.select(
@@ -92,22 +110,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0,
     total, block = int(total), max(1, min(MOST_BLOCK, int(total) // SLOTS))
     sources = durable(source_targets(sized, weights, cap).coalesce(1), "mix-sources")
     named = _name(sized, sources)
+    groups = durable(named.where("size > 0").groupBy("sid", "doc_id", "size").agg(F.count(F.lit(1)).alias("n")), "mix-groups")
+    most = groups.agg(F.max("n")).first()[0] or 0
     digits = max(2, math.ceil(math.log(max(2, rows / 2048), 16)))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    keyed = named.where("size > 0").withColumn("k", key).withColumn("bucket", F.substring("k", 1, digits))
-    sums = keyed.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
+    keyed = groups.withColumn("all_", F.col("n") * F.col("size")).withColumn("k", key).withColumn("bucket", F.substring("k", 1, digits))
+    sums = keyed.groupBy("sid", "bucket").agg(F.sum("all_").alias("s"))
     before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("sid", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    sums = sums.select("sid", "bucket", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("sid", "bucket").orderBy("k", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    laid = keyed.withColumn("upto", F.sum("size").over(inside)).join(sums, ["sid", "bucket"])
-    laid = laid.select("doc_id", "size", "sid", (F.col("base") + F.col("upto") - F.col("size")).alias("start"))
-    if exact:
-        due = sources.select("sid", F.round("target").cast("long").alias("due"), F.col("source_size").alias("all_"))
-        rounds, rest = F.expr("due div all_"), F.col("due") % F.col("all_")
-        extra = F.greatest(F.lit(0), F.least("size", rest - F.col("start")))
-        taken = laid.join(due, "sid").select("sid", "start", "doc_id", "size", (rounds * F.col("size") + extra).alias("taken"))
-    else:
-        taken = _by_slots(laid, sources, total, block, cap)
+    laid = keyed.withColumn("upto", F.sum("all_").over(inside)).join(sums, ["sid", "bucket"])
+    laid = laid.select("doc_id", "size", "sid", "n", (F.col("base") + F.col("upto") - F.col("all_")).alias("start"))
+    if most > COPIES:  # large groups are dealt out in chunks before their rows are written one by one
+        laid = laid.withColumn("from_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long")))).repartition(max(1, -(-rows // (64 * COPIES))), F.xxhash64("sid", "start", "from_"))
+        laid = laid.select("doc_id", "size", "sid", F.least(F.col("n") - F.col("from_"), F.lit(COPIES)).alias("n"), (F.col("start") + F.col("from_") * F.col("size")).alias("start"))
+    if most > 1:
+        laid = laid.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("start", F.col("start") + F.col("i") * F.col("size"))
+    taken = _by_slots(laid.select("doc_id", "size", "sid", "start"), sources, total, block, cap)
     none = named.where("size = 0").select("sid", F.lit(-1).cast("long").alias("start"), "doc_id", "size", F.lit(0).cast("long").alias("taken"))
     out = taken.unionByName(none).join(sources.select("sid", "source_size", "target"), "sid")
     return out.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
@@ -117,10 +136,12 @@ def _by_slots(laid: DataFrame, sources: DataFrame, total: int, block: int, cap:
     """Rows (sid, start, doc_id, size, taken): documents cut into blocks, each taken once for every slot that names it."""
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     cut = laid.withColumn("block", F.explode(F.sequence(first, last)))
-    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    uses = schedule(sources, total, block, cap).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("uses"))
-    taken = cut.withColumn("words", words).join(uses, ["sid", "block"], "left")
-    return taken.groupBy("sid", "start", "doc_id", "size").agg(F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).alias("taken"))
+    begin = F.greatest(F.col("start"), F.col("block") * block) - F.col("block") * block
+    end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.col("block") * block
+    uses = schedule(sources, total, block, cap).groupBy("sid", "block").agg(F.count_if(~F.col("part")).alias("uses"), F.max(F.when(F.col("part"), F.col("words"))).alias("first_words"))
+    taken = cut.withColumn("begin", begin).withColumn("end", end).join(uses, ["sid", "block"], "left")
+    words = (F.col("end") - F.col("begin")) * F.coalesce("uses", F.lit(0)) + F.greatest(F.lit(0), F.least("end", F.coalesce("first_words", F.lit(0))) - F.col("begin"))
+    return taken.groupBy("sid", "start", "doc_id", "size").agg(F.sum(words).alias("taken"))
 
 
 def _name(sized: DataFrame, sources: DataFrame) -> DataFrame:
@@ -167,7 +188,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size FROM documents),
-t AS (SELECT sum(size)::BIGINT AS total, greatest(1, least({MOST_BLOCK}, (sum(size)::BIGINT) // {SLOTS}))::BIGINT AS block FROM d),
+t AS (SELECT sum(size)::BIGINT AS total FROM d),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM d GROUP BY source),
 s1 AS (SELECT *, CAST((sid - 1) % 3 + 1 AS DOUBLE) AS w, source_size * 3.0::DOUBLE AS cap FROM s0),
 s2 AS (SELECT *, cap / w AS ratio, (SELECT total FROM t) AS total,
@@ -175,12 +196,8 @@ s2 AS (SELECT *, cap / w AS ratio, (SELECT total FROM t) AS total,
    sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY cap / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS w_left FROM s1),
 s3 AS (SELECT *, max(CASE WHEN words_left / w_left <= ratio THEN words_left / w_left END) OVER () AS level FROM s2),
 s4 AS (SELECT source, sid, source_size, least(cap, level * w) AS target, total FROM s3),
-s5 AS (SELECT *, sum(target) OVER (ORDER BY sid) / total AS hi FROM s4),
-s6 AS (SELECT source, sid, source_size, target, coalesce(lag(hi) OVER (ORDER BY sid), 0.0) AS lo,
-   CASE WHEN lead(sid) OVER (ORDER BY sid) IS NULL THEN 2.0 ELSE hi END AS hi, ceil(source_size / block::DOUBLE)::BIGINT AS blocks, block FROM s5, t),
-u AS (SELECT i * {GOLDEN!r}::DOUBLE - floor(i * {GOLDEN!r}::DOUBLE) AS u FROM (SELECT unnest(range(0, (SELECT (total + block - 1) // block FROM t))) AS i)),
-k AS (SELECT sid, least(count(*), 3 * any_value(blocks)) AS k FROM u JOIN s6 ON u.u >= s6.lo AND u.u < s6.hi GROUP BY sid),
-e AS (SELECT s6.*, coalesce(k, 0) // greatest(blocks, 1) AS whole, coalesce(k, 0) % greatest(blocks, 1) * block AS extra FROM s6 LEFT JOIN k USING (sid)),
+e AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS whole,
+   CASE WHEN source_size > 0 THEN round(target)::BIGINT % source_size ELSE 0 END AS extra FROM s4),
 p AS (SELECT doc_id, size, source, sum(size) OVER (PARTITION BY source ORDER BY md5('mix:' || coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d)
 SELECT doc_id, p.size, source_size, target, CAST(whole * p.size + greatest(0, least(p.size, extra - start)) AS BIGINT) AS taken
 FROM p JOIN e ON p.source IS NOT DISTINCT FROM e.source

@@ -100,5 +100,16 @@ def test_small_sources_of_a_large_corpus_get_their_targets(spark, monkeypatch):
         got[r.source] += len(r.text.split())
     for s, t in targets({s: sum(ns) for s, ns in sizes.items()}).items():
         assert got[s] == round(t), s
-    for r in mixing.mix(df, exact=True).collect():
+    for r in mixing.mix(df).collect():
         assert r.taken <= 3 * r.size
+
+
+def test_groups_of_like_rows_and_null_ids_are_laid_out_row_by_row(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 7)
+    rows = [(None, "one two three", "a", None, 1)] * 100 + [(5, "one two", "a", None, 1)] * 30 + [(i, "w " * (i % 9), "b", None, 1) for i in range(10, 60)]
+    out = mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(out) == len(rows) and sum(r.doc_id is None for r in out) == 100 and sum(r.doc_id == 5 for r in out) == 30
+    sizes = {"a": 360, "b": sum(i % 9 for i in range(10, 60))}
+    want = targets(sizes)
+    assert sum(r.taken for r in out if r.source_size == 360) == round(want["a"]) and sum(r.taken for r in out if r.source_size != 360) == round(want["b"])
+    assert all(0 <= r.taken <= 3 * r.size for r in out)
