@@ -1,15 +1,16 @@
 """Scoring documents with a gated recurrent language model.
 
-Counts of every training word come from one pass and one aggregate over the corpus. The most frequent words, an end
+Counts of every word come from one pass and one aggregate over the corpus. The most frequent training words, an end
 token and spelling buckets for all other words are the model's outputs, factored into classes: log P(class) + log
 P(output | class), and for a word in a bucket + log P(word | bucket) from the counts. So every text has a proper
 probability. The network is plain numpy: warm-started on the driver from a bounded sample by truncated backpropagation,
 then refined on the executors over all training documents, in tasks of about equally many, whose parameters are averaged.
 
-Scoring is one pass: documents of a batch are dealt to lanes, lanes run window by window, and a lane's state is carried
-from window to window (and cleared between documents), so a text of any length is scored whole in bounded memory. The
-commonest ``HEAD`` words and their counts travel with the tasks; occurrences of rarer words, a small share, are joined
-to their counts by word. No frequent word is in that join, so it has no hot key.
+Texts are turned into outputs once, two bytes a token; training and scoring both read those. Scoring is one pass:
+documents are dealt to lanes, lanes run window by window, and a lane's state is carried from window to window (and
+cleared between documents), so a text of any length is scored whole in bounded memory. The commonest ``HEAD`` words of
+all documents and their counts travel with the tasks; occurrences of rarer words, a small share, are joined to their
+counts by word. No frequent word is in that join, wherever it occurs, so it has no hot key.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,41 +32,48 @@ from .common import durable, fold, table
 
 MODULUS, HELD_OUT = 10, 0
 HEAD = 200_000
-HIDDEN, CLASSES, WIDTH, BUCKETS = 32, 32, 64, 128
+HIDDEN, CLASSES, WIDTH, BUCKETS = 16, 32, 32, 128
 OUTPUTS = CLASSES * WIDTH
-WINDOW, LANES = 32, 256
+WINDOW, LANES = 32, 512
 #: Training: documents of the driver's sample, its steps, documents of a refiner, and models averaged in one task.
-WARM_DOCS, WARM_STEPS, REFINER_DOCS, FAN_IN = 1500, 450, 2000, 16
+WARM_DOCS, WARM_STEPS, REFINER_DOCS, FAN_IN = 1500, 300, 8000, 16
+REFINE_RATE = 0.002
 
 
 def words_of(text: str | None) -> list[bytes]:
+    """The words of a text as UTF-8, A-Z in lower case."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
 def bucket_of(word: bytes) -> int:
+    """A word's spelling bucket: by its last two bytes."""
     return zlib.crc32(word[-2:]) % BUCKETS
 
 
 def word_counts(docs: DataFrame, text_col: str = "text", flush: int = 200_000) -> DataFrame:
-    """Rows (word, c) over all of ``docs``; each task adds up what it has read before the shuffle."""
+    """Rows (word, c, a): training occurrences (rows with ``held_out`` false; all, if there is no such column) and all
+    occurrences of each word of ``docs``. Each task adds up what it has read before the shuffle; null texts have no words."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
 
-        def out() -> pd.DataFrame:
-            return pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in seen], "n": np.fromiter(seen.values(), dtype=np.int64, count=len(seen))})
+        def out() -> pa.RecordBatch:
+            words = list(seen[0].keys() | seen[1].keys())
+            c, h = (np.fromiter(map(s.__getitem__, words), dtype=np.int64, count=len(words)) for s in seen)
+            return pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in words], pa.string()), pa.array(c), pa.array(c + h)], ["word", "c", "a"])
 
         for f in batches:
-            for t in f["text"]:
-                seen.update(words_of(t))
-                if len(seen) > flush:
+            for t, h in zip(f.column("text").to_pylist(), f.column("held_out").to_pylist(), strict=True):
+                seen[h].update(words_of(t))
+                if len(seen[0]) + len(seen[1]) > flush:
                     yield out()
-                    seen = Counter()
-        if seen:
+                    seen = (Counter(), Counter())
+        if seen[0] or seen[1]:
             yield out()
 
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
-    return rows.mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    held = F.col("held_out") if "held_out" in docs.columns else F.lit(False)
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), held.alias("held_out")).where(F.col("text").isNotNull())
+    return rows.mapInArrow(run, "word string, c long, a long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("a").alias("a"))
 
 
 @dataclass
@@ -84,11 +93,11 @@ class Lexicon:
 
 
 def build_lexicon(counts: DataFrame, n_docs: int, head: int = HEAD) -> tuple[Lexicon, np.ndarray]:
-    """The lexicon and the counts of the model's outputs (end, buckets, words)."""
+    """The lexicon and the counts of the model's outputs (end, buckets, words). ``n_docs``: training documents."""
     bucket = F.pmod(F.crc32(F.substring(F.col("word").cast("binary"), -2, 2)), F.lit(BUCKETS)).cast("int")
-    sums = counts.groupBy(bucket.alias("b")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()  # BUCKETS rows
+    sums = counts.where("c > 0").groupBy(bucket.alias("b")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()  # BUCKETS rows
     # the head: as many steps of a logarithmic scale of counts, from the top, as hold at most ``head`` words
-    level = F.floor(F.log2(F.col("c").cast("double")) * 64)
+    level = F.floor(F.log2(F.col("a").cast("double")) * 64)
     steps = sorted(((r.s, r.n) for r in counts.groupBy(level.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)  # a few thousand rows at most
     held, lowest = 0, None
     for s, n in steps:
@@ -102,7 +111,7 @@ def build_lexicon(counts: DataFrame, n_docs: int, head: int = HEAD) -> tuple[Lex
         n_b[r.b], v_b[r.b] = r.c, r.v
     total = int(n_b.sum()) + n_docs
     distinct = int(v_b.sum()) + (n_docs > 0)
-    own = min(len(words), OUTPUTS - BUCKETS - 1)
+    own = min(int((c > 0).sum()), OUTPUTS - BUCKETS - 1)
     where = np.array([bucket_of(w) for w in words], dtype=np.int64).reshape(-1)
     for i in range(own):
         n_b[where[i]] -= c[i]
@@ -117,14 +126,14 @@ def build_lexicon(counts: DataFrame, n_docs: int, head: int = HEAD) -> tuple[Lex
     return lex, out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
 class Network:
-    """Gated recurrent unit with a class-factored softmax; output o is place ``place[o]`` of class ``cls[o]``."""
+    """Gated recurrent unit with a class-factored softmax; output o is place ``place[o]`` of class ``cls[o]``.
 
-    NAMES = ("x", "u", "wc", "bc", "ww", "bw")
+    The last row of ``wc`` and of each matrix of ``ww`` is its bias, met by a constant 1 behind the state. Gates are
+    (1 + tanh(a)) / 2. Sums run over rows sorted by class, so that each class is one product of matrices.
+    """
+
+    NAMES = ("x", "u", "wc", "ww")
 
     def __init__(self, counts: np.ndarray, seed: int = 0):
         rng, h = np.random.default_rng(seed), HIDDEN
@@ -136,95 +145,120 @@ class Network:
         total = np.log(np.exp(p).sum(axis=1))
         self.x = (rng.standard_normal((OUTPUTS, 3 * h)) * 0.1).astype(np.float32)
         self.u = (rng.standard_normal((h, 3 * h)) / np.sqrt(h)).astype(np.float32)
-        self.wc, self.bc = np.zeros((h, CLASSES), np.float32), (total - total.max()).astype(np.float32)
-        self.ww, self.bw = np.zeros((CLASSES, h, WIDTH), np.float32), (p - total[:, None]).astype(np.float32)
+        self.wc, self.ww = np.zeros((h + 1, CLASSES), np.float32), np.zeros((CLASSES, h + 1, WIDTH), np.float32)
+        self.wc[h], self.ww[:, h] = total - total.max(), p - total[:, None]
 
     def parameters(self) -> np.ndarray:
+        """All parameters in a row."""
         return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
 
     def load(self, flat: np.ndarray) -> None:
+        """Take over parameters that ``parameters`` gave."""
         at = 0
         for n in self.NAMES:
             old = getattr(self, n)
             setattr(self, n, flat[at : at + old.size].reshape(old.shape).astype(np.float32))
             at += old.size
 
-    def step(self, gates: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def step(self, gates: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The next state; the two gates side by side, the state's part in the candidate, the candidate."""
         k = HIDDEN
         r = h @ self.u
-        zr = _sigmoid(gates[:, : 2 * k] + r[:, : 2 * k])
-        z, g, un = zr[:, :k], zr[:, k:], r[:, 2 * k :]
-        n = np.tanh(gates[:, 2 * k :] + g * un)
-        return n + z * (h - n), z, g, un, n
-
-    def log_probs(self, hidden: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log P(target) for each row of ``hidden``."""
+        zr = gates[:, : 2 * k] + r[:, : 2 * k]
+        np.tanh(zr, out=zr)
+        zr *= 0.5
+        zr += 0.5
+        n = zr[:, k:] * r[:, 2 * k :]
+        n += gates[:, 2 * k :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= zr[:, :k]
+        new += n
+        return new, zr, r[:, 2 * k :], n
+
+    def _by_class(self, hidden: np.ndarray, target: np.ndarray) -> tuple:
+        """Exponentials over classes and, sorted by class, over the places of the target's class; rows, log P(target) sorted."""
         cls = self.cls[target]
-        logits = hidden @ self.wc + self.bc
-        logits -= logits.max(axis=1, keepdims=True)
-        rows = np.arange(len(target))
-        out = logits[rows, cls] - np.log(np.exp(logits).sum(axis=1))
         order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        edges = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
+        flat, cls, place, rows = hidden[order], cls[order], self.place[target[order]], np.arange(len(target))
+        outer, inner = flat @ self.wc, np.empty((len(target), WIDTH), flat.dtype)
         for c in range(CLASSES):
-            r = order[edges[c] : edges[c + 1]]
-            if len(r):
-                inner = hidden[r] @ self.ww[c] + self.bw[c]
-                inner -= inner.max(axis=1, keepdims=True)
-                out[r] += inner[np.arange(len(r)), self.place[target[r]]] - np.log(np.exp(inner).sum(axis=1))
+            a, b = edges[c], edges[c + 1]
+            if b > a:
+                np.matmul(flat[a:b], self.ww[c], out=inner[a:b])
+        for part, w in ((outer, self.wc), (inner, self.ww)):
+            if np.abs(w).sum(axis=-2).max() > 60:  # states are within 1: no exponential can overflow below that
+                part -= part.max(axis=1, keepdims=True)
+        log_p = outer[rows, cls] + inner[rows, place]
+        np.exp(outer, out=outer)
+        np.exp(inner, out=inner)
+        sum_o, sum_i = outer @ np.ones(CLASSES, outer.dtype), inner @ np.ones(WIDTH, inner.dtype)
+        log_p -= np.log(sum_o) + np.log(sum_i)
+        return outer, inner, sum_o, sum_i, order, edges, flat, cls, place, rows, log_p
+
+    def log_probs(self, hidden: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Natural log P(target) for each row of ``hidden``."""
+        ones = np.ones((len(hidden), 1), hidden.dtype)
+        got = self._by_class(np.concatenate([hidden, ones], axis=1), target)
+        out = np.empty_like(got[-1])
+        out[got[4]] = got[-1]
         return out
 
     def gradients(self, inp: np.ndarray, target: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[float, dict, np.ndarray]:
         """Mean loss, gradients and last state of one window (lanes x steps); the state's past is not followed."""
         b, t = inp.shape
-        k = HIDDEN
-        kept, hs = [], np.empty((t, b, k), np.float32)
-        gates = self.x[inp.T]
+        k, kind = HIDDEN, self.u.dtype
+        hs, past, zr, un, n = np.ones((t, b, k + 1), kind), np.empty((t, b, k), kind), np.empty((t, b, 2 * k), kind), np.empty((t, b, k), kind), np.empty((t, b, k), kind)
+        gates, stay = self.x[inp.T], (1 - fresh).T[:, :, None].astype(kind)
         for i in range(t):
-            h = h * (1 - fresh[:, i, None])
-            new, z, g, un, n = self.step(gates[i], h)
-            kept.append((h, z, g, un, n))
-            h = hs[i] = new
-        flat, tgt = hs.reshape(-1, k), target.T.ravel()
-        cls, place = self.cls[tgt], self.place[tgt]
-        rows, count = np.arange(len(tgt)), np.float32(len(tgt))
-        logits = flat @ self.wc + self.bc
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        loss = -np.log(p[rows, cls] + 1e-30).sum()
-        p[rows, cls] -= 1
-        p /= count
-        grad = {"wc": flat.T @ p, "bc": p.sum(axis=0), "ww": np.zeros_like(self.ww), "bw": np.zeros_like(self.bw), "u": np.zeros_like(self.u)}
-        dh = p @ self.wc.T
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+            np.multiply(h, stay[i], out=past[i])
+            h, zr[i], un[i], n[i] = self.step(gates[i], past[i])
+            hs[i, :, :k] = h
+        tgt = target.T.ravel()
+        outer, inner, sum_o, sum_i, order, edges, flat, cls, place, rows, log_p = self._by_class(hs.reshape(-1, k + 1), tgt)
+        count = len(tgt)
+        outer /= (sum_o * count)[:, None]
+        inner /= (sum_i * count)[:, None]
+        outer[rows, cls] -= 1 / count
+        inner[rows, place] -= 1 / count
+        grad = {"wc": flat.T @ outer, "ww": np.zeros_like(self.ww)}
+        back_rows = outer @ self.wc[:k].T
         for c in range(CLASSES):
-            r = order[edges[c] : edges[c + 1]]
-            if len(r):
-                inner = flat[r] @ self.ww[c] + self.bw[c]
-                q = np.exp(inner - inner.max(axis=1, keepdims=True))
-                q /= q.sum(axis=1, keepdims=True)
-                loss -= np.log(q[np.arange(len(r)), place[r]] + 1e-30).sum()
-                q[np.arange(len(r)), place[r]] -= 1
-                q /= count
-                grad["ww"][c], grad["bw"][c] = flat[r].T @ q, q.sum(axis=0)
-                dh[r] += q @ self.ww[c].T
+            lo, hi = edges[c], edges[c + 1]
+            if hi > lo:
+                np.matmul(flat[lo:hi].T, inner[lo:hi], out=grad["ww"][c])
+                back_rows[lo:hi] += inner[lo:hi] @ self.ww[c, :k].T
+        dh = np.empty_like(back_rows)
+        dh[order] = back_rows
         dh = dh.reshape(t, b, k)
-        back, dgates = np.zeros((b, k), np.float32), np.empty((t, b, 3 * k), np.float32)
+        z, g = zr[:, :, :k], zr[:, :, k:]
+        by_n = (1 - z) * (1 - n * n)
+        by_z = 2 * (past - n) * z * (1 - z)
+        by_g = 2 * un * g * (1 - g)
+        back, dgates, du = np.zeros((b, k), kind), np.empty((t, b, 3 * k), kind), np.empty((t, b, 3 * k), kind)
+        turned = np.ascontiguousarray(self.u.T)
         for i in reversed(range(t)):
-            h0, z, g, un, n = kept[i]
             d = dh[i] + back
-            dn = d * (1 - z) * (1 - n * n)
-            dz, dg = d * (h0 - n) * z * (1 - z), dn * un * g * (1 - g)
-            dgates[i] = np.concatenate([dz, dg, dn], axis=1)
-            du = np.concatenate([dz, dg, dn * g], axis=1)
-            grad["u"] += h0.T @ du
-            back = (d * z + du @ self.u.T) * (1 - fresh[:, i, None])
+            into, dn = dgates[i], d * by_n[i]
+            np.multiply(d, by_z[i], out=into[:, :k])
+            np.multiply(dn, by_g[i], out=into[:, k : 2 * k])
+            into[:, 2 * k :] = dn
+            du[i] = into
+            du[i, :, 2 * k :] *= g[i]
+            back = du[i] @ turned
+            d *= z[i]
+            back += d
+            back *= stay[i]
+        grad["u"] = past.reshape(-1, k).T @ du.reshape(-1, 3 * k)
+        at = inp.T.ravel()
+        sort = np.argsort(at, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], at[sort][1:] != at[sort][:-1]]))
         grad["x"] = np.zeros_like(self.x)
-        np.add.at(grad["x"], inp.T, dgates)
-        return float(loss / count), grad, h
+        grad["x"][at[sort[starts]]] = np.add.reduceat(dgates.reshape(-1, 3 * k)[sort], starts, axis=0)
+        return float(-log_p.sum() / count), grad, h
 
-    def train(self, docs: list[np.ndarray], steps: int | None, rate: float, lanes: int = 64, seed: int = 0) -> int:
+    def train(self, docs: list[np.ndarray], steps: int | None, rate: float, lanes: int = 128, seed: int = 0) -> int:
         """Truncated backpropagation with Adam over ``docs`` (arrays of outputs), round and round for ``steps`` windows, or once
         over every token: what the lanes do not divide is a lane of its own, last."""
         docs = [d for d in docs if len(d)]
@@ -266,42 +300,45 @@ class Network:
         return tokens
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each array of outputs (its end included)."""
+        """log10 probability of each array of outputs (its end included).
+
+        Lanes stand by length, longest first, so that those still running are the first of them in every window.
+        """
         sizes = np.array([len(d) for d in docs], dtype=np.int64)
         out = np.zeros(len(docs))
         if not len(docs) or not sizes.sum():
             return out
-        lanes = int(min(LANES, max(1, sizes.sum() // sizes.max())))
-        free = [(0, i) for i in range(lanes)]
-        line: list[list[int]] = [[] for _ in range(lanes)]
+        free = [(0, i) for i in range(int(min(LANES, max(1, sizes.sum() // WINDOW))))]
+        line: list[list[int]] = [[] for _ in free]
         for d in np.argsort(-sizes, kind="stable").tolist():
             n, i = heapq.heappop(free)
             line[i].append(d)
             heapq.heappush(free, (n + int(sizes[d]), i))
-        length = max(n for n, _ in free)
-        tgt, owner = np.zeros((length, lanes), np.int32), np.full((length, lanes), -1, np.int32)
-        inp, fresh = np.zeros((length, lanes), np.int32), np.zeros((length, lanes), bool)
-        for i, ds in enumerate(line):
-            at = 0
-            for d in ds:
-                n = len(docs[d])
-                tgt[at : at + n, i], owner[at : at + n, i] = docs[d], d
-                inp[at + 1 : at + n, i], fresh[at, i] = docs[d][:-1], True
-                at += n
-        h = np.zeros((lanes, HIDDEN), np.float32)
-        for at in range(0, length, WINDOW):
-            n = min(WINDOW, length - at)
-            hs = np.empty((n, lanes, HIDDEN), np.float32)
-            gates = self.x[inp[at : at + n]]
-            starts = fresh[at : at + n].any(axis=1)
+        line = [line[i] for n, i in sorted(free, reverse=True) if n]
+        order = np.concatenate(line)
+        tgt, owner = np.concatenate([docs[d] for d in order]).astype(np.int32), np.repeat(order, sizes[order])
+        fresh = np.concatenate([[True], owner[1:] != owner[:-1]])
+        inp = np.where(fresh, 0, np.concatenate([[0], tgt[:-1]])).astype(np.int32)
+        length = np.array([int(sizes[ds].sum()) for ds in line])
+        begin = np.concatenate([[0], np.cumsum(length)[:-1]])
+        h = np.zeros((len(line), HIDDEN), np.float32)
+        for at in range(0, int(length[0]), WINDOW):
+            live = int(np.searchsorted(-length, -at))  # lanes longer than ``at``
+            n = min(WINDOW, int(length[0]) - at)
+            where = at + np.arange(n)[:, None]
+            inside = where < length[:live]
+            index = np.where(inside, begin[:live] + where, 0)
+            hs, gates, new = np.empty((n, live, HIDDEN), np.float32), self.x[inp[index]], fresh[index] & inside
+            starts, h = new.any(axis=1).tolist(), h[:live]
             for i in range(n):
                 if starts[i]:
-                    h = np.where(fresh[at + i][:, None], np.float32(0), h)
+                    h = np.where(new[i][:, None], np.float32(0), h)
                 h = hs[i] = self.step(gates[i], h)[0]
-            own = owner[at : at + n].ravel()
-            live = np.flatnonzero(own >= 0)
-            p = self.log_probs(hs.reshape(-1, HIDDEN)[live], tgt[at : at + n].ravel()[live])
-            out += np.bincount(own[live], weights=p, minlength=len(docs))
+            if inside.all():
+                hidden, index = hs.reshape(-1, HIDDEN), index.ravel()
+            else:
+                hidden, index = hs[inside], index[inside]
+            out += np.bincount(owner[index], weights=self.log_probs(hidden, tgt[index]), minlength=len(docs))
         return out / np.log(10)
 
 
@@ -320,39 +357,71 @@ def _outputs(words: list[bytes], lex: Lexicon) -> tuple[np.ndarray, np.ndarray,
     return ids, out, []
 
 
-def learn(docs: DataFrame, lex: Lexicon, counts: np.ndarray, seed: int = 0) -> Network:
-    """Warm start on the driver, then refinement on executors over every row and a mean weighted by tokens. ``docs``: (id, text), training rows."""
-    net = Network(counts, seed)
-    n = docs.count()
+CODED = "id long, held_out boolean, n_tokens long, n_known long, base double, inner double, outputs binary, tail array<string>"
+
+
+def encode(docs: DataFrame, lex: Lexicon) -> DataFrame:
+    """One row for each of ``docs`` (id, held_out, text): its outputs, two bytes each, and everything that its words in the
+    head add to the scores; ``tail`` are its words outside the head."""
     shared = docs.sparkSession.sparkContext.broadcast(lex)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = shared.value
         for f in batches:
-            yield pd.DataFrame({"h": f["h"], "ids": [_outputs(words_of(t), shared.value)[1].astype(np.uint16).tobytes() for t in f["text"]]})
+            counted, sums, coded, tails = [], [], [], []
+            for t in f.column("text").to_pylist():
+                words = words_of(t)
+                ids, outputs, tail = _outputs(words, lex)
+                head = ids[ids >= 0]
+                counted.append((len(words) + 1, int(lex.known[head].sum()) + lex.end_known))
+                base = float(lex.base[head].sum()) + lex.end_base - lex.norm * len(tail)
+                sums.append((base, float(lex.inner[head].sum()) - float(lex.bucket_norm[outputs[:-1][ids < 0] - 1].sum())))
+                coded.append(outputs.astype(np.uint16).tobytes())
+                tails.append([w.decode("utf-8", "replace") for w in tail])
+            n, x = np.array(counted, np.int64).reshape(-1, 2), np.array(sums, np.float64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [f.column("id"), f.column("held_out"), pa.array(n[:, 0]), pa.array(n[:, 1]), pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(coded, pa.binary()), pa.array(tails, pa.list_(pa.string()))],
+                ["id", "held_out", "n_tokens", "n_known", "base", "inner", "outputs", "tail"],
+            )
+
+    return docs.select("id", "held_out", "text").mapInArrow(run, CODED)
 
-    hashed = docs.withColumn("h", F.xxhash64("id", F.lit(21)))
-    warm = hashed.where(F.pmod("h", F.lit(max(1, n // WARM_DOCS))) == 0).select("h", "text").mapInPandas(encode, "h long, ids binary").orderBy("h", "ids").limit(2 * WARM_DOCS).toPandas()
-    net.train([np.frombuffer(b, np.uint16) for b in warm["ids"]], WARM_STEPS, 0.01, seed=seed)
+
+def learn(docs: DataFrame, lex: Lexicon, counts: np.ndarray, seed: int = 0) -> Network:
+    """``learn_coded`` for training rows (id, text)."""
+    return learn_coded(encode(docs.withColumn("held_out", F.lit(False)), lex).withColumn("row", F.monotonically_increasing_id()), counts, seed)
+
+
+def learn_coded(coded: DataFrame, counts: np.ndarray, seed: int = 0) -> Network:
+    """Warm start on the driver, then refinement on executors over every row and a mean weighted by tokens.
+
+    ``coded``: (row, outputs), training rows. Rows are dealt to refiners by a hash of their number, about REFINER_DOCS
+    each, so that no source, id or repeated text gathers in one. Without rows the network is that of the counts.
+    """
+    net = Network(counts, seed)
+    n = coded.count()
+    hashed = coded.select(F.xxhash64("row", F.lit(21)).alias("h"), "outputs")
+    warm = hashed.where(F.pmod("h", F.lit(max(1, n // WARM_DOCS))) == 0).orderBy("h").limit(2 * WARM_DOCS).toPandas()
+    net.train([np.frombuffer(b, np.uint16) for b in warm["outputs"]], WARM_STEPS, 0.01, seed=seed)
     start = net.parameters()
 
-    def refine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Network(counts, seed)
         own.load(start)
         held, size, tokens = [], 0, 0
         for f in batches:
-            for b in f["ids"]:
+            for b in f.column("outputs").to_pylist():
                 held.append(np.frombuffer(b, np.uint16))
                 size += len(held[-1])
-                if size > 400_000:
-                    tokens += own.train(held, None, 0.001, seed=seed)
+                if size > 2_000_000:
+                    tokens += own.train(held, None, REFINE_RATE, seed=seed)
                     held, size = [], 0
-        tokens += own.train(held, None, 0.001, seed=seed)
+        tokens += own.train(held, None, REFINE_RATE, seed=seed)
         if tokens:
-            yield pd.DataFrame({"at": [TaskContext.get().partitionId()], "p": [own.parameters().tobytes()], "n": [tokens]})
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([own.parameters().tobytes()], pa.binary()), pa.array([tokens], pa.int64())], ["at", "p", "n"])
 
     tasks = max(1, -(-n // REFINER_DOCS))
-    sets = hashed.select("h", "text").mapInPandas(encode, "h long, ids binary").repartition(tasks, "h", "ids").sortWithinPartitions("h", "ids")
-    models = durable(sets.mapInPandas(refine, MODEL), "lm-models")
+    models = durable(hashed.repartition(tasks, "h").sortWithinPartitions("h").select("outputs").mapInArrow(refine, MODEL), "lm-models")
     highest = models.agg(F.max("at")).first()[0]
     if highest is not None:
         net.load(np.frombuffer(mean_model(models, highest + 1).first().p, np.float64))
@@ -384,45 +453,37 @@ def mean_model(models: DataFrame, tasks: int) -> DataFrame:
             return out
 
 
-PASS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<string>"
+SCORED = "row long, id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
 
-def score_pass(docs: DataFrame, lex: Lexicon, net: Network, tokens_at_once: int = 600_000) -> DataFrame:
-    """One row a document: everything but what the counts of its rare words (``tail``) add."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((lex, net))
+def score_pass(coded: DataFrame, net: Network, tokens_at_once: int = 3_000_000) -> DataFrame:
+    """What ``encode`` gave (and ``row``) with a score: everything but what the counts of rare words add."""
+    shared = coded.sparkSession.sparkContext.broadcast(net)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex, net = shared.value
-        number = (TaskContext.get().partitionId() << 40) - 1
-        held: list[tuple] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = shared.value
+        held: list[pa.RecordBatch] = []
         arrays: list[np.ndarray] = []
-        size = 0
 
-        def out() -> pd.DataFrame:
-            s = net.score(arrays)
-            frame = pd.DataFrame(held, columns=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail"])
-            frame["score"] += s
-            return frame.astype({"doc_id": "Int64"})
+        def out() -> Iterator[pa.RecordBatch]:
+            scores, at = net.score(arrays), 0
+            for f in held:
+                own = scores[at : at + len(f)] + f.column("inner").to_numpy()
+                yield pa.RecordBatch.from_arrays([*(f.column(n) for n in ("row", "id", "held_out", "n_tokens", "n_known", "base")), pa.array(own)], ["row", "id", "held_out", "n_tokens", "n_known", "base", "score"])
+                at += len(f)
 
+        size = 0
         for f in batches:
-            for i, h, t in zip(f["id"], f["held_out"], f["text"], strict=True):
-                words = words_of(t)
-                ids, outputs, tail = _outputs(words, lex)
-                head = ids[ids >= 0]
-                number += 1
-                base = float(lex.base[head].sum()) + lex.end_base - lex.norm * len(tail)
-                inner = float(lex.inner[head].sum()) - float(lex.bucket_norm[outputs[:-1][ids < 0] - 1].sum())
-                held.append((number, i, h, len(words) + 1, int(lex.known[head].sum()) + lex.end_known, base, inner, [w.decode("utf-8", "replace") for w in tail]))
-                arrays.append(outputs)
-                size += len(outputs)
-                if size >= tokens_at_once:
-                    yield out()
-                    held, arrays, size = [], [], 0
+            held.append(f)
+            arrays += [np.frombuffer(b, np.uint16) for b in f.column("outputs").to_pylist()]
+            size += int(f.column("n_tokens").to_numpy().sum())
+            if size >= tokens_at_once:
+                yield from out()
+                held, arrays, size = [], [], 0
         if held:
-            yield out()
+            yield from out()
 
-    return docs.mapInPandas(run, PASS)
+    return coded.select("row", "id", "held_out", "n_tokens", "n_known", "base", "inner", "outputs").mapInArrow(run, SCORED)
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, seed: int = 0) -> DataFrame:
@@ -433,17 +494,18 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smoothing alone. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), (fold(id_col, MODULUS) == HELD_OUT).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    training = rows.where("not held_out").select("id", "text")
-    counts = durable(word_counts(training), "lm-counts")
-    lex, outputs = build_lexicon(counts, training.select("id").count(), head)
-    net = learn(training, lex, outputs, seed)
-    done = durable(score_pass(rows.select("id", "held_out", "text"), lex, net), "lm-pass")
-    rare = done.select("row", F.explode("tail").alias("word"))
-    met = rare.join(counts, "word", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).alias("t"), F.count("c").alias("k"))
-    out = done.drop("tail").join(met, "row", "left")
+    counts = durable(word_counts(rows), "lm-counts")
+    lex, outputs = build_lexicon(counts, rows.where("not held_out").count(), head)
+    coded = durable(encode(rows, lex).withColumn("row", F.monotonically_increasing_id()), "lm-coded")
+    net = learn_coded(coded.where("not held_out"), outputs, seed)
+    done = durable(score_pass(coded, net), "lm-scores")
+    rare = coded.select("row", F.explode("tail").alias("word"))
+    met = rare.join(counts, "word", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).alias("t"), F.count_if(F.col("c") > 0).alias("k"))
+    out = done.join(met, "row", "left")
     t, k = F.coalesce("t", F.lit(0.0)), F.coalesce("k", F.lit(0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + k).alias("n_known"), F.lit(lex.total).cast("long").alias("train_tokens"), (F.col("base") + t).alias("base_score"), (F.col("score") + t).alias("score"))
+    return out.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", (F.col("n_known") + k).alias("n_known"), F.lit(lex.total).cast("long").alias("train_tokens"), (F.col("base") + t).alias("base_score"), (F.col("score") + t).alias("score"))
 
 
 def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents."""
     return score_documents(table(spark, sf_dir, "documents"))
