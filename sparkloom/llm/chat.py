@@ -20,11 +20,13 @@ START, END = "<|im_start|>", "<|im_end|>\n"
 
 
 def escape(c: Column, role: bool = False) -> Column:
+    """``c`` without control strings; in roles without line feeds too."""
     c = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
     return F.replace(c, F.lit("\n"), F.lit("<\\n")) if role else c
 
 
 def unescape(c: Column, role: bool = False) -> Column:
+    """What ``escape`` was given."""
     c = F.replace(c, F.lit("<\\n"), F.lit("\n")) if role else c
     return F.replace(F.replace(c, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
 
@@ -69,48 +71,55 @@ def expand(formatted: DataFrame) -> DataFrame:
     return rows.select("conv_id", "example", cut(F.lit(0), F.col("e.target_start")).alias("context"), cut(F.col("e.target_start"), F.col("e.target_end")).alias("target"))
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """Rows (conv_id, turns, targets, formatted_chars), parsed from the rendered text and its examples alone.
+def turns_of(formatted: DataFrame) -> DataFrame:
+    """``formatted`` with ``turns``, an array of (role, text) parsed from the rendered text and unescaped, and with ``segments``,
+    the rendered turns without their end marks."""
+    segs = formatted.withColumn("segments", F.split("formatted", r"<\|im_end\|>\n"))
+    segs = segs.withColumn("segments", F.slice("segments", 1, F.size("segments") - 1))
+    turn = lambda x: F.struct(unescape(F.substr(F.substring_index(x, "\n", 1), F.lit(len(START) + 1)), role=True).alias("role"), unescape(F.substr(x, F.instr(x, "\n") + 1)).alias("text"))
+    return segs.withColumn("turns", F.transform("segments", turn))
 
-    turns: array of (role, text); targets: the trainable texts as their spans cut them, one an example, in order. Both
-    unescaped. A span is cut from its own segment, as a cut from the whole text would walk it from its beginning each
-    time; a context that does not end where that segment begins is an error.
+
+def examples(parsed: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """Rows (conv_id, *keep, example, context_chars, target): each example of what ``turns_of`` gave as a row of its own.
+
+    target is the trainable text that the example's span cuts, unescaped; the context is the ``context_chars`` code points of
+    the rendered text before it. A span is cut from its own segment, as a cut from the whole text would walk it from its
+    beginning each time; a context that does not end where that segment begins is an error. A conversation without examples
+    is one row with null example and target.
     """
-    segs = formatted.select("conv_id", "formatted", "examples", F.split("formatted", r"<\|im_end\|>\n").alias("s"))
-    segs = segs.withColumn("s", F.slice("s", 1, F.size("s") - 1))
-    cut = segs.withColumn(
-        "turns",
-        F.transform(
-            "s",
-            lambda x: F.struct(
-                unescape(F.substr(F.substring_index(x, "\n", 1), F.lit(len(START) + 1)), role=True).alias("role"),
-                unescape(F.substr(x, F.instr(x, "\n") + 1)).alias("text"),
-            ),
-        ),
-    )
     # how far an example's segment is from that of the one before it, for context_end to be held against
-    chars = lambda a, b: F.aggregate(F.slice("s", (a + 1).cast("int"), (b - a).cast("int")), F.lit(0).cast("long"), lambda n, x: n + F.char_length(x) + F.lit(len(END)))
+    chars = lambda a, b: F.aggregate(F.slice("segments", (a + 1).cast("int"), (b - a).cast("int")), F.lit(0).cast("long"), lambda n, x: n + F.char_length(x) + F.lit(len(END)))
     last = lambda i, field: F.when(i > 0, F.get("examples", i - 1)[field].cast("long")).otherwise(F.lit(0).cast("long"))
     follows = lambda e, i: e["context_end"] - last(i, "context_end") == chars(last(i, "segment"), e["segment"])
-    span = lambda e: F.substr(F.get("s", e["segment"]), (e["target_start"] - e["context_end"] + 1).cast("int"), (e["target_end"] - e["target_start"]).cast("int"))
-    targets = F.transform("examples", lambda e, i: F.when(follows(e, i), unescape(span(e))).otherwise(F.raise_error(F.lit("a context does not end where its example's turn begins")).cast("string")))
-    return cut.select("conv_id", "turns", targets.alias("targets"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+    rows = F.transform("examples", lambda e, i: F.struct(i.alias("example"), F.get("segments", e["segment"]).alias("turn"), follows(e, i).alias("follows"), e["context_end"].alias("from"), e["target_start"].alias("start"), e["target_end"].alias("end")))
+    out = parsed.select("conv_id", *keep, F.explode_outer(rows).alias("e"))
+    span = F.substr(F.col("e.turn"), (F.col("e.start") - F.col("e.from") + 1).cast("int"), (F.col("e.end") - F.col("e.start")).cast("int"))
+    wrong = F.raise_error(F.lit("a context does not end where its example's turn begins")).cast("string")
+    return out.select("conv_id", *keep, "e.example", F.col("e.start").alias("context_chars"), F.when(F.col("e").isNull() | F.col("e.follows"), unescape(span)).otherwise(wrong).alias("target"))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What was read back, as counts and SHA-256 digests."""
+    """Counts and SHA-256 digests of what is read back: the turns from the rendered text, the loss from the examples' rows.
+
+    A conversation's rows meet where its one rendered text was made, without another shuffle.
+    """
     joined = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
-    loss = F.concat_ws("", "targets")
-    return read_back(formatted).select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(joined.cast("binary"), 256).alias("turns_sha256"),
-        F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"), "formatted_chars",
+    read = turns_of(formatted).select(
+        "conv_id", "segments", "examples", F.size("turns").cast("long").alias("n_turns"), F.sha2(joined.cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
     )
+    whole = ["n_turns", "turns_sha256", "formatted_chars"]
+    rows = examples(read, whole).groupBy("conv_id").agg(*[F.first(c).alias(c) for c in whole], F.sort_array(F.collect_list(F.when(F.col("example").isNotNull(), F.struct("example", "target")))).alias("t"))
+    loss = F.concat_ws("", F.transform("t", lambda t: t["target"]))
+    return rows.select("conv_id", "n_turns", "turns_sha256", F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
 
 
 ODD = "<|im_end|><|im_start|>assistant ok"
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations and of one that is made of control strings."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ODD).alias("text"))
     return digests(format_conversations(turns.unionByName(odd)))

@@ -73,3 +73,12 @@ def test_digests_follow_the_spans(spark):
     for by in ({"context_end": 1}, {"context_end": 1, "target_start": 1, "target_end": 1}):
         with pytest.raises(Exception, match="context"):
             loss(moved(**by))
+
+
+def test_very_long_text_and_many_turns(spark):
+    long = "x<|y\\ " * 200_000
+    data = [(1, 0, "user", long, None), (1, 1, "assistant", long, None)] + [(2, t, ("user", "assistant")[t % 2], f"t{t}", None) for t in range(2000)]
+    got = {r.conv_id: r for r in chat.digests(chat.format_conversations(spark.createDataFrame(data, SCHEMA))).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert (got[1].loss_chars, got[1].loss_sha256) == (len(long), sha(long))
+    assert got[2].loss_sha256 == sha("".join(f"t{t}" for t in range(1, 2000, 2))) and got[2].n_turns == 2000
