@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -24,8 +24,8 @@ from pyspark.sql import Window
 from .common import durable, table
 
 #: Rows in a block: a thirty-second of the index within these bounds, and queries in a block. A pair of the largest blocks
-#: takes about 100 MB at 64 dimensions.
-ROW_BLOCKS, LEAST_ROWS, MOST_ROWS, QUERY_BLOCK = 32, 1 << 12, 1 << 17, 1 << 12
+#: takes about 400 MB at 64 dimensions.
+ROW_BLOCKS, LEAST_ROWS, MOST_ROWS, QUERY_BLOCK = 32, 1 << 12, 1 << 17, 1 << 16
 #: Width of the error bound in standard errors: a true neighbour is passed over with a chance below 1 in 100, near the k-th only.
 EPSILON = 2.5
 
@@ -43,12 +43,22 @@ def rotation(dim: int, seed: int = 0) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def _sizes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of ``x`` scaled to length 1 (zero rows stay), and their lengths; squares never overflow."""
+    most = np.abs(x).max(axis=1, initial=0, keepdims=True)
+    most = np.where((most > 0) & np.isfinite(most), most, 1)
+    y = x / most
+    size = np.sqrt((y * y).sum(axis=1))
+    return y / np.where(size > 0, size, 1)[:, None], size * most[:, 0]
+
+
 def encode(x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed sign bits of the rotated rows of ``x``, their distance to the centre, and the correction."""
-    y = (x - centre) @ turn
-    length = np.sqrt((y * y).sum(axis=1))
+    with np.errstate(over="ignore", invalid="ignore"):
+        unit, length = _sizes(x - centre)
+        y = unit @ turn
     bits = np.packbits(y > 0, axis=1)
-    fit = np.abs(y).sum(axis=1) / (np.sqrt(x.shape[1]) * np.where(length > 0, length, 1))  # <code, vector>, about 0.8
+    fit = np.abs(y).sum(axis=1) / np.sqrt(x.shape[1])  # <code, vector>, about 0.8
     return bits, length, np.where(length > 0, fit, 1.0)
 
 
@@ -62,42 +72,58 @@ def search_block(
     query_ids: np.ndarray, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int, epsilon: float = EPSILON,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """For each query the ``k`` nearest ids of the block, each by its best row, by (score down, id up): query ids, ids, scores,
-    rows reranked."""
+    rows reranked.
+
+    Estimates are in units of the block's longest row times the query's length, so that single precision serves any scale;
+    a row whose length is not finite is always reranked. Reranking takes the products of all chosen rows at once and sums
+    those near the k-th best anew, component by component.
+    """
     bits, length, fit = codes
     d = x.shape[1]
-    rotated = queries.astype(np.float64) @ turn
-    size = np.sqrt((rotated * rotated).sum(axis=1))
-    spread = length * np.sqrt(np.maximum(0, 1 - fit * fit)) / fit * (epsilon / np.sqrt(max(1, d - 1)))
-    signs = np.unpackbits(bits, axis=1, count=d).astype(np.float32) * 2 - 1
-    gain = (length / (fit * np.sqrt(d))).astype(np.float32)
+    with np.errstate(all="ignore"):
+        turned, size = _sizes(queries.astype(np.float64))
+        along = turned @ centre
+        turned = (turned @ turn).astype(np.float32)
+        odd = ~np.isfinite(length) | ~np.isfinite(fit) | (fit <= 0)
+        unit = float(length[~odd].max(initial=0)) or 1.0
+        far = np.where(odd, 0, length / unit)
+        gain = np.where(odd, 0, far / (np.where(odd, 1, fit) * np.sqrt(d))).astype(np.float32)
+        spread = np.where(odd, np.inf, far * np.sqrt(np.maximum(0, 1 - fit * fit)) / fit * (epsilon / np.sqrt(max(1, d - 1))) + 1e-4 * far + 1e-5).astype(np.float32)
+        signs = np.unpackbits(bits, axis=1, count=d).astype(np.float32) * 2 - 1
+        slack = 1e-9 * float(np.abs(x).max(initial=0)) * d
     repeats = len(np.unique(ids)) < len(ids)
+    place = {} if repeats else dict(zip(ids.tolist(), range(len(ids)), strict=True))
     out_q, out_i, out_s, reranked = [], [], [], 0
-    for at in range(0, len(queries), 256):
-        part = slice(at, at + 256)
+    for at in range(0, len(queries), 128):
+        part = slice(at, at + 128)
         # <x, q> = <c, q> + <x - c, q>: the centre's part is the same for every row
-        estimate = (rotated[part].astype(np.float32) @ signs.T) * gain + (queries[part].astype(np.float64) @ centre).astype(np.float32)[:, None]
+        estimate = (turned[part] @ signs.T) * gain
         for j, e in enumerate(estimate):
             q = at + j
-            bound = spread * size[q] + 1e-4 * size[q] * (length + 1e-12)
-            own = np.flatnonzero(ids == query_ids[q])
-            upper = e + bound
-            upper[own] = -np.inf
+            own = np.flatnonzero(ids == query_ids[q]) if repeats else np.array([p for p in [place.get(int(query_ids[q]))] if p is not None], dtype=np.int64)
             e[own] = -np.inf
             others, width = len(ids) - len(own), 2 * k
-            while True:  # once, but where ids repeat so often that the best rows are of fewer than k of them
-                first = np.argpartition(-e, width)[:width] if len(ids) > width else np.arange(len(ids))
-                first = first[e[first] > -np.inf]
-                sure = exact(x[first], queries[q]) if len(first) else np.empty(0)
-                sure = sure[_best(ids[first], sure, k, repeats)]
-                if len(sure) >= k or len(first) >= others or not len(first):
-                    break
-                width *= 4
-            if not len(first):
-                continue
-            floor = sure[-1] if len(sure) >= k else -np.inf
-            chosen = np.flatnonzero(upper >= floor - 1e-9 * abs(floor)) if len(first) < others else first
-            scores = exact(x[chosen], queries[q])
-            reranked += len(chosen)
+            with np.errstate(all="ignore"):
+                while True:  # once, but where ids repeat so often that the best rows are of fewer than k of them
+                    first = np.argpartition(-e, width)[:width] if len(ids) > width else np.arange(len(ids))
+                    first = first[e[first] > -np.inf]
+                    sure = exact(x[first], queries[q]) if len(first) else np.empty(0)
+                    sure = sure[_best(ids[first], sure, k, repeats)]
+                    if len(sure) >= k or len(first) >= others or not len(first):
+                        break
+                    width *= 4
+                if not len(first):
+                    continue
+                chosen = first
+                if len(first) < others:
+                    floor = (float(sure[-1]) / size[q] - along[q]) / unit if len(sure) >= k else -np.inf
+                    chosen = np.flatnonzero(e + spread >= (floor - 1e-6 * abs(floor) if np.isfinite(floor) else -np.inf))
+                    chosen = chosen[e[chosen] > -np.inf]
+                reranked += len(chosen)
+                if len(chosen) > 4 * k and not repeats:
+                    near = x[chosen] @ queries[q]
+                    chosen = chosen[~(near < np.partition(near, len(near) - k)[len(near) - k] - slack * size[q])]
+                scores = exact(x[chosen], queries[q])
             best = _best(ids[chosen], scores, k, repeats)
             out_q.append(np.full(len(best), query_ids[q]))
             out_i.append(ids[chosen[best]])
@@ -115,32 +141,41 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int, repeats: bool) -> np.ndar
     return order[:k]
 
 
-INDEX = "id long, dim int, vec array<float>, code binary, length double, fit double"
+INDEX = "id long, dim int, vec array<double>, code binary, length double, fit double"
+
+
+def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Lists of ``dim`` numbers as the rows of a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = 20_000, seed: int = 0) -> tuple[DataFrame, dict[int, np.ndarray]]:
     """Rows (id, dim, vec, code, length, fit) for every usable vector, and a centre for each dimension.
 
     Centres come from about ``sample`` rows chosen by a hash of the id; they affect bounds, never which rows are indexed.
+    Vectors are kept in double precision. Rows of an id that repeats are all indexed; other columns are not read; an empty
+    table gives no rows.
     """
-    good = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")).where(F.col("id").isNotNull() & usable(F.col("vec"))).withColumn("dim", F.size("vec"))
+    good = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where(F.col("id").isNotNull() & usable(F.col("vec"))).withColumn("dim", F.size("vec"))
     sizes = {r.dim: r.n for r in good.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a dimension
     rows = sum(sizes.values())
     some = good.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(max(1, rows // sample))) == 0)
     mean = some.select("dim", F.posexplode("vec")).groupBy("dim", "pos").agg(F.avg("col").alias("m")).collect()  # dimensions squared at most
     centres = {d: np.zeros(d) for d in sizes}
     for r in mean:
-        centres[r.dim][r.pos] = r.m
+        centres[r.dim][r.pos] = r.m if np.isfinite(r.m) else 0.0
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns: dict[int, np.ndarray] = {}
         for f in batches:
-            for d, g in f.groupby("dim"):
-                x = np.stack(g["vec"].to_numpy()).astype(np.float64)
-                bits, length, fit = encode(x, centres[d], turns.setdefault(d, rotation(d, seed)))
-                yield pd.DataFrame({"id": g["id"], "dim": g["dim"], "vec": g["vec"], "code": [b.tobytes() for b in bits], "length": length, "fit": fit})
+            dims = f.column("dim").to_numpy()
+            for d in np.unique(dims).tolist():
+                g = f.filter(pa.array(dims == d))
+                bits, length, fit = encode(matrix(g.column("vec"), d), centres[d], turns.setdefault(d, rotation(d, seed)))
+                yield pa.RecordBatch.from_arrays([g.column("id"), g.column("dim"), g.column("vec"), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(length), pa.array(fit)], ["id", "dim", "vec", "code", "length", "fit"])
 
-    return good.select("id", "dim", "vec").mapInPandas(run, INDEX), centres
+    return good.select("id", "dim", "vec").mapInArrow(run, INDEX), centres
 
 
 def search(index: DataFrame, centres: dict[int, np.ndarray], queries: Column, k: int = 20, row_block: int | None = None, query_block: int = QUERY_BLOCK, seed: int = 0) -> DataFrame:
@@ -153,31 +188,36 @@ def search(index: DataFrame, centres: dict[int, np.ndarray], queries: Column, k:
     n, m = index.agg(F.count(F.lit(1)), F.count_if(queries)).first()
     row_block = row_block or min(MOST_ROWS, max(LEAST_ROWS, -(-n // ROW_BLOCKS)))
     row_blocks, query_blocks = max(1, -(-n // row_block)), max(1, -(-m // query_block))
-    rows = index.withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(row_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    asked = index.where(queries).select("id", "dim", "vec").dropDuplicates(["id"])
+    rows = index.withColumn("rb", F.pmod(F.xxhash64("id", "vec"), F.lit(row_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    asked = index.where(queries).groupBy("id", "dim").agg(F.min("vec").alias("vec"))
     asked = asked.withColumn("qb", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(query_blocks)).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
 
-    def pair(a: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        if not len(a) or not len(q):
-            return out
-        d = int(a["dim"].iloc[0])
-        codes = (np.stack([np.frombuffer(c, np.uint8) for c in a["code"]]), a["length"].to_numpy(), a["fit"].to_numpy())
-        got = search_block(a["id"].to_numpy(), np.stack(a["vec"].to_numpy()), codes, q["id"].to_numpy(), np.stack(q["vec"].to_numpy()), centres[d], rotation(d, seed), k)
-        return pd.DataFrame({"query_id": got[0], "vec_id": got[1], "score": got[2]})
+    def pair(a: pa.Table, q: pa.Table) -> pa.Table:
+        got = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        if len(a) and len(q):
+            d = a["dim"][0].as_py()
+            codes = (np.frombuffer(b"".join(a["code"].to_pylist()), np.uint8).reshape(len(a), -1), a["length"].to_numpy(), a["fit"].to_numpy())
+            got = search_block(a["id"].to_numpy(), matrix(a["vec"], d), codes, q["id"].to_numpy(), matrix(q["vec"], d), centres[d], rotation(d, seed), k)
+        return pa.table({"query_id": got[0], "vec_id": got[1], "score": got[2]})
 
-    found = rows.groupBy("dim", "rb", "qb").cogroup(asked.groupBy("dim", "rb", "qb")).applyInPandas(pair, "query_id long, vec_id long, score double")
+    found = rows.groupBy("dim", "rb", "qb").cogroup(asked.groupBy("dim", "rb", "qb")).applyInArrow(pair, "query_id long, vec_id long, score double")
+    found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # rows of one id may lie in several blocks
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Index all usable vectors and search for those whose id ``every`` divides."""
+    """Index all usable vectors and search for those whose id ``every`` divides.
+
+    Vectors that are null, zero or hold a null or non-finite component take no part, nor do rows without an id; see
+    ``search`` for ids that repeat, ties and empty tables; other columns are not read.
+    """
     index, centres = build_index(vectors, id_col, vec_col)
     return search(durable(index, "rabitq"), centres, F.col("id") % every == 0, k)
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest of every twentieth embedding."""
     return nearest(table(spark, sf_dir, "embeddings"))
 
 

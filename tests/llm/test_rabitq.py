@@ -65,3 +65,19 @@ def test_repeated_ids_are_one_neighbour_and_take_one_place(spark):
     assert found.keys() == want.keys()
     assert all(found[20, r] == want[20, r] for r in range(1, 21))
     assert all(len({found[q, r][0] for r in range(1, 21)}) == 20 for q, n in found if n == 1)
+
+
+def test_double_vectors_and_extreme_scales(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(x * s) for x in rng.standard_normal(16)]) for i, s in enumerate(rng.choice([1e-30, 1.0, 1e39, 1e-3], 400))]
+    rows += [(1000, [0.1, 1.7] + [0.0] * 14), (1020, [0.0, 0.1] + [0.0] * 14), (2001, [1e200] * 16), (2003, [-1e308] * 16)]
+    got = rabitq.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    good = {i: np.array(v) for i, v in rows}
+    for r in got:
+        assert r.score == float(np.cumsum(good[r.query_id] * good[r.vec_id])[-1])
+    hits = 0
+    for q in [i for i in good if i % 20 == 0]:
+        with np.errstate(all="ignore"):
+            want = sorted((-float(np.cumsum(good[q] * v)[-1]), i) for i, v in good.items() if i != q)[:20]
+        hits += len({i for _, i in want} & {r.vec_id for r in got if r.query_id == q})
+    assert len(got) == 20 * sum(i % 20 == 0 for i in good) and hits >= 0.97 * len(got)
