@@ -86,3 +86,11 @@ def test_without_documents(fixture, spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, d)
         assert docs.count() == 0
+
+
+def test_dedup_keeps_different_texts_of_one_id_and_rows_without_one(spark):
+    a, b, c = ("one two three four five six seven eight", "quite another text that has nothing in common with it", "a third text of some length that stands alone here")
+    rows = [(5, a, "en", "s", 1, None), (5, b, "en", "s", 1, None), (5, a, "en", "t", 1, None), (9, b, "en", "s", 1, None), (None, c, "en", "s", 1, None), (None, c, "fr", "s", 1, None), (None, a, "en", "s", 1, None)]
+    out = corpus_pipeline.dedup_stage(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert out.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+    assert sorted((r.doc_id or -1, r.text) for r in out.collect()) == sorted([(5, a), (5, b), (-1, c)])
