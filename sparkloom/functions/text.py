@@ -52,7 +52,14 @@ def unescape_html(c: Column | str) -> Column:
 
 
 def drop_urls(c: Column | str) -> Column:
-    return F.regexp_replace(text_of(c), pattern(L.URL), " ")
+    """Links to spaces; only texts that may hold one are matched against the pattern."""
+    t = text_of(c)
+    return F.when(t.rlike("(?i)http|www"), F.regexp_replace(t, pattern(L.URL), " ")).otherwise(t)
+
+
+def drop_lower_urls(c: Column) -> Column:
+    """``drop_urls`` for a text that is in lower case already."""
+    return F.when(F.contains(c, F.lit("http")) | F.contains(c, F.lit("www.")), F.regexp_replace(c, f"(?U){L.URL}", " ")).otherwise(c)
 
 
 def clean(c: Column | str, microblog: bool = False) -> Column:
@@ -65,19 +72,19 @@ def clean(c: Column | str, microblog: bool = False) -> Column:
 
 def text_key(c: Column | str) -> Column:
     """Lower case, no links, no ``@#``, other than letters and digits to spaces."""
-    out = F.regexp_replace(drop_urls(F.lower(text_of(c))), "[@#]", " ")
+    out = F.regexp_replace(drop_lower_urls(F.lower(text_of(c))), "[@#]", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"[^a-z0-9\s]", " "), r"\s+", " "))
 
 
 def dup_key(c: Column | str) -> Column:
     """Like ``text_key``, but whole mentions go."""
-    out = F.regexp_replace(drop_urls(F.lower(text_of(c))), r"(?U)@\w+", " ")
+    out = F.regexp_replace(drop_lower_urls(F.lower(text_of(c))), r"(?U)@\w+", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"[^a-z0-9\s]", " "), r"\s+", " "))
 
 
 def match_key(c: Column | str) -> Column:
     """Lower case, no links, ``-_/+.%`` kept."""
-    out = F.regexp_replace(drop_urls(F.lower(text_of(c))), r"[^a-z0-9\s\-_/+.%]", " ")
+    out = F.regexp_replace(drop_lower_urls(F.lower(text_of(c))), r"[^a-z0-9\s\-_/+.%]", " ")
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 

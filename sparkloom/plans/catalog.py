@@ -293,11 +293,11 @@ def one_to_one_join(spark, d):
     return J.one_to_one(a, a.withColumn("quality", F.lit(1) - F.col("quality")), ["doc_id"], ("_a1", "_a2"))
 
 
-@query("""WITH last AS (SELECT o_custkey, max_by(o_orderstatus, o_orderkey) AS s FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1), seg AS (SELECT c_custkey, c_mktsegment AS s FROM customer WHERE c_custkey % 2 = 0)
+@query("""WITH last AS (SELECT o_custkey, max_by(o_orderstatus, o_orderkey) AS s FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1), seg AS (SELECT c_custkey, c_mktsegment AS s FROM customer WHERE c_acctbal > 0)
 SELECT c.c_custkey, coalesce(l.s, g.s, 'unknown') AS label FROM customer c LEFT JOIN last l ON l.o_custkey = c.c_custkey LEFT JOIN seg g ON g.c_custkey = c.c_custkey""")
 def lookup_fallback(spark, d):
-    last = J.keep_last(t(spark, d, "orders").where("o_custkey % 3 = 0"), "o_custkey", "o_orderstatus", "o_orderkey")
-    seg = t(spark, d, "customer").where("c_custkey % 2 = 0").select("c_custkey", "c_mktsegment")
+    last = J.keep_last(t(spark, d, "orders").where("o_orderpriority = '1-URGENT'"), "o_custkey", "o_orderstatus", "o_orderkey")
+    seg = t(spark, d, "customer").where("c_acctbal > 0").select("c_custkey", "c_mktsegment")
     return J.lookup(t(spark, d, "customer").select("c_custkey"), F.col("c_custkey"), [(last, "o_custkey", "o_orderstatus"), (seg, "c_custkey", "c_mktsegment")], "label", "unknown")
 
 
@@ -359,9 +359,9 @@ def overlap_sizes(spark, d):
     return U.overlap_sizes(o.where("o_orderstatus = 'F'"), o.where("o_totalprice > 400000"), "k")
 
 
-@query("(SELECT n_nationkey AS k, 'left' AS side FROM nation EXCEPT SELECT DISTINCT c_nationkey, 'left' FROM customer WHERE c_acctbal > 5000 AND c_custkey % 40 = 0)")
+@query("SELECT doc_id AS k, 'left' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'right' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
 def set_differences(spark, d):
-    return U.differences(t(spark, d, "nation").select(F.col("n_nationkey").alias("k")), t(spark, d, "customer").where("c_acctbal > 5000 and c_custkey % 40 = 0").select(F.col("c_nationkey").alias("k")))
+    return U.differences(t(spark, d, "documents").select(F.col("doc_id").alias("k")), t(spark, d, "labels").select(F.col("doc_id").alias("k")))
 
 
 @query("SELECT n_name AS name, n_nationkey AS key, CAST(NULL AS INT) AS region FROM nation UNION ALL SELECT r_name, NULL, r_regionkey FROM region")
@@ -556,9 +556,7 @@ def mean_tfidf_terms(spark, d):
 s AS (SELECT lang, term, n / words * ln(1 + m / f) AS weight FROM p JOIN f USING (term) JOIN w USING (lang), m)
 SELECT lang, term, round(weight, 6) AS weight, CAST(row_number() OVER (PARTITION BY lang ORDER BY weight DESC, term) AS INT) AS rank FROM s QUALIFY rank <= 10""")
 def class_tfidf_terms(spark, d):
-    docs = t(spark, d, "documents")
-    tf = M.terms(docs.select("doc_id", "text", "lang"), "doc_id", "text").join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "term").agg(F.sum("tf").alias("tf"))
-    return rounded(M.class_tfidf(tf, "lang", 10, 2))
+    return rounded(M.class_tfidf(M.terms(t(spark, d, "documents"), "lang", "text"), "lang", 10, 2))
 
 
 @query(f"WITH n AS (SELECT training_key, min(topic) AS tp FROM {ACT} WHERE topic < 12 GROUP BY 1) SELECT coalesce(tp, -1) AS topic, count(*) AS count FROM {ACT} a LEFT JOIN n USING (training_key) GROUP BY 1")
@@ -600,10 +598,10 @@ def dtm_terms(spark, d):
     return M.dtm_terms(t(spark, d, "documents"), "doc_id", "text", ["the", "of", "und", "and"], ["and"])
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'row without vector' ELSE 'vector without row' END AS problem FROM documents WHERE (doc_id % 5 = 0) <> (doc_id % 7 = 0)")
+@query("""SELECT doc_id, 'row without vector' AS problem FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)
+UNION ALL SELECT vec_id, 'vector without row' FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)""")
 def alignment_problems(spark, d):
-    docs = t(spark, d, "documents").select("doc_id")
-    return M.alignment_problems(docs.where("doc_id % 5 = 0"), docs.where("doc_id % 7 = 0"), "doc_id")
+    return M.alignment_problems(t(spark, d, "documents").select("doc_id"), t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
 
 
 @query("""WITH l AS (SELECT quality AS a1, 1 - toxic AS a2, CAST(doc_id % 3 > 0 AS INT) AS strict, CAST(doc_id % 2 AS INT) AS loose FROM labels), x AS (SELECT unnest(['a1', 'a1', 'a2', 'a2']) AS annotator, unnest(['strict', 'loose', 'strict', 'loose']) AS policy, unnest([a1, a1, a2, a2]) AS g, unnest([strict, loose, strict, loose]) AS p FROM l),
@@ -633,21 +631,22 @@ def near_families(spark, d):
 
 @query()
 def char_gram_neighbours(spark, d):
-    b = t(spark, d, "benchmark")
-    w = M.tfidf(neardup.char_grams(b, "item_id", "text"), "key", b.count(), 2)
-    return rounded(neardup.best_neighbour(w, 0.5))
+    docs = t(spark, d, "documents")
+    w = M.tfidf(neardup.char_grams(docs, "doc_id", "text"), "key", docs.count(), 2)
+    return rounded(neardup.best_neighbour(w, 0.9))
 
 
 @query()
 def near_duplicate_audit(spark, d):
-    c = t(spark, d, "conversations").where("role = 'user'").withColumn("key", F.format_string("%d-%d", "conv_id", "turn"))
-    return rounded(neardup.near_duplicate_audit(c, "key", "text", "role", "role", 0.6))
+    """Every turn of every conversation; a turn's author is its conversation."""
+    c = t(spark, d, "conversations").withColumn("key", F.format_string("%d-%d", "conv_id", "turn"))
+    return rounded(neardup.near_duplicate_audit(c, "key", "text", "role", "conv_id"))
 
 
-@query("""WITH r AS (SELECT DISTINCT o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_custkey % 5 = 0), k AS (SELECT o_custkey FROM r GROUP BY 1 HAVING count(DISTINCT o_orderstatus) = 1)
+@query("""WITH r AS (SELECT DISTINCT o_custkey, o_orderstatus, o_orderpriority FROM orders), k AS (SELECT o_custkey FROM r GROUP BY 1 HAVING count(DISTINCT o_orderstatus) = 1)
 SELECT o_custkey, o_orderstatus, o_orderpriority FROM r JOIN k USING (o_custkey) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) = 1""")
 def registration_dedup(spark, d):
-    o = t(spark, d, "orders").where("o_custkey % 5 = 0").select("o_custkey", "o_orderstatus", "o_orderpriority")
+    o = t(spark, d, "orders").select("o_custkey", "o_orderstatus", "o_orderpriority")
     return D.registrations(o, "o_custkey", ["o_orderstatus"], ["o_orderpriority"])[0]
 
 
