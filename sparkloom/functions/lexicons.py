@@ -76,3 +76,29 @@ TRIAGE_VEHICLE = r"car rental|rent(?:ing)? (?:a |the )?car|rental car|private je
 TRIAGE_BOT_NAME, TRIAGE_BOT_NOTICE = r"^(?:automoderator|autotldr)$", "i am a bot, and this action was performed automatically"
 STRATUM_PROPERTY = r"\b(?:real estate|propert(?:y|ies)|apartment\w*|villa\w*|townhouse\w*|landlord\w*|tenant\w*|tenancy|ejari|rera|mortgage\w*|rent(?:al|s|ing|ed)?|off[ -]?plan|lease\w*|escrow|title deed|housing|evict\w*|handover|dld|service charges?)\b"
 STRATUM_CONTACT = r"\b(?:dm|pm|whatsapp|telegram|inbox|contact me|send (?:me )?details|share (?:the )?details)\b"
+
+# Cues of the second and third listing rules, promotion, specification and analysis in turn.
+STRONG_LISTING_2 = [
+    "whatsapp", "call now", "contact us", "contact me", "dm me", "dm for", "send me a dm", "inbox", "book viewing", "schedule a viewing", "viewing today", "register now", "dm to register",
+    "limited offer", "exclusive offer", "available now", "ready to move", "for sale", "for rent", "rent with", "selling my", "selling 1br", "selling 2br", "selling 3br", "motivated seller",
+    "distress deal", "distressed property", "below op", "below original price", "dld waiver", "commission", "broker", "agent", "rera permit", "permit no", "ref no", "reference no",
+    "guaranteed return", "book your unit",
+]
+STRONG_LISTING_3 = [
+    "whatsapp", "call now", "contact us", "contact me", "contact for", "dm me", "dm for", "dm details", "send me a dm", "sent a dm", "sent you a dm", "sent you in private chat", "private chat",
+    "pm me", "inbox", "pls connect", "please connect", "connect with me", "book viewing", "schedule a viewing", "viewing today", "register now", "dm to register", "available now",
+    "ready to move", "for sale", "for rent", "selling my", "motivated seller", "distress deal", "distressed property", "below op", "below original price", "dld waiver", "commission", "broker",
+    "agent", "rera permit", "permit no", "ref no", "reference no", "guaranteed return", "book your unit", "limited offer", "exclusive offer",
+]
+WEAK_LISTING = ["aed", "sqft", "sq ft", "1br", "2br", "3br", "4br", "5br", "studio", "fully furnished", "brand new", "vacant", "single row", "payment plan", "handover soon", "starting at", "roi"]
+ANALYSIS_2 = [
+    "analysis", "market", "price drop", "prices", "rent prices", "transaction", "transactions", "recorded", "data", "report", "index", "bubble", "panic", "collapsed", "overvalued", "undervalued",
+    "demand", "supply", "trend", "investors who bought", "everyone panicking", "looked at", "scanned",
+]
+ANALYSIS_3 = [
+    "analysis", "market", "price drop", "prices", "rent prices", "transaction", "transactions", "recorded", "data", "report", "index", "bubble", "panic", "collapsed", "overvalued", "undervalued",
+    "demand", "supply", "trend", "investors who bought", "everyone panicking", "scanned", "forecast", "valuation",
+]
+
+#: Words that mark a text as English where nothing says its language.
+ENGLISH_WORDS = ["the", "and", "of", "to", "in", "is", "it", "that", "for", "was", "on", "are", "with", "this", "you", "be", "at", "have", "not", "or"]

@@ -71,10 +71,24 @@ def domain_listing_keep(text: Column | str, domain: list[str] | None = None, mos
     return {"is_domain_relevant": relevant, "is_likely_agent_listing": listing, "keep": relevant & ~listing}
 
 
-def refined_listing(text: Column | str, strong: list[str], weak: list[str], protection: list[str]) -> Column:
-    """Two strong cues, or a strong with a weak one, or four weak ones; analysis words shield texts without strong cues."""
-    s, w, p = (F.size(substring_hits(text, x)) for x in (strong, weak, protection))
-    return ((s >= 2) | ((s >= 1) & (w >= 1)) | ((w >= 4) & (p == 0))) & ~((p >= 1) & (s == 0))
+def _refined(strong: Column, weak: Column, protection: Column, contact: Column) -> Column:
+    listing = contact | (strong >= 2) | ((strong >= 1) & (weak >= 1)) | ((weak >= 4) & (protection == 0))
+    return listing & ~((protection >= 1) & (strong == 0) & ~contact)
+
+
+def refined_listing(text: Column | str, strong: list[str] | None = None, weak: list[str] | None = None, protection: list[str] | None = None) -> Column:
+    """Two strong cues, or a strong with a weak one, or four weak ones; analysis words shield texts without strong cues.
+
+    The lists are those of the second rule unless given."""
+    counts = (F.size(substring_hits(text, x)) for x in (strong or L.STRONG_LISTING_2, weak or L.WEAK_LISTING, protection or L.ANALYSIS_2))
+    return _refined(*counts, F.lit(False))
+
+
+def refined_listing_with_contact(text: Column | str, context: Column | str, kind: Column | str, strict_reference: bool = False) -> Column:
+    """The third rule: short contact comments (by their own ``text``) are listings and are never shielded; cues count in ``context``,
+    the text with what surrounds it."""
+    counts = (F.size(substring_hits(context, x, text_key)) for x in (L.STRONG_LISTING_3, L.WEAK_LISTING, L.ANALYSIS_3))
+    return _refined(*counts, short_contact_comment(text, kind, strict_reference))
 
 
 def short_contact_comment(text: Column | str, kind: Column | str, strict_reference: bool = False) -> Column:
@@ -135,8 +149,8 @@ def first_match(rules: list[tuple[Column, str]], default: str | None) -> Column:
     return out
 
 
-def triage(text: Column | str, parent: Column | str, author: Column | str, geo_source: Column | None = None) -> Column:
-    """Where a noise record goes for review; later routes overrule earlier ones."""
+def triage(text: Column | str, parent: Column | str, author: Column | str, geo_source: Column | None = None, reasons: bool = False) -> Column:
+    """Where a noise record goes for review, or with ``reasons`` why; later routes overrule earlier ones."""
     own, ctx = repeat_key(text), repeat_key(parent)
     own_prop, par_prop = has(own, L.TRIAGE_PROPERTY), has(ctx, L.TRIAGE_PROPERTY)
     geo = has(own, L.TRIAGE_GEO) | has(ctx, L.TRIAGE_GEO) | (geo_source if geo_source is not None else F.lit(False))
@@ -145,17 +159,40 @@ def triage(text: Column | str, parent: Column | str, author: Column | str, geo_s
     politics = geo & has(own, L.TRIAGE_POLITICS) & ~own_prop & ~par_prop
     vehicle = has(own, L.TRIAGE_VEHICLE) & ~has(own, L.TRIAGE_HOUSING)
     selling = (has(own, L.TRIAGE_CONTACT) & has(own, L.TRIAGE_OFFER)) | has(own, L.TRIAGE_MARKETING) | ((features >= 4) & has(own, L.TRIAGE_PRICE))
-    return last_match(
-        [
-            (politics, "geopolitics_excluded_no_property_link"),
-            ((ctx != "") & par_prop & ~own_prop & ~politics, "context_dependent"),
-            (geo & own_prop & (n >= 12) & ~vehicle, "property_discussion_candidates"),
-            (geo & own_prop & (n < 12), "short_property_context_needed"),
-            (geo & (own_prop | par_prop) & selling, "property_promotion_candidates"),
-            (has(author_key(author), L.TRIAGE_BOT_NAME) | F.contains(own, F.lit(L.TRIAGE_BOT_NOTICE)), "automated_candidates"),
-        ],
-        "uncertain_or_other",
-    )
+    routes = [
+        (politics, "geopolitics_excluded_no_property_link"),
+        ((ctx != "") & par_prop & ~own_prop & ~politics, "context_dependent"),
+        (geo & own_prop & (n >= 12) & ~vehicle, "property_discussion_candidates"),
+        (geo & own_prop & (n < 12), "short_property_context_needed"),
+        (geo & (own_prop | par_prop) & selling, "property_promotion_candidates"),
+        (has(author_key(author), L.TRIAGE_BOT_NAME) | F.contains(own, F.lit(L.TRIAGE_BOT_NOTICE)), "automated_candidates"),
+    ]
+    if not reasons:
+        return last_match(routes, "uncertain_or_other")
+    return last_match([(mask, TRIAGE_REASONS[name]) for mask, name in routes], TRIAGE_REASONS["uncertain_or_other"])
+
+
+#: Why a record takes a route.
+TRIAGE_REASONS = {
+    "geopolitics_excluded_no_property_link": "Politics of the region, and neither the record nor its parent names property; the exclusion can be reviewed.",
+    "context_dependent": "Only the parent names property: what the record adds shows in its conversation.",
+    "property_discussion_candidates": "Names property and the region in twelve words or more: a candidate, not an acceptance.",
+    "short_property_context_needed": "Names property and the region in fewer than twelve words: to be read in context.",
+    "property_promotion_candidates": "Property in context with an offer and contact, open marketing or the form of a listing: a candidate, not a label.",
+    "automated_candidates": "A known bot or a notice of automated action.",
+    "uncertain_or_other": "No rule finds enough evidence of property; relevant records may remain here.",
+}
+
+
+def contains_class(label: Column | str, word: str) -> Column:
+    """Whether a label names a class: equal to ``word``, or holding it anywhere, case aside; a null label is neither."""
+    return F.contains(F.lower(text_of(label)), F.lit(word.lower()))
+
+
+def mapped_label(label: Column | str, names: dict[str, str], default: str | None = None) -> Column:
+    """A display name for a coded label; a code that has none keeps itself, or ``default`` where that is given."""
+    c = text_of(label)
+    return first_match([(c == code, name) for code, name in names.items()], default) if default is not None else F.coalesce(first_match([(c == code, name) for code, name in names.items()], None), c)
 
 
 def sampling_stratum(topic: Column | str, text: Column | str, context: Column | str, filler: Column) -> Column:

@@ -43,12 +43,21 @@ def squeeze(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(text_of(c), r"(?U)\s+", " "))
 
 
+def _mapped(c: Column, wanted: str, f) -> Column:
+    """``f`` of each text in which the pattern ``wanted`` is found; only those texts go through the Arrow UDF."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(f, na_action="ignore")
+
+    return F.coalesce(run(F.when(c.rlike(wanted), c)), c)
+
+
 def unescape_html(c: Column | str) -> Column:
-    """The five predefined entities, the no-break space and decimal quotes; ``&amp;`` last, so that nothing is undone twice."""
-    out = text_of(c)
-    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(plain))
-    return out
+    """All named and numeric character references; texts without an ampersand stay in the JVM."""
+    import html
+
+    return _mapped(text_of(c), "&", html.unescape)
 
 
 def drop_urls(c: Column | str) -> Column:
@@ -62,14 +71,23 @@ def drop_lower_urls(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("http")) | F.contains(c, F.lit("www.")), F.regexp_replace(c, f"(?U){L.URL}", " ")).otherwise(c)
 
 
+def _plain_names(out: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(out, r"(?U)@\w+", " "), r"(?U)#(\w+)", "$1")
+
+
 def clean(c: Column | str, microblog: bool = False) -> Column:
-    """Unescaped, without links, white space squeezed; for microblogs mentions go and hash tags become words."""
+    """Unescaped, without links, white space squeezed; for microblogs pictographs get names, mentions go and hash tags become words."""
     out = unescape_html(c)
     if microblog:
-        out = F.regexp_replace(F.regexp_replace(out, r"(?U)@\w+", " "), r"(?U)#(\w+)", "$1")
+        out = _plain_names(demojize(out))
     return squeeze(drop_urls(out))
 
 
+def normalise_text(c: Column | str) -> Column:
+    """Pictographs named, links and mentions gone, hash tags as words, ``&amp;`` undone, white space squeezed."""
+    return squeeze(F.replace(_plain_names(drop_urls(demojize(text_of(c)))), F.lit("&amp;"), F.lit("&")))
+
+
 def text_key(c: Column | str) -> Column:
     """Lower case, no links, no ``@#``, other than letters and digits to spaces."""
     out = F.regexp_replace(drop_lower_urls(F.lower(text_of(c))), "[@#]", " ")
@@ -89,31 +107,33 @@ def match_key(c: Column | str) -> Column:
 
 
 def repeat_key(c: Column | str) -> Column:
-    """Case-folded and squeezed raw text: links, digits and negations stay."""
-    return squeeze(F.lower(text_of(c)))
+    """Raw text in Unicode NFC, case-folded and squeezed: links, digits and negations stay."""
+    t = text_of(c)
+
+    def fold(x: str) -> str:
+        return unicodedata.normalize("NFC", x).casefold()
+
+    return squeeze(F.lower(_mapped(t, r"[^\x00-\x7F]", fold)))
 
 
 def nfc(c: Column | str) -> Column:
-    """Unicode NFC, for which Spark has no expression; an Arrow UDF."""
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+    """Unicode NFC, for which Spark has no expression; only texts beyond ASCII go through the Arrow UDF."""
+    return _mapped(col(c).cast("string"), r"[^\x00-\x7F]", lambda t: unicodedata.normalize("NFC", t))
+
 
-    return run(col(c).cast("string"))
+#: Characters that are shown as pictures.
+PICTOGRAPH = "[\u203c\u2049\u2139\u2190-\u21ff\u2300-\u23ff\u2460-\u24ff\u25a0-\u27bf\u2900-\u297f\u2b00-\u2bff\U0001f000-\U0001faff]"
 
 
 def demojize(c: Column | str) -> Column:
-    """Pictographs as `` :name: `` from their Unicode names; an Arrow UDF. Names are Unicode's, not a chat program's."""
-    pictograph = re.compile("[\u203c\u2049\u2139\u2190-\u21ff\u2300-\u23ff\u2460-\u24ff\u25a0-\u27bf\u2900-\u297f\u2b00-\u2bff\U0001f000-\U0001faff]")
+    """Pictographs as `` :name: `` from their Unicode names; only texts that hold one go through the Arrow UDF. Names are
+    Unicode's, not a chat program's."""
+    pictograph = re.compile(PICTOGRAPH)
 
     def name(m: re.Match) -> str:
         return f" :{unicodedata.name(m[0], 'symbol').lower().replace(' ', '_').replace('-', '_')}: "
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: pictograph.sub(name, t), na_action="ignore")
-
-    return run(col(c).cast("string"))
+    return _mapped(col(c).cast("string"), PICTOGRAPH, lambda t: pictograph.sub(name, t))
 
 
 def author_key(c: Column | str) -> Column:
@@ -126,7 +146,14 @@ def strip_id(c: Column | str) -> Column:
 
 
 def strip_long_id(c: Column | str) -> Column:
-    return F.regexp_replace(text_of(c), "^(?:reddit_(?:post|comment)_|t[13]_)", "")
+    """Without the long prefix at its start and without the two type marks anywhere."""
+    bare = F.regexp_replace(text_of(c), "^reddit_(?:post|comment)_", "")
+    return F.trim(F.replace(F.replace(bare, F.lit("t3_"), F.lit("")), F.lit("t1_"), F.lit("")))
+
+
+def public_author(c: Column | str, digits: int = 16) -> Column:
+    """The start of the SHA-256 of a name, for tables that leave the house; a null name stays null."""
+    return F.substring(F.sha2(col(c).cast("string").cast("binary"), 256), 1, digits)
 
 
 def word_count(c: Column | str) -> Column:
@@ -157,7 +184,7 @@ def substring_hits(c: Column | str, words: list[str], key=match_key) -> Column:
 
 def max_shingle_repeat(c: Column | str, n: int = 6) -> Column:
     """How often the commonest run of ``n`` words occurs: shingles are sorted and the longest run of equals counted."""
-    w = F.split(repeat_key(c), " ")
+    w = F.split(squeeze(F.lower(text_of(c))), " ")
     shingles = F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
     zero = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
@@ -184,10 +211,19 @@ def mention_status(found: Column) -> Column:
     return F.when(n == 0, "none").when(n == 1, "single").otherwise("multiple")
 
 
-def english(lang: Column | str, text: Column | str, short: int = 20) -> Column:
-    """Metadata decides; without it short texts pass and longer ones are left undecided (null)."""
+def likely_english(text: Column | str, least: float = 0.1) -> Column:
+    """At least that share of a text's words are common English ones."""
+    words = F.split(text_key(text), " ")
+    return F.size(F.filter(words, lambda w: w.isin(*L.ENGLISH_WORDS))) >= least * F.size(words)
+
+
+def english(lang: Column | str, text: Column | str, short: int = 20, fallback: bool = False) -> Column:
+    """Metadata decides; without it short texts pass and longer ones are left undecided (null), or with ``fallback`` go by their
+    commonest words."""
     tag = F.lower(F.trim(text_of(lang)))
-    return F.when(tag != "", tag.isin("en", "english")).when(F.char_length(text_of(text)) < short, F.lit(True))
+    said = ~tag.isin("", "nan", "none")
+    out = F.when(said, tag.isin("en", "english")).when(F.char_length(text_of(text)) < short, F.lit(True))
+    return out.otherwise(likely_english(text)) if fallback else out
 
 
 def context_text(post: Column | str, comment: Column | str) -> Column:

@@ -235,3 +235,28 @@ def overlap(activity: DataFrame, domains: DataFrame, topic: str = "topic") -> Da
 def largest_unit(df: DataFrame, groups: list[str], unit: str) -> DataFrame:
     per = df.groupBy(*groups, unit).agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy(*groups).agg(F.sum("n").alias("records"), F.max("n").alias("largest"), F.try_divide(F.max("n").cast("double"), F.sum("n").cast("double")).alias("largest_share"))
+
+
+def weekly_panel(df: DataFrame, groups: list[str], thread: str, author: str, flags: dict[str, Column]) -> DataFrame:
+    """A group's records, distinct threads, distinct known authors, and for each flag its records and their share."""
+    known = F.when(F.trim(F.coalesce(F.col(author).cast("string"), F.lit(""))) != "", F.col(author))
+    hit = {n: F.coalesce(c, F.lit(False)) for n, c in flags.items()}
+    g = df.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("records"), F.count_distinct(thread).alias("threads"), F.count_distinct(known).alias("authors"),
+        *[F.count_if(c).alias(n) for n, c in hit.items()],
+    )
+    return g.select("*", *[ratio(F.col(n), F.col("records")).alias(f"{n}_share") for n in hit])
+
+
+def filled_bins(df: DataFrame, period: str, spine: DataFrame, *aggs: Column, zero: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each period of ``spine``, empty ones too: the ``zero`` columns are 0 there and the others null."""
+    out = spine.join(df.groupBy(period).agg(*aggs), period, "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in zero})
+
+
+def per_group_filter(groups: DataFrame, facts: DataFrame, key: str, low: str, high: str, at: str, *aggs: Column) -> DataFrame:
+    """For each row of ``groups`` the aggregates of its own part of ``facts``: same ``key``, ``at`` from ``low`` to before ``high``.
+
+    One equality join and one aggregate for all groups; a group without facts keeps its row."""
+    inside = facts.join(groups.select(key, low, high).distinct(), key).where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high)))
+    return groups.join(inside.groupBy(key, low, high).agg(*aggs), [key, low, high], "left")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import correlation
-from .windows import average_rank
+from .windows import average_rank, row_index
 
 
 def unpivot_specs(panel: DataFrame, keys: list[str], specs: list[str]) -> DataFrame:
@@ -71,14 +71,26 @@ def circular_shift_p(pairs: DataFrame, groups: list[str], order: str) -> DataFra
     return r.withColumn("own", own).groupBy(*groups).agg((F.count_if(F.abs("r") >= F.col("own") - 1e-12) / F.count("r")).alias("p"))
 
 
-def benjamini_hochberg(df: DataFrame, p: str, key: str, groups: list[str] = (), out: str = "q") -> DataFrame:
-    """Monotone from the right, at most 1."""
-    w = Window.partitionBy(*(groups or [F.lit(1)]))
-    rank = F.row_number().over(w.orderBy(p, key))
-    m = F.count(p).over(w)
-    d = df.withColumn("_raw", F.col(p) * m / rank)
-    tail = w.orderBy(p, key).rowsBetween(0, Window.unboundedFollowing)
-    return d.withColumn(out, F.least(F.lit(1.0), F.min("_raw").over(tail))).drop("_raw")
+def benjamini_hochberg(df: DataFrame, p: str, key: str, groups: list[str] = (), out: str = "q", chunk_rows: int = 200_000) -> DataFrame:
+    """Monotone from the right, at most 1; a null p has a null q and counts for nothing.
+
+    Without groups the whole table is one family: rows are numbered bucket by bucket, and the least value to the right of a
+    row is the least in its bucket and of the later buckets' least, so no window spans the table.
+    """
+    known, none = df.where(F.col(p).isNotNull()), df.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double"))
+    if groups:
+        w = Window.partitionBy(*groups)
+        d = known.withColumn("_raw", F.col(p) * F.count(p).over(w) / F.row_number().over(w.orderBy(p, key)))
+        tail = w.orderBy(p, key).rowsBetween(0, Window.unboundedFollowing)
+        return d.withColumn(out, F.least(F.lit(1.0), F.min("_raw").over(tail))).drop("_raw").unionByName(none)
+    total = known.count()
+    d = row_index(known, [p, key], "_i", chunk_rows).withColumn("_raw", F.col(p) * F.lit(float(total)) / (F.col("_i") + 1)).withColumn("_c", F.floor(F.col("_i") / chunk_rows))
+    least = d.groupBy("_c").agg(F.min("_raw").alias("_m"))
+    later = Window.orderBy(F.desc("_c")).rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
+    least = least.select("_c", F.min("_m").over(later).alias("_later"))
+    tail = Window.partitionBy("_c").orderBy("_i").rowsBetween(0, Window.unboundedFollowing)
+    d = d.withColumn("_raw", F.min("_raw").over(tail)).join(least, "_c")
+    return d.select(*df.columns, F.least(F.lit(1.0), F.col("_raw"), F.coalesce("_later", F.lit(1.0))).alias(out)).unionByName(none)
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:

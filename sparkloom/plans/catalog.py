@@ -90,9 +90,12 @@ def flagship_weekly_share(spark, d):
     return rounded(A.weekly_domain_share(activity(spark, d), domains(spark)))
 
 
-@query("SELECT 'none' AS domain WHERE false")
+@query(f"""SELECT DISTINCT 'law' AS domain, platform, week FROM {ACT} WHERE week >= DATE '2024-01-15' AND topic <> -1""")
 def share_identity_violations(spark, d):
-    return A.identity_violations(A.weekly_domain_share(activity(spark, d), domains(spark))).select("domain")
+    """A panel whose law shares are spoiled from the third week on: just those rows are found."""
+    p = A.weekly_domain_share(activity(spark, d), domains(spark))
+    spoiled = F.when((F.col("domain") == "law") & (F.col("week") >= "2024-01-15"), F.col("share_all") + 0.01).otherwise(F.col("share_all"))
+    return A.identity_violations(p.withColumn("share_all", spoiled)).select("domain", "platform", "week")
 
 
 @query(f"""SELECT CAST(date_trunc('week', sold) AS DATE) AS week, count(*) AS sales, round(sum(value), 2) AS total_value, round(avg(value), 6) AS mean_value, round(median(value), 6) AS median_value,
@@ -313,9 +316,9 @@ def semi_join(spark, d):
     return J.semi(t(spark, d, "customer").select("c_custkey"), t(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def anti_join(spark, d):
-    return J.anti(t(spark, d, "customer").select("c_custkey"), t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return J.anti(t(spark, d, "customer").select("c_custkey"), t(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("""WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 400000)
@@ -386,7 +389,10 @@ def sample_per_group(spark, d):
     return Q.per_group(t(spark, d, "documents").select("lang", "doc_id"), ["lang"], "doc_id", 20)
 
 
-@query()
+@query("""WITH s AS (SELECT lang, count(*) AS c FROM documents GROUP BY 1), g AS (SELECT lang, least(c, greatest(1, ceil(97 * c / sum(c) OVER ())))::INT AS g FROM s),
+k AS (SELECT greatest(0, sum(g) - greatest(97, count(*))) AS k FROM g), u AS (SELECT *, row_number() OVER (ORDER BY level DESC, lang DESC) AS n FROM (SELECT lang, unnest(range(1, g + 1)) AS level FROM g)),
+q AS (SELECT lang, count(*) AS quota FROM u, k WHERE n > k GROUP BY 1)
+SELECT lang, doc_id FROM documents JOIN q USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) <= quota""")
 def sample_proportional(spark, d):
     return Q.proportional(t(spark, d, "documents").select("lang", "doc_id"), "lang", "doc_id", 97)
 
@@ -470,7 +476,9 @@ def bootstrap_intervals(spark, d):
     return rounded(K.intervals(draws, ["area"]))
 
 
-@query()
+@query(f"""WITH g AS (SELECT area, count(*) AS n, corr(x, y) AS r FROM {SERIES} GROUP BY 1), i AS (SELECT unnest(range(0, 401)) AS i),
+f AS (SELECT area, any_value(n) AS n, any_value(r) AS r, sum((CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * cos(asin(abs(r)) * i / 400) ^ (n - 3) * asin(abs(r)) / 1200) AS part FROM g, i GROUP BY 1)
+SELECT area, n, round(r, 6) AS r, round(1 - 2 * exp(lgamma((n - 1) / 2) - lgamma((n - 2) / 2)) / sqrt(pi()) * part, 6) AS p FROM f""")
 def association_p(spark, d):
     return rounded(K.with_p(K.association_grid(series(spark, d), ["area"], "month")).select("area", "n", "r", "p"))
 
@@ -643,11 +651,64 @@ def near_duplicate_audit(spark, d):
     return rounded(neardup.near_duplicate_audit(c, "key", "text", "role", "conv_id"))
 
 
-@query("""WITH r AS (SELECT DISTINCT o_custkey, o_orderstatus, o_orderpriority FROM orders), k AS (SELECT o_custkey FROM r GROUP BY 1 HAVING count(DISTINCT o_orderstatus) = 1)
-SELECT o_custkey, o_orderstatus, o_orderpriority FROM r JOIN k USING (o_custkey) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) = 1""")
+@query("""WITH r AS (SELECT DISTINCT l_orderkey, l_returnflag, l_linestatus FROM lineitem), k AS (SELECT l_orderkey FROM r GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 1)
+SELECT l_orderkey, l_returnflag, l_linestatus FROM r JOIN k USING (l_orderkey) QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linestatus) = 1""")
 def registration_dedup(spark, d):
-    o = t(spark, d, "orders").select("o_custkey", "o_orderstatus", "o_orderpriority")
-    return D.registrations(o, "o_custkey", ["o_orderstatus"], ["o_orderpriority"])[0]
+    return D.registrations(t(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus"), "l_orderkey", ["l_returnflag"], ["l_linestatus"])[0]
+
+
+@query("""WITH a AS (SELECT lang, doc_id, source, length(text) AS n, lower(text) AS k FROM documents), b AS (SELECT *, CASE WHEN coalesce(k, '') = '' THEN 'id:' || doc_id ELSE 't:' || k END AS u FROM a QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC) = 1)
+SELECT doc_id, lang, source FROM b QUALIFY row_number() OVER (PARTITION BY u ORDER BY n DESC, doc_id) = 1""")
+def id_then_text_dedup(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", "lang", "source", F.char_length("text").alias("n"), F.lower("text").alias("k"))
+    return D.by_id_then_text(docs, "doc_id", "k", "n").select("doc_id", "lang", "source")
+
+
+@query(f"SELECT record_key, (SELECT count(DISTINCT b.author) FROM {ACT} b WHERE b.training_key = a.training_key) > 1 AS is_cross_author_duplicate FROM {ACT} a")
+def cross_author_flag(spark, d):
+    return D.cross_author_flag(activity(spark, d), "author", "training_key").select("record_key", "is_cross_author_duplicate")
+
+
+@query(f"""SELECT platform, week, count(*) AS records, count(DISTINCT thread_id) AS threads, count(DISTINCT nullif(trim(author), '')) AS authors, count(*) FILTER (topic = -1) AS noise, count(*) FILTER (value > 50) AS large,
+ round(count(*) FILTER (topic = -1) / count(*), 6) AS noise_share, round(count(*) FILTER (value > 50) / count(*), 6) AS large_share FROM {ACT} GROUP BY ALL""")
+def weekly_activity_panel(spark, d):
+    return rounded(A.weekly_panel(activity(spark, d), ["platform", "week"], "thread_id", "author", {"noise": F.col("topic") == -1, "large": F.col("value") > 50}))
+
+
+@query("""WITH w AS (SELECT CAST(unnest(generate_series(DATE '2023-12-04', DATE '2024-03-25', INTERVAL 7 DAY)) AS DATE) AS week), p AS (SELECT CAST(date_trunc('week', ts) AS DATE) AS week, count(*) AS n, avg(value) AS v FROM events GROUP BY 1)
+SELECT week, coalesce(n, 0) AS n, round(v, 6) AS v FROM w LEFT JOIN p USING (week)""")
+def empty_bins(spark, d):
+    e = t(spark, d, "events").withColumn("week", C.week_start("ts"))
+    return rounded(A.filled_bins(e, "week", C.calendar(spark, "2023-12-04", "2024-03-25"), F.count(F.lit(1)).alias("n"), F.avg("value").alias("v"), zero=("n",)))
+
+
+@query("""WITH g AS (SELECT o_orderpriority AS area, min(o_orderdate) + INTERVAL 1 YEAR AS since, min(o_orderdate) + INTERVAL 2 YEAR AS until FROM orders GROUP BY 1)
+SELECT area, count(*) AS n, round(sum(o_totalprice), 2) AS value FROM g JOIN orders ON o_orderpriority = area AND o_orderdate >= since AND o_orderdate < until GROUP BY 1""")
+def per_group_filter(spark, d):
+    o = t(spark, d, "orders").select(F.col("o_orderpriority").alias("area"), "o_orderdate", "o_totalprice")
+    first = o.groupBy("area").agg(F.min("o_orderdate").alias("a")).select("area", F.expr("a + interval 1 year").alias("since"), F.expr("a + interval 2 year").alias("until"))
+    return A.per_group_filter(first, o, "area", "since", "until", "o_orderdate", F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("value")).select("area", "n", "value")
+
+
+@query("SELECT nullif(author, '') AS author, count(*) AS n FROM " + ACT + " GROUP BY 1")
+def group_with_null_key(spark, d):
+    return activity(spark, d).groupBy(F.when(F.col("author") != "", F.col("author")).alias("author")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS shown, CASE o_orderstatus WHEN 'F' THEN 'finished' ELSE 'other' END AS coarse, contains(lower(o_orderpriority), 'urgent') AS urgent, contains(lower(o_orderpriority), 'low') AS low FROM orders""")
+def label_maps(spark, d):
+    o = t(spark, d, "orders")
+    return o.select("o_orderkey", R.mapped_label("o_orderstatus", {"F": "finished", "O": "open"}).alias("shown"), R.mapped_label("o_orderstatus", {"F": "finished"}, "other").alias("coarse"), R.contains_class("o_orderpriority", "URGENT").alias("urgent"), R.contains_class("o_orderpriority", "low").alias("low"))
+
+
+@query("SELECT annotator, doc_id, CAST(row_number() OVER (PARTITION BY annotator ORDER BY md5(annotator || ':' || doc_id), doc_id) AS INT) AS place FROM labels CROSS JOIN (SELECT unnest(['a1', 'a2']) AS annotator)")
+def annotator_packets(spark, d):
+    """Each annotator's rows as a packet numbers them."""
+    out = None
+    for a in ("a1", "a2"):
+        p = W.row_index(t(spark, d, "labels").select("doc_id", F.conv(F.substring(Q.draw("doc_id", a), 1, 12), 16, 10).cast("long").alias("h"), Q.draw("doc_id", a).alias("k")), ["h", "k", "doc_id"], "place").select(F.lit(a).alias("annotator"), "doc_id", (F.col("place") + 1).cast("int").alias("place"))
+        out = p if out is None else out.unionByName(p)
+    return out
 
 
 @query("""WITH r AS (SELECT event_type, user_id, value, concat('s', user_id % 3) AS stream FROM events)
@@ -675,7 +736,7 @@ KEYWORDS = ["the", "and", "of the", "und", "der", "que", "les"]
 
 @query(r"""WITH u AS (SELECT doc_id, text, regexp_replace(lower(text), 'https?://\S+|www\.\S+', ' ', 'g') AS l FROM documents)
 SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(l, '[@#]', ' ', 'g'), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS text_key, md5(trim(regexp_replace(regexp_replace(l, '[^a-z0-9\s\-_/+.%]', ' ', 'g'), '\s+', ' ', 'g'))) AS match_key,
- substr(sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))), 1, 24) AS family, CAST(len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) AS BIGINT) AS words FROM u""")
+ substr(sha256(trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '\s+', ' ', 'g'))), 1, 24) AS family, CAST(len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) AS BIGINT) AS words FROM u""")
 def text_keys(spark, d):
     h = lambda c: F.md5(c.cast("binary"))
     return t(spark, d, "documents").select("doc_id", h(T.text_key("text")).alias("text_key"), h(T.match_key("text")).alias("match_key"), T.family("text").alias("family"), T.space_words("text").alias("words"))
@@ -704,6 +765,63 @@ def text_rules(spark, d):
     )
 
 
+#: Endings that give the invented turns something for the rules to find, by conversation.
+ENDINGS = [
+    " For sale: 2BR apartment, AED 900k, brand new. DM me", " market report: prices fell, AED 900 a sqft, studio and 1br vacant", " tenancy and ejari questions, whatsapp me", " bitcoin airdrop, hiring now",
+    " we are offering our inventory, for rent, fully furnished", " thanks", "",
+]
+SPOKEN = "(SELECT conv_id, turn, role, concat(coalesce(text, ''), CASE conv_id % 7 " + " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(ENDINGS)) + " ELSE '' END) AS said FROM conversations)"
+
+
+def spoken(spark, d):
+    ending = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.pmod("conv_id", F.lit(7)) + 1).cast("int"))
+    return t(spark, d, "conversations").select("conv_id", "turn", "role", F.concat(F.coalesce("text", F.lit("")), F.coalesce(ending, F.lit(""))).alias("said"))
+
+
+def _quoted(words: list[str]) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+def _phrase_sql(words: list[str]) -> str:
+    import re
+
+    return r"regexp_matches(said, '(?i)(^|[^\pL\pN_\pM])(?:" + "|".join(re.escape(w).replace("'", "''").replace(r"\ ", " ").replace(r"\-", "-") for w in words) + r")($|[^\pL\pN_\pM])')"
+
+
+def _count_sql(words: list[str], key: str) -> str:
+    return f"len(list_filter({_quoted(list(dict.fromkeys(words)))}, lambda w: contains({key}, w)))"
+
+
+@query(rf"""WITH s AS {SPOKEN}, l AS (SELECT *, regexp_replace(lower(said), 'https?://\S+|www\.\S+', ' ', 'g') AS u FROM s),
+k AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(u, '[@#]', ' ', 'g'), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS tk, trim(regexp_replace(regexp_replace(u, '[^a-z0-9\s\-_/+.%]', ' ', 'g'), '\s+', ' ', 'g')) AS mk FROM l),
+f AS (SELECT conv_id, turn, {_phrase_sql(L.DOMAIN_TERMS)} AS target, {_phrase_sql(L.CONTACT)} AS contact, {_phrase_sql(L.LISTING)} AS listing, regexp_matches(said, '(?i){L.SPEC}') AS spec, regexp_matches(said, '(?is){L.SOLICIT.replace("'", "''").replace(".{0,55}", "[^" + chr(92) + "n]{0,55}")}') AS solicit,
+ {_count_sql(L.AGENT_LISTING_CUES, 'mk')} >= 2 AS listing_v0, {_count_sql(L.STRONG_LISTING_2, 'mk')} AS s2, {_count_sql(L.WEAK_LISTING, 'mk')} AS w2, {_count_sql(L.ANALYSIS_2, 'mk')} AS p2,
+ {_count_sql(L.STRONG_LISTING_3, 'tk')} AS s3, {_count_sql(L.WEAK_LISTING, 'tk')} AS w3, {_count_sql(L.ANALYSIS_3, 'tk')} AS p3, {_count_sql(L.NOISE_CUES, 'mk')} AS noise, {_count_sql(L.DOMAIN_TERMS, 'mk')} AS domain FROM k)
+SELECT conv_id, turn, target AS has_target_property_cue, contact AS contact_cue, listing AS listing_cue, spec AS spec_cue, solicit AS solicitation_cue, (contact AND (target OR spec OR listing)) OR (listing AND spec AND solicit) AS promotion,
+ (contact OR listing OR solicit) AND NOT ((contact AND (target OR spec OR listing)) OR (listing AND spec AND solicit)) AS ambiguous, listing_v0,
+ (s2 >= 2 OR (s2 >= 1 AND w2 >= 1) OR (w2 >= 4 AND p2 = 0)) AND NOT (p2 >= 1 AND s2 = 0) AS listing_v2, (s3 >= 2 OR (s3 >= 1 AND w3 >= 1) OR (w3 >= 4 AND p3 = 0)) AND NOT (p3 >= 1 AND s3 = 0) AS listing_v3,
+ domain > 0 AND noise <= 1 AS domain_relevant, noise >= 2 AND NOT target AS spam FROM f""")
+def discourse_flags(spark, d):
+    s = spoken(spark, d)
+    sure, unsure = R.promotion(*R.cues("said").values())
+    return s.select(
+        "conv_id", "turn", *[c.alias(n) for n, c in R.cues("said").items()], sure.alias("promotion"), unsure.alias("ambiguous"), R.agent_listing("said").alias("listing_v0"), R.refined_listing("said").alias("listing_v2"),
+        R.refined_listing_with_contact("said", "said", F.lit("post")).alias("listing_v3"), R.domain_listing_keep("said")["is_domain_relevant"].alias("domain_relevant"), R.spam_without_domain("said").alias("spam"),
+    )
+
+
+@query(r"""WITH a AS (SELECT doc_id, text, '  @Ann_1 #Rent ' || text AS x FROM documents),
+b AS (SELECT doc_id, x, regexp_replace(regexp_replace(lower(x), 'https?://\S+|www\.\S+', ' ', 'g'), '@[\pL\pN_\pM]+', ' ', 'g') AS m,
+ string_split(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://\S+|www\.\S+', ' ', 'g'), '[@#]', ' ', 'g'), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')), ' ') AS w FROM a)
+SELECT doc_id, md5(trim(regexp_replace(regexp_replace(m, '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS dup_key, substr(sha256(trim(regexp_replace(replace(lower(nfc_normalize(x)), 'ß', 'ss'), '\s+', ' ', 'g'))), 1, 24) AS family,
+ 'u ' || doc_id AS author, 'p' || doc_id AS bare_id, len(list_filter(w, lambda v: v IN ('the', 'and', 'of', 'to', 'in', 'is', 'it', 'that', 'for', 'was', 'on', 'are', 'with', 'this', 'you', 'be', 'at', 'have', 'not', 'or'))) >= 0.1 * len(w) AS likely_english,
+ substr(sha256(doc_id::VARCHAR), 1, 16) AS public_author FROM b""")
+def text_cleaning(spark, d):
+    a = t(spark, d, "documents").select("doc_id", "text", F.concat(F.lit("  @Ann_1 #Rent "), "text").alias("x"))
+    who, ident = F.concat(F.lit("  U "), F.col("doc_id")), F.concat(F.lit("t3_p"), F.col("doc_id"))
+    return a.select("doc_id", F.md5(T.dup_key("x").cast("binary")).alias("dup_key"), T.family("x").alias("family"), T.author_key(who).alias("author"), T.strip_long_id(ident).alias("bare_id"), T.likely_english("text").alias("likely_english"), T.public_author("doc_id").alias("public_author"))
+
+
 @query("SELECT doc_id, CAST(CASE WHEN regexp_matches(text, '[؀-ۿऀ-ॿ一-鿿]') THEN 1 ELSE 0 END AS INT) AS non_latin, CASE WHEN lower(trim(lang)) <> '' THEN lower(trim(lang)) IN ('en', 'english') WHEN length(text) < 20 THEN true END AS english FROM documents")
 def language_flags(spark, d):
     return t(spark, d, "documents").select("doc_id", F.col("text").rlike(L.NON_LATIN).cast("int").alias("non_latin"), T.english("lang", "text").alias("english"))

@@ -232,3 +232,30 @@ def test_bootstrap_takes_every_row_of_series_of_unequal_length(spark):
                 assert math.isclose(got[g, k], np.corrcoef(x[idx[k]], y[idx[k]])[0, 1], abs_tol=1e-9)
     with pytest.raises(Exception, match="no indices"):
         K.bootstrap_correlations(d, ["g"], "week", K.index_table(spark, 5, 30, 3, 1)).collect()
+
+
+def test_families_of_many_near_copies_form_no_pairs(spark):
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(words[:60] + [f"own{i}"] + words[60:])) for i in range(1500)] + [(5000 + i, " ".join(f"v{i}x{j}" for j in range(60))) for i in range(20)]
+    d = spark.createDataFrame(rows, "id int, text string")
+    got = {r.key: r.family for r in neardup.near_families(d, "id", "text").collect()}
+    assert all(got[i] == 0 for i in range(1500)) and all(got[5000 + i] == 5000 + i for i in range(20))
+
+
+def test_nearest_of_copies_are_copies(spark):
+    texts = {1: "alpha beta gamma delta", 2: "alpha beta gamma delta", 3: "alpha beta gamma delta", 4: "quite different words here", 5: "alpha beta gamma deltas"}
+    d = spark.createDataFrame(list(texts.items()), "id int, text string")
+    w = M.tfidf(neardup.char_grams(d, "id", "text"), "key", len(texts), 1)
+    got = {(r.a, r.b): round(r.similarity, 6) for r in neardup.best_neighbour(w, 0.6).collect()}
+    assert got[1, 2] == got[1, 3] == 1.0 and (1, 5) in got and not any(4 in p for p in got)
+
+
+def test_false_discovery_in_chunks_equals_one_window(spark):
+    import numpy as np
+
+    p = [round(float(x), 3) for x in np.random.default_rng(0).random(300)] + [None]
+    d = spark.createDataFrame(list(enumerate(p)), "k int, p double")
+    whole = {r.k: r.q for r in K.benjamini_hochberg(d.withColumn("g", F.lit(1)), "p", "k", ["g"]).collect()}
+    parts = {r.k: r.q for r in K.benjamini_hochberg(d, "p", "k", chunk_rows=37).collect()}
+    assert whole.keys() == parts.keys() and whole[300] is None and parts[300] is None
+    assert all(abs(whole[k] - parts[k]) < 1e-12 for k in range(300))

@@ -119,3 +119,63 @@ def test_mentions_and_languages(spark):
     assert texts(spark, ["near dubai marina and Al Furjan", "the marina", "jvc"], T.mention_status(found)) == ["multiple", "single", "none"]
     rows = [("en", "x"), ("fr", "x"), (None, "short"), (None, "x" * 30)]
     assert column(spark, rows, "l string, t string", T.english("l", "t")) == [True, False, True, None]
+
+
+def test_cleaning_of_both_branches(spark):
+    rows = [("a &lt;b&gt; &eacute;&#8364; &amp;amp; https://x.y/z  end",), ("@who \U0001f600 #Rent  www.a.b now",), (None,), ("",)]
+    d = spark.createDataFrame(rows, "t string")
+    plain = [r[0] for r in d.select(T.clean("t")).collect()]
+    assert plain[0] == "a <b> é€ &amp; end" and plain[2:] == ["", ""]
+    micro = d.select(T.clean("t", microblog=True)).collect()[1][0]
+    assert micro == ":grinning_face: Rent now"
+    assert d.select(T.normalise_text("t")).collect()[1][0] == ":grinning_face: Rent now"
+
+
+def test_repeat_keys_meet_over_normal_forms_and_case_folding(spark):
+    d = spark.createDataFrame([("Cafe\u0301  STRASSE",), ("caf\u00e9 stra\u00dfe",), ("cafe strasse",)], "t string")
+    a, b, c = [r[0] for r in d.select(T.family("t")).collect()]
+    assert a == b != c
+
+
+def test_ids_and_public_names(spark):
+    d = spark.createDataFrame([("reddit_post_t3_ab",), ("x t1_cd ",), (None,)], "i string")
+    assert [r[0] for r in d.select(T.strip_long_id("i")).collect()] == ["ab", "x cd", ""]
+    import hashlib
+
+    names = [r[0] for r in d.select(T.public_author("i")).collect()]
+    assert names[0] == hashlib.sha256(b"reddit_post_t3_ab").hexdigest()[:16] and names[2] is None
+
+
+def test_english_with_and_without_fallback(spark):
+    rows = [("en", "x"), ("de", "the and of"), (None, "short"), ("", "the rent is too high and it is not for us"), ("nan", "das ist ein langer deutscher Satz ohne mehr"), (None, None)]
+    d = spark.createDataFrame(rows, "l string, t string")
+    assert [r[0] for r in d.select(T.english("l", "t")).collect()] == [True, False, True, None, None, True]
+    assert [r[0] for r in d.select(T.english("l", "t", fallback=True)).collect()] == [True, False, True, True, False, True]
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "v2", "v3"),
+    [
+        ("For sale by agent", "reddit_post", True, True),
+        ("broker with a studio", "reddit_post", True, True),
+        ("broker opinion", "reddit_post", False, False),
+        ("aed sqft 1br vacant", "reddit_post", True, True),
+        ("market report: aed sqft 1br vacant", "reddit_post", False, False),
+        ("valuation aed sqft 1br vacant", "reddit_post", True, False),
+        ("we looked at aed sqft 1br vacant", "reddit_post", False, True),
+        ("dm me", "reddit_comment", False, True),
+        ("dm me market", "reddit_comment", False, True),
+        ("rent with broker", "reddit_post", True, False),
+        ("", "reddit_comment", False, False),
+    ],
+)
+def test_listing_rules(spark, text, kind, v2, v3):
+    d = spark.createDataFrame([(text, kind)], "t string, k string")
+    assert tuple(d.select(R.refined_listing("t"), R.refined_listing_with_contact("t", "t", "k")).first()) == (v2, v3)
+
+
+def test_every_route_has_a_reason(spark):
+    rows = [("war in dubai", "", "a"), ("yes", "rent in dubai", "a"), ("my landlord in dubai raised the rent again and I do not know what to do now", "", "a"), ("rent dubai", "", "a"), ("hello", "", "automoderator"), (None, None, None)]
+    d = spark.createDataFrame(rows, "t string, p string, a string")
+    got = d.select(R.triage("t", "p", "a").alias("route"), R.triage("t", "p", "a", reasons=True).alias("why")).collect()
+    assert all(R.TRIAGE_REASONS[r.route] == r.why for r in got) and len({r.route for r in got}) == 6
