@@ -21,10 +21,27 @@ def fold(id_col: str | Column, modulus: int) -> Column:
     return (F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % modulus).cast("int")
 
 
+def as_text(c: str | Column) -> Column:
+    """An id as text, for its way through Python workers: pandas would turn longs beside a null into doubles."""
+    return (F.col(c) if isinstance(c, str) else c).cast("long").cast("string")
+
+
+def as_long(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the column that ``as_text`` made back as long."""
+    return df.select(*[F.col(f"`{c}`").cast("long").alias(c) if c == name else F.col(f"`{c}`") for c in df.columns])
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one below the warehouse where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or one below the warehouse where it is unset.
+
+    A warehouse on a local path is shared only where the master is local too; elsewhere this is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    return at or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    if at:
+        return at
+    at = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    if at.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return at
 
 
 def durable(df: DataFrame, tag: str) -> DataFrame:

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import as_long, as_text, fold, table
 
 MODULUS, HELD_OUT = 3, 1
 MAX_ROWS = 1_500
@@ -231,8 +231,8 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             langs, score = predict(f["text"].tolist())
             yield pd.DataFrame({"doc_id": f["doc_id"], "held_out": f["held_out"], "lang_pred": langs, "score": score})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold(id_col, MODULUS) == HELD_OUT).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.select(as_text(id_col).alias("doc_id"), (fold(id_col, MODULUS) == HELD_OUT).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    return as_long(rows.mapInPandas(run, "doc_id string, held_out boolean, lang_pred string, score double"), "doc_id")
 
 
 def keep_identified(docs: DataFrame, model: Model | None, min_score: float = 0.5, wanted: list[str] | None = None, text_col: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import as_long, as_text, table
 
 # Fixed values of the format: element ids.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -245,12 +245,14 @@ def packet_table(files: DataFrame, id_col: str, content_col: str) -> DataFrame:
                 rows += [(i, k, p.track, p.timestamp_ns, p.keyframe, p.lacing, p.begin, p.length, None) for k, p in enumerate(m.packets)]
                 if m.error or not m.packets:
                     rows.append((i, None, None, None, None, None, None, None, m.error or "no packets"))
-            yield pd.DataFrame(rows, columns=["id", "packet", "track", "timestamp_ns", "keyframe", "lacing", "begin", "length", "error"]).astype({c: "Int64" for c in ("id", "packet", "track", "timestamp_ns", "lacing", "begin", "length")} | {"keyframe": "boolean"})
+            yield pd.DataFrame(rows, columns=["id", "packet", "track", "timestamp_ns", "keyframe", "lacing", "begin", "length", "error"]).astype({c: "Int64" for c in ("packet", "track", "timestamp_ns", "lacing", "begin", "length")} | {"keyframe": "boolean"})
 
-    return files.select(F.col(id_col).cast("long").alias("id"), F.col(content_col).cast("binary").alias("content")).mapInPandas(run, PACKETS)
+    rows = files.select(as_text(id_col).alias("id"), F.col(content_col).cast("binary").alias("content"))
+    return as_long(rows.mapInPandas(run, PACKETS.replace("id long", "id string", 1)), "id")
 
 
 def features(m: Media, payload: bytes) -> str:
+    """Counts of the file's parts, its length in milliseconds, and the samples' mean, root mean square and zero crossings."""
     a = np.frombuffer(payload, np.uint8).astype(np.float32) - 128
     crossings = int(np.count_nonzero((a[1:] >= 0) != (a[:-1] >= 0)))
     laced = sum(p.lacing > 0 for p in m.packets)
@@ -277,9 +279,10 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 m = parse(stored)
                 back = b"".join([stored[p.begin : p.begin + p.length] for p in m.packets])
                 rows.append((i, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), features(m, back)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, COLUMNS)
+    rows = docs.select(as_text(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return as_long(rows.mapInPandas(run, COLUMNS.replace("doc_id long", "doc_id string")), "doc_id")
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:

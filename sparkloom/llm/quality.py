@@ -19,11 +19,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, fold, free_name, table
+from .common import as_long, as_text, durable, fold, free_name, table
 
 FEATURES = 512
 GRID = 1024
 HELD_OUT, CALIBRATION, MODULUS = 0, 4, 5
+#: Labelled rows for each of the sums that meet at a level of the tree.
+ROWS_A_SUM = 2_000_000
 
 _CLASSES = np.full(256, 6, dtype=np.uint8)  # 0 lower, 1 upper, 2 digit, 3 space, 4 line feed, 5 mark, 6 beyond ASCII or control
 _CLASSES[ord("a") : ord("z") + 1] = 0
@@ -133,7 +135,8 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for f in batches:
             yield pd.DataFrame({"doc_id": f["id"], "x": [statistics(t).astype(np.float32) for t in f["text"]]})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "doc_id long, x array<float>")
+    rows = docs.select(as_text(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return as_long(rows.mapInPandas(run, "doc_id string, x array<float>"), "doc_id")
 
 
 def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", features: int = FEATURES, ridge: float = 0.03, seed: int = 7) -> Model:
@@ -173,7 +176,11 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
         yield pd.DataFrame({"gram": [gram.tobytes()], "rhs": [right.tobytes()]})
 
     sums = known.where(F.col("fold") != CALIBRATION).select("x", "y").mapInPandas(partial, "gram binary, rhs binary")
-    sums = sums.repartition(8).mapInPandas(merged, "gram binary, rhs binary")  # eight sums reach the driver, however many partitions there were
+    levels = [8]  # eight sums reach the driver, however many partitions there were: a tree whose width grows with the rows
+    while levels[-1] * 64 * ROWS_A_SUM < m[0]:
+        levels.append(levels[-1] * 64)
+    for width in reversed(levels):
+        sums = sums.repartition(width).mapInPandas(merged, "gram binary, rhs binary")
     gram, right = np.zeros((d, d)), np.zeros(d)
     for r in sums.toLocalIterator():
         gram += np.frombuffer(r.gram).reshape(d, d)
@@ -208,7 +215,8 @@ def score(stats: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
                 s = model.score(np.stack(f["x"].to_numpy()).astype(float))
                 yield pd.DataFrame({"doc_id": f["doc_id"], "held_out": f["held_out"], "score": s, "predicted": (s >= threshold).astype(np.int32)})
 
-    return stats.withColumn("held_out", fold("doc_id", MODULUS) == HELD_OUT).mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    rows = stats.select(as_text("doc_id").alias("doc_id"), (fold("doc_id", MODULUS) == HELD_OUT).alias("held_out"), "x")
+    return as_long(rows.mapInPandas(run, "doc_id string, held_out boolean, score double, predicted int"), "doc_id")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

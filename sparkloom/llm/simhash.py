@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import as_long, as_text, durable, table
 from .components import connected_components
 
 
@@ -47,8 +47,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "fp": np.array([fingerprint(t, shingle, seed) for t in b["text"]], dtype=np.int64)})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, "id long, fp long")
+    rows = docs.select(as_text(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return as_long(rows.mapInPandas(run, "id string, fp long"), "id")
 
 
 def _runs(parts: int) -> list[int]:

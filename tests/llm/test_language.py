@@ -47,3 +47,37 @@ def test_family_then_language(spark):
     one = df.where("lang = 'fr'")
     assert set(language.identify(one, language.fit(one)).toPandas()["lang_pred"]) == {"fr"}
     assert language.identify(df.limit(0), nothing).count() == 0
+
+
+def test_machines_and_coupling_against_plain_loops():
+    rnd = random.Random(3)
+    langs = [list(WORDS)[i % 4] for i in range(160)]
+    x = np.stack([language.grams(" ".join(rnd.choice(WORDS[v].split()) for _ in range(12))) for v in langs]).astype(np.float32)
+    model = language.fit_rows(x, langs)
+    of = {v: language.family_of(v, language.FAMILIES) for v in WORDS}
+    assert set(model.families) == set(of.values()) and all(of[v] == f for f, vs in model.members.items() for v in vs)
+
+    def shares(row, pairs, k):
+        if k == 1:
+            return [1.0]
+        r = [[None] * k for _ in range(k)]
+        for m, a, b in pairs:
+            p = 1 / (1 + np.exp(-float(np.clip((row @ model.weights[m, :-1] + model.weights[m, -1]) * model.slopes[m], -30, 30))))
+            r[a][b], r[b][a] = p, 1 - p
+        raw = [1 / (sum(1 / max(r[a][b], 1e-12) for b in range(k) if b != a) - (k - 2)) for a in range(k)]
+        return [v / sum(raw) for v in raw]
+
+    got, score = model.predict(x)
+    for i, row in enumerate(x):
+        fam = shares(row, model.family_pairs, len(model.families))
+        f = int(np.argmax(fam))
+        inner = shares(row, model.language_pairs[model.families[f]], len(model.members[model.families[f]]))
+        best = int(np.argmax(inner))
+        assert got[i] == model.members[model.families[f]][best] and abs(score[i] - fam[f] * inner[best]) < 1e-4
+
+
+def test_large_ids_keep_their_digits_beside_null_ids(spark):
+    far = (1 << 62) + 1
+    df = spark.createDataFrame([(far, "the and of", "en"), (None, "le la les", "fr"), (far + 2, None, None)], "doc_id long, text string, lang string")
+    out = language.identify(df, language.fit(df)).collect()
+    assert {r.doc_id for r in out} == {far, None, far + 2}

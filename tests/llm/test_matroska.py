@@ -67,3 +67,19 @@ def test_queries_and_packet_table(spark):
     assert sum(r.length or 0 for r in got if r.id == 1) == 640
     assert {r.id for r in got if r.error} == {2, 3}
     assert m.media_columns(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_features_against_plain_loops_and_large_ids(spark):
+    import math
+
+    far = (1 << 62) + 1
+    texts = {far: "héllo wörld " * 40, None: "x", far + 2: "", far + 4: "\x00\xff" * 700}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = {r.doc_id: r for r in m.media_columns(df).collect()}
+    assert out.keys() == texts.keys()
+    for i, t in texts.items():
+        raw = t.encode()
+        samples = [b - 128 for b in raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))]
+        f = dict(p.split("=") for p in out[i].feature.split(";"))
+        assert f["mean"] == f"{sum(samples) / len(samples):.4f}" and f["rms"] == f"{math.sqrt(sum(s * s for s in samples) / len(samples)):.4f}"
+        assert int(f["crossings"]) == sum((a >= 0) != (b >= 0) for a, b in zip(samples, samples[1:]))

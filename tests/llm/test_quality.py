@@ -74,3 +74,29 @@ def test_keep_good_and_without_labels(tables, spark):
     none = quality.classify(d, labels.limit(0)).toPandas()
     assert (none["score"] == 0.5).all() and (none["predicted"] == 1).all()
     assert quality.classify(d.limit(0), labels).count() == 0
+
+
+def test_fit_and_scores_against_one_dense_solve(spark, tables, monkeypatch):
+    d, labels, docs, extra = tables
+    monkeypatch.setattr(quality, "ROWS_A_SUM", 3)  # several levels of sums
+    stats = quality.document_statistics(d).cache()
+    model = quality.fit(stats, labels, features=40)
+    got = {r.doc_id: r for r in quality.score(stats, model).collect()}
+    truth = {}
+    for i, v in [(r.doc_id, r.quality) for r in labels.collect()]:
+        if i is not None and v is not None:
+            truth.setdefault(i, []).append(v)
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    known = [(i, t) for i, t, *_ in docs + extra if i in truth and fold(i) != 0]
+    x = np.array([quality.statistics(t).astype(np.float32) for _, t in known], dtype=float)
+    y = np.array([np.mean(truth[i]) for i, _ in known])
+    scale = x.std(axis=0)
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, np.where(scale > 1e-9, scale, 1.0))
+    learn = np.array([fold(i) != 4 for i, _ in known])
+    z = model.features(x)
+    penalty = np.full(z.shape[1], 0.03)
+    penalty[0] = 1e-6
+    beta = np.linalg.solve(z[learn].T @ z[learn] + np.diag(penalty), z[learn].T @ y[learn])
+    assert np.allclose(z @ beta, z @ model.beta, atol=1e-6)
+    for (i, _), raw in zip(known, z @ beta, strict=True):
+        assert abs(got[i].score - min(1, max(0, np.interp(raw, model.knots, model.values)))) < 1e-6
