@@ -260,3 +260,22 @@ def per_group_filter(groups: DataFrame, facts: DataFrame, key: str, low: str, hi
     One equality join and one aggregate for all groups; a group without facts keeps its row."""
     inside = facts.join(groups.select(key, low, high).distinct(), key).where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high)))
     return groups.join(inside.groupBy(key, low, high).agg(*aggs), [key, low, high], "left")
+
+
+def numeric_differences(left: DataFrame, right: DataFrame, keys: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """Rows (keys, column, left, right) where two tables of the same keys disagree: a key that one lacks (column null), or a number
+    further apart than ``tolerance`` times the larger of 1 and its size. Empty when a stored table is what is recomputed."""
+    numbers = [c for c, k in left.dtypes if c not in keys and k.split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")]
+    side = lambda df, n: df.select(*[F.col(k).alias(f"{k}_{n}") for k in keys], F.lit(True).alias(f"in_{n}"), *[F.col(c).cast("double").alias(f"{c}_{n}") for c in numbers])
+    on = None
+    for k in keys:
+        same = F.col(f"{k}_a").eqNullSafe(F.col(f"{k}_b"))
+        on = same if on is None else on & same
+    both = side(left, "a").join(side(right, "b"), on, "full")
+    here, there = F.col("in_a").isNotNull(), F.col("in_b").isNotNull()
+    apart = lambda c: ~F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b")) & F.coalesce(F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")) > tolerance * F.greatest(F.lit(1.0), F.abs(f"{c}_a"), F.abs(f"{c}_b")), F.lit(True))
+    none = F.lit(None).cast("double")
+    found = [F.when(here & there & apart(c), F.struct(F.lit(c).alias("column"), F.col(f"{c}_a").alias("left"), F.col(f"{c}_b").alias("right"))) for c in numbers]
+    found.append(F.when(~(here & there), F.struct(F.lit(None).cast("string").alias("column"), F.when(here, F.lit(1.0)).otherwise(none).alias("left"), F.when(there, F.lit(1.0)).otherwise(none).alias("right"))))
+    rows = both.select(*[F.coalesce(f"{k}_a", f"{k}_b").alias(k) for k in keys], F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("d"))
+    return rows.select(*keys, "d.column", "d.left", "d.right")

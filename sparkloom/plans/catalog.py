@@ -695,6 +695,16 @@ def group_with_null_key(spark, d):
     return activity(spark, d).groupBy(F.when(F.col("author") != "", F.col("author")).alias("author")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH w AS (SELECT platform, week, count(*) AS n, sum(value) AS v FROM {ACT} GROUP BY ALL)
+SELECT platform, week, 'n' AS "column", n::DOUBLE AS "left", n + 1.0::DOUBLE AS "right" FROM w WHERE week = DATE '2024-01-15'
+UNION ALL SELECT platform, week, NULL, 1.0::DOUBLE, NULL FROM w WHERE week = DATE '2024-01-08' AND platform = 'x'""")
+def numeric_verifier(spark, d):
+    """A stored panel with one week's count spoiled and one row lost: just those are found."""
+    p = activity(spark, d).groupBy("platform", "week").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v"))
+    stored = p.withColumn("n", F.when(F.col("week") == "2024-01-15", F.col("n") + 1).otherwise(F.col("n"))).where("not (week = '2024-01-08' and platform = 'x')")
+    return A.numeric_differences(p, stored, ["platform", "week"])
+
+
 @query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS shown, CASE o_orderstatus WHEN 'F' THEN 'finished' ELSE 'other' END AS coarse, contains(lower(o_orderpriority), 'urgent') AS urgent, contains(lower(o_orderpriority), 'low') AS low FROM orders""")
 def label_maps(spark, d):
     o = t(spark, d, "orders")

@@ -139,3 +139,36 @@ def test_corpus_plan(spark):
     }
     with pytest.raises(Exception, match="Duplicate"):
         corpus.build(d.union(d), "2026-01-01", "2026-05-01")
+
+
+def test_verify_mode(spark, sf_dir, tmp_path, capsys):
+    from sparkloom import cli
+    from sparkloom.plans.catalog import QUERIES
+
+    at = str(tmp_path / "stored")
+    QUERIES["value_counts"](spark, sf_dir).write.parquet(at)
+    assert cli.main(["--verify", "value_counts", "--data", sf_dir, "--stored", at]) == 0
+    spoiled = str(tmp_path / "spoiled")
+    spark.read.parquet(at).limit(2).write.parquet(spoiled)
+    assert cli.main(["--verify", "value_counts", "--data", sf_dir, "--stored", spoiled]) == 1
+    assert cli.main(["--verify", "value_counts"]) == 2
+
+
+def test_entry_survives_a_missing_package(monkeypatch):
+    import builtins
+    import sys
+
+    import __spark_entry__ as entry
+
+    real = builtins.__import__
+
+    def without(name, *a, **k):
+        if name.split(".")[0] == "corpus_pipeline":
+            raise ModuleNotFoundError("No module named 'tokenizers'", name="tokenizers")
+        return real(name, *a, **k)
+
+    monkeypatch.delitem(sys.modules, "corpus_pipeline", raising=False)
+    monkeypatch.setattr(builtins, "__import__", without)
+    with pytest.warns(UserWarning, match="tokenizers"):
+        names = entry.queries()
+    assert "flagship_weekly_share" in names and not any(n.startswith("op1_") for n in names)
