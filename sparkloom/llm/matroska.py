@@ -24,7 +24,8 @@ EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966,
 TIMESTAMP_SCALE, DURATION, TRACK_ENTRY, TRACK_NUMBER, TRACK_TYPE, CODEC_ID = 0x2AD7B1, 0x4489, 0xAE, 0xD7, 0x83, 0x86
 AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER_TIME, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
-CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
+CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER, CUE_RELATIVE, CUE_BLOCK = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1, 0xF0, 0x5378
+DEFAULT_DURATION = 0x23E383
 MASTERS = {EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, TRACK_ENTRY, AUDIO, BLOCK_GROUP, CUE_POINT, CUE_POSITIONS}
 TOP = {INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1043A770, 0x1941A469, 0x1254C367}
 DOC_TYPE, DOC_VERSION, READ_VERSION, MAX_ID, MAX_SIZE, EBML_VERSION, EBML_READ = 0x4282, 0x4287, 0x4285, 0x42F2, 0x42F3, 0x4286, 0x42F7
@@ -43,6 +44,7 @@ def _vint(n: int, width: int = 0) -> bytes:
 
 
 def element(ident: int, payload: bytes, width: int = 0) -> bytes:
+    """An element: its id, its size (in ``width`` bytes if given) and its payload."""
     return _id(ident) + _vint(len(payload), width) + payload
 
 
@@ -106,7 +108,7 @@ class Packet(NamedTuple):
 
 class Media(NamedTuple):
     packets: list[Packet]
-    cues: list[tuple[int, int, int]]  # time in ns, track, byte of the cluster
+    cues: list[tuple[int, int, int, int, int]]  # time in ns, track, byte of the cluster, block's byte in it (-1: not said), block's number in it
     tracks: dict[int, dict]
     duration_ns: int
     clusters: int
@@ -127,7 +129,9 @@ def _read_vint(b: bytes, at: int, end: int, keep: bool = False) -> tuple[int, in
     return -1 if n == (1 << 7 * width) - 1 else n, at + width, width
 
 
-def _block(b: bytes, at: int, end: int, cluster_time: int, scale: int, simple: bool, step_ns: int, key: bool = True) -> list[Packet]:
+def _block(b: bytes, at: int, end: int, cluster_time: int, scale: int, simple: bool, step_ns: int, key: bool = True, frame_ns: int = 0, block_ns: int = 0) -> list[Packet]:
+    """The packets of one block. Laced frames share the block's duration where it is known, else each takes ``frame_ns`` where that
+    is known, else ``step_ns`` a byte."""
     track, at, _ = _read_vint(b, at, end)
     if at + 3 > end:
         raise ValueError(f"block cut short at byte {at}")
@@ -156,10 +160,11 @@ def _block(b: bytes, at: int, end: int, cluster_time: int, scale: int, simple: b
             raise ValueError(f"lace sizes do not fit at byte {at}")
     key = bool(flags & 0x80) if simple else key
     out, when = [], (cluster_time + rel) * scale
-    for size in sizes:
-        out.append(Packet(track, when, key, kind, at, size))
+    for k, size in enumerate(sizes):
+        since = block_ns * k // len(sizes) if block_ns else frame_ns * k
+        out.append(Packet(track, when + since, key, kind, at, size))
         at += size
-        when += step_ns * size
+        when += 0 if block_ns or frame_ns else step_ns * size
     return out
 
 
@@ -170,6 +175,11 @@ def parse(b: bytes | None) -> Media:
     if not b:
         return Media(packets, cues, tracks, 0, 0, "empty")
 
+    def pace(at: int) -> tuple[int, int]:
+        """Nanoseconds a byte and a frame of the track of the block at ``at``."""
+        t = tracks.get(_read_vint(b, at, len(b))[0], {})
+        return int(8e9 / (t["bits"] * t["rate"])) if t.get("bits") and t.get("rate") and t["codec"].startswith("A_PCM") else 0, t.get("frame_ns", 0)
+
     def walk(at: int, end: int, parent: int, own: dict) -> int:
         while at < end:
             ident, after, _ = _read_vint(b, at, end, keep=True)
@@ -189,21 +199,21 @@ def parse(b: bytes | None) -> Media:
                     state["clusters"] += 1
                 at = walk(data, stop, ident, inner)
                 if ident == TRACK_ENTRY:
-                    tracks[inner.get(TRACK_NUMBER, 0)] = {"type": inner.get(TRACK_TYPE, 0), "codec": inner.get(CODEC_ID, b"").decode("latin-1"), "rate": inner.get("rate", 0.0), "bits": inner.get("bits", 0)}
+                    tracks[inner.get(TRACK_NUMBER, 0)] = {"type": inner.get(TRACK_TYPE, 0), "codec": inner.get(CODEC_ID, b"").decode("latin-1"), "rate": inner.get("rate", 0.0), "bits": inner.get("bits", 0), "frame_ns": inner.get(DEFAULT_DURATION, 0)}
                 elif ident == AUDIO:
                     own["rate"] = float(np.frombuffer(inner[SAMPLING], f">f{len(inner[SAMPLING])}")[0]) if len(inner.get(SAMPLING, b"")) in (4, 8) else 8000.0
                     own["bits"] = inner.get(BIT_DEPTH, 0) * inner.get(CHANNELS, 1)
                 elif ident == BLOCK_GROUP and BLOCK in inner:
-                    packets.extend(_block(b, *inner[BLOCK], state["time"], state["scale"], False, 0, REFERENCE not in inner))
+                    step, frame = pace(inner[BLOCK][0])
+                    packets.extend(_block(b, *inner[BLOCK], state["time"], state["scale"], False, step, REFERENCE not in inner, frame, inner.get(BLOCK_DURATION, 0) * state["scale"]))
                 elif ident == CUE_POSITIONS:
-                    own.setdefault("at", []).append((inner.get(CUE_TRACK, 0), state["segment"] + inner.get(CUE_CLUSTER, 0)))
+                    own.setdefault("at", []).append((inner.get(CUE_TRACK, 0), state["segment"] + inner.get(CUE_CLUSTER, 0), inner.get(CUE_RELATIVE, -1), inner.get(CUE_BLOCK, 1)))
                 elif ident == CUE_POINT:
-                    cues.extend((inner.get(CUE_TIME, 0) * state["scale"], t, p) for t, p in inner.get("at", []))
+                    cues.extend((inner.get(CUE_TIME, 0) * state["scale"], *where) for where in inner.get("at", []))
                 continue
             if ident == SIMPLE_BLOCK:
-                t = tracks.get(b[data] & 0x7F, {}) if data < stop else {}
-                step = int(8e9 / (t["bits"] * t["rate"])) if t.get("bits") and t.get("rate") and t["codec"].startswith("A_PCM") else 0
-                packets.extend(_block(b, data, stop, state["time"], state["scale"], True, step))
+                step, frame = pace(data)
+                packets.extend(_block(b, data, stop, state["time"], state["scale"], True, step, True, frame))
             elif ident == BLOCK:
                 own[BLOCK] = (data, stop)
             elif ident in (CODEC_ID, SAMPLING, DOC_TYPE):

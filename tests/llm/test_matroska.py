@@ -83,3 +83,16 @@ def test_features_against_plain_loops_and_large_ids(spark):
         f = dict(p.split("=") for p in out[i].feature.split(";"))
         assert f["mean"] == f"{sum(samples) / len(samples):.4f}" and f["rms"] == f"{math.sqrt(sum(s * s for s in samples) / len(samples)):.4f}"
         assert int(f["crossings"]) == sum((a >= 0) != (b >= 0) for a, b in zip(samples, samples[1:]))
+
+
+def test_durations_time_laced_frames_and_cues_point_into_clusters():
+    entry = m.element(m.TRACK_ENTRY, m._uint(m.TRACK_NUMBER, 2) + m._uint(m.TRACK_TYPE, 1) + m._uint(m.DEFAULT_DURATION, 40_000_000) + m.element(m.CODEC_ID, b"V_X"))
+    laced = b"\x82\x00\x01\x04" + m.lace([b"ab", b"cd", b"ef"], 2)
+    group = m.element(m.BLOCK_GROUP, m.element(m.BLOCK, laced) + m._uint(m.BLOCK_DURATION, 30))
+    plain = m.element(m.SIMPLE_BLOCK, laced)
+    cluster = m.element(m.CLUSTER, m._uint(m.CLUSTER_TIME, 100) + group + plain)
+    cue = m.element(m.CUES, m.element(m.CUE_POINT, m._uint(m.CUE_TIME, 101) + m.element(m.CUE_POSITIONS, m._uint(m.CUE_TRACK, 2) + m._uint(m.CUE_CLUSTER, len(entry) + 7) + m._uint(m.CUE_RELATIVE, 4) + m._uint(m.CUE_BLOCK, 2))))
+    f = m.element(m.EBML, b"") + m.element(m.SEGMENT, m.element(m.TRACKS, entry) + cluster + cue)
+    got = m.parse(f)
+    assert got.error == "" and [p.timestamp_ns for p in got.packets] == [101_000_000 + k * 10_000_000 for k in range(3)] + [101_000_000 + k * 40_000_000 for k in range(3)]
+    assert got.cues[0][0] == 101_000_000 and got.cues[0][1] == 2 and got.cues[0][3:] == (4, 2)
