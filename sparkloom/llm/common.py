@@ -12,6 +12,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

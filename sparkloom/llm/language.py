@@ -57,10 +57,12 @@ _TO_SPACE = _SPACE.tobytes()
 
 
 def family_of(lang: str, families: dict[str, str] = FAMILIES) -> str:
+    """A language's family; one that is not listed is its own."""
     return next((f for f, members in families.items() if lang in members.split()), f"={lang}")
 
 
 def has_letter(text: str | None) -> bool:
+    """Whether a text has any letter; null has none."""
     return bool(text) and _LETTER.search(text) is not None
 
 
@@ -151,6 +153,7 @@ def _slope(margin: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit_rows(x: np.ndarray, langs: list[str], families: dict[str, str] = FAMILIES) -> Model:
+    """Machines from rows of features: between families, then between the languages of each. Copies count as often as they come."""
     known = sorted(set(langs))
     of = {lang: family_of(lang, families) for lang in known}
     names = sorted(set(of.values()))
@@ -248,5 +251,6 @@ def keep_identified(docs: DataFrame, model: Model | None, min_score: float = 0.5
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return identify(docs, fit(docs))

@@ -98,6 +98,7 @@ def mux(samples: bytes, frame: int = 512, frames_per_block: int = 8, blocks_per_
 
 
 class Packet(NamedTuple):
+    """One frame: its track, time, flags and byte range."""
     track: int
     timestamp_ns: int
     keyframe: bool
@@ -107,6 +108,7 @@ class Packet(NamedTuple):
 
 
 class Media(NamedTuple):
+    """What a file holds."""
     packets: list[Packet]
     cues: list[tuple[int, int, int, int, int]]  # time in ns, track, byte of the cluster, block's byte in it (-1: not said), block's number in it
     tracks: dict[int, dict]
@@ -296,4 +298,5 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and features of all documents, stored as media."""
     return media_columns(table(spark, sf_dir, "documents"))

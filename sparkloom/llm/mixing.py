@@ -183,6 +183,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of all documents."""
     return mix(table(spark, sf_dir, "documents"))
 
 
