@@ -9,6 +9,7 @@ from pathlib import Path
 
 
 def parser() -> argparse.ArgumentParser:
+    """The command line."""
     p = argparse.ArgumentParser(prog="sparkloom")
     mode = p.add_mutually_exclusive_group()
     mode.add_argument("--list", action="store_true", help="list the queries and stop")
@@ -22,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None) -> int:
+    """Run one mode; the exit code is 0 when all is well, 1 when something differs, 2 for missing options."""
     a = parser().parse_args(argv)
     from .plans.catalog import QUERIES
 

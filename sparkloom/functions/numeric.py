@@ -9,6 +9,7 @@ from .text import col
 
 
 def ratio(a: Column | str, b: Column | str) -> Column:
+    """a / b as a double; null where b is 0 or either is null."""
     return F.try_divide(col(a).cast("double"), col(b).cast("double"))
 
 
@@ -19,10 +20,12 @@ def number(c: Column | str, default: float | None = 0.0) -> Column:
 
 
 def growth(now: Column, before: Column) -> Column:
+    """now / before - 1; null where before is 0 or either is null."""
     return F.try_divide(now.cast("double"), before.cast("double")) - 1
 
 
 def half_even(c: Column | str, digits: int = 2) -> Column:
+    """Rounded to ``digits``, halves to the even neighbour."""
     return F.bround(col(c), digits)
 
 
@@ -36,6 +39,7 @@ def bins(c: Column | str, edges: list[float]) -> Column:
 
 
 def interaction(likes: Column, reposts: Column, replies: Column, quotes: Column, weights: tuple[float, ...] = (1, 3, 2, 2)) -> Column:
+    """A weighted sum of reactions; a missing one counts as 0."""
     return sum((number(c) * w for c, w in zip((likes, reposts, replies, quotes), weights, strict=True)), F.lit(0.0))
 
 
@@ -48,18 +52,22 @@ def correlation(x: Column | str, y: Column | str) -> Column:
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
+    """Inner product of two arrays of numbers."""
     product = F.zip_with(col(a), col(b), lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(product, F.lit(0.0), lambda s, x: s + x)
 
 
 def norm(a: Column | str) -> Column:
+    """Euclidean length of an array of numbers."""
     return F.sqrt(dot(a, a))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
+    """Cosine of two arrays; null where either has length 0."""
     return F.try_divide(dot(a, b), F.nullif(norm(a) * norm(b), F.lit(0.0)))
 
 
 def unit(a: Column | str) -> Column:
+    """An array scaled to length 1."""
     n = norm(a)
     return F.transform(col(a), lambda x: F.try_divide(x.cast("double"), F.nullif(n, F.lit(0.0))))

@@ -12,10 +12,12 @@ REDDIT_COMMENT = "reddit_comment"
 
 
 def is_comment(kind: Column | str) -> Column:
+    """Whether a kind is that of a comment; a null kind is not."""
     return text_of(kind) == REDDIT_COMMENT
 
 
 def cues(text: Column | str) -> dict[str, Column]:
+    """The five cue flags of a text, by name."""
     return {
         "has_target_property_cue": has(text, phrases(L.DOMAIN_TERMS)),
         "contact_cue": has(text, phrases(L.CONTACT)),
@@ -32,40 +34,49 @@ def promotion(property_cue: Column, contact: Column, listing: Column, spec: Colu
 
 
 def relevance(text: Column | str, context: Column | str, kind: Column | str) -> Column:
+    """A text names the domain, or is a comment whose context does."""
     domain = phrases(L.DOMAIN_TERMS)
     return has(text, domain) | (is_comment(kind) & has(context, domain))
 
 
 def contact_only(text: Column | str, kind: Column | str) -> Column:
+    """A comment of at most 14 words that says nothing but contact words."""
     return is_comment(kind) & whole(text, L.CONTACT_ONLY) & (word_count(text) <= 14)
 
 
 def reaction_only(text: Column | str, kind: Column | str) -> Column:
+    """A comment of at most three words that is one reaction."""
     return is_comment(kind) & whole(text, phrases(L.REACTION)) & (word_count(text) <= 3)
 
 
 def known_moderator(platform: Column | str, author: Column | str) -> Column:
+    """The moderation account of the forum, however its name is written; a human who is named like it in part is not."""
     name = F.regexp_replace(F.lower(F.trim(F.regexp_replace(text_of(author), r"(?U)^\s+|\s+$", ""))), "^/?u/", "")
     return (text_of(platform) == "reddit") & (name == "automoderator")
 
 
 def bot_name(author: Column | str) -> Column:
+    """A name that sounds like a program."""
     return has(author, L.BOT_NAME)
 
 
 def spam_without_domain(text: Column | str) -> Column:
+    """Two noise cues or more and no term of the domain."""
     return (F.size(substring_hits(text, L.NOISE_CUES)) >= 2) & (F.size(bounded_hits(text, L.DOMAIN_TERMS)) == 0)
 
 
 def long_or_domain(text: Column | str, words: int = 3) -> Column:
+    """Enough words, or any term of the domain."""
     return (space_words(text) >= words) | (F.size(bounded_hits(text, L.DOMAIN_TERMS)) > 0)
 
 
 def agent_listing(text: Column | str, terms: list[str] | None = None, least: int = 2) -> Column:
+    """The first listing rule: ``least`` cues or more anywhere."""
     return F.size(substring_hits(text, terms or L.AGENT_LISTING_CUES)) >= least
 
 
 def domain_listing_keep(text: Column | str, domain: list[str] | None = None, most_noise: int = 1, least: int = 2) -> dict[str, Column]:
+    """The flags is_domain_relevant, is_likely_agent_listing and keep of the first filter."""
     relevant = (F.size(substring_hits(text, domain or L.DOMAIN_TERMS)) > 0) & (F.size(substring_hits(text, L.NOISE_CUES)) <= most_noise)
     listing = agent_listing(text, least=least)
     return {"is_domain_relevant": relevant, "is_likely_agent_listing": listing, "keep": relevant & ~listing}
@@ -104,11 +115,13 @@ def short_contact_comment(text: Column | str, kind: Column | str, strict_referen
 
 
 def low_information(text: Column | str, kind: Column | str) -> Column:
+    """A comment that is a stock phrase, a short contact line or a notice of removal."""
     exact = text_key(text).isin(*L.LOW_INFO_EXACT)
     return is_comment(kind) & (exact | ((word_count(text) <= 8) & has(text, L.CONTACT_NOISE)) | has(text, L.MODERATOR_NOTICE))
 
 
 def extra_contact_variant(text: Column | str, kind: Column | str) -> Column:
+    """A comment that is a stock contact line, or at most 25 words with a contact phrase."""
     return is_comment(kind) & (dup_key(text).isin(*L.EXTRA_LOW_INFO_EXACT) | ((word_count(text) <= 25) & has(text, L.EXTRA_CONTACT)))
 
 
@@ -143,6 +156,7 @@ def last_match(rules: list[tuple[Column, str]], default: str) -> Column:
 
 
 def first_match(rules: list[tuple[Column, str]], default: str | None) -> Column:
+    """The value of the first rule that holds; a null condition does not."""
     out = F.lit(default) if default is not None else F.lit(None).cast("string")
     for mask, value in reversed(rules):
         out = F.when(F.coalesce(mask, F.lit(False)), F.lit(value)).otherwise(out)
@@ -196,6 +210,7 @@ def mapped_label(label: Column | str, names: dict[str, str], default: str | None
 
 
 def sampling_stratum(topic: Column | str, text: Column | str, context: Column | str, filler: Column) -> Column:
+    """The stratum that a record is drawn from for review: the first that fits."""
     topic = F.col(topic) if isinstance(topic, str) else topic
     short, contact = space_words(text) < 12, has(text, L.STRATUM_CONTACT)
     assigned = topic != -1

@@ -13,6 +13,7 @@ from . import lexicons as L
 
 
 def col(c: Column | str) -> Column:
+    """A column by name, or the column itself."""
     return F.col(c) if isinstance(c, str) else c
 
 
@@ -22,10 +23,12 @@ def text_of(c: Column | str) -> Column:
 
 
 def pattern(p: str, ignore_case: bool = True) -> str:
+    """A pattern with Unicode classes and boundaries, and case aside unless told otherwise."""
     return f"(?{'i' if ignore_case else ''}uU){p}" if ignore_case else f"(?U){p}"
 
 
 def has(c: Column | str, p: str) -> Column:
+    """Whether the pattern is found; a null text has nothing."""
     return text_of(c).rlike(pattern(p))
 
 
@@ -40,6 +43,7 @@ def phrases(words: list[str]) -> str:
 
 
 def squeeze(c: Column | str) -> Column:
+    """Trimmed, every run of white space one space; a null text is empty."""
     return F.trim(F.regexp_replace(text_of(c), r"(?U)\s+", " "))
 
 
@@ -137,11 +141,13 @@ def demojize(c: Column | str) -> Column:
 
 
 def author_key(c: Column | str) -> Column:
+    """A name in lower case and squeezed; empty for the marks of a deleted or missing author."""
     a = squeeze(F.lower(text_of(c)))
     return F.when(a.isin("[deleted]", "deleted", "none", "nan", "[removed]"), F.lit("")).otherwise(a)
 
 
 def strip_id(c: Column | str) -> Column:
+    """An id without its type mark at the start."""
     return F.trim(F.regexp_replace(text_of(c), "^t[13]_", ""))
 
 
@@ -157,6 +163,7 @@ def public_author(c: Column | str, digits: int = 16) -> Column:
 
 
 def word_count(c: Column | str) -> Column:
+    """Number of runs of word characters."""
     return F.regexp_count(text_of(c), F.lit(r"(?U)\b\w+\b")).cast("long")
 
 
@@ -207,6 +214,7 @@ def literal_mentions(c: Column | str, names: list[str], least: int = 5, excluded
 
 
 def mention_status(found: Column) -> Column:
+    """none, single or multiple, by how many names were found."""
     n = F.size(found)
     return F.when(n == 0, "none").when(n == 1, "single").otherwise("multiple")
 
@@ -227,5 +235,6 @@ def english(lang: Column | str, text: Column | str, short: int = 20, fallback: b
 
 
 def context_text(post: Column | str, comment: Column | str) -> Column:
+    """A comment with its post before it, under headings; alone where there is no post."""
     p, c = squeeze(post), squeeze(comment)
     return F.when(p != "", F.concat(F.lit("POST CONTEXT: "), p, F.lit(" COMMENT: "), c)).otherwise(c)

@@ -11,6 +11,7 @@ SNOWFLAKE_EPOCH_MS = 1288834974657
 
 
 def week_start(ts: Column | str, zone: str = "UTC") -> Column:
+    """The Monday of the week, in ``zone``."""
     local = col(ts) if zone == "UTC" else F.from_utc_timestamp(col(ts), zone)
     return F.date_trunc("week", local).cast("date")
 
@@ -21,14 +22,17 @@ def sunday_label(d: Column | str) -> Column:
 
 
 def fortnight(week: Column | str, first: str) -> Column:
+    """Number of the fortnight since ``first``, from 0."""
     return F.floor(F.datediff(col(week), F.lit(first).cast("date")) / 14).cast("int")
 
 
 def snowflake_time(ident: Column | str) -> Column:
+    """The time that a snowflake id carries."""
     return F.timestamp_millis(F.shiftright(col(ident).cast("long"), 22) + F.lit(SNOWFLAKE_EPOCH_MS))
 
 
 def date_parts(d: Column | str) -> dict[str, Column]:
+    """Year, month, quarter, ISO week and labels of a date, by name."""
     c = col(d)
     return {
         "year": F.year(c), "month": F.month(c), "quarter": F.quarter(c), "iso_week": F.weekofyear(c),

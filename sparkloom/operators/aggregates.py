@@ -38,6 +38,7 @@ def weekly_domain_share(activity: DataFrame, domains: DataFrame, groups: list[st
 
 
 def weighted_share(df: DataFrame, groups: list[str], weight: str, inside: Column, out: str = "weighted_share") -> DataFrame:
+    """Share of the weight that lies inside, a group."""
     return df.groupBy(*groups).agg(F.try_divide(F.sum(F.when(inside, F.col(weight)).otherwise(0.0)), F.nullif(F.sum(weight), F.lit(0.0))).alias(out))
 
 
@@ -81,6 +82,7 @@ def repeat_accounting(df: DataFrame, key: str, author: str) -> DataFrame:
 
 
 def value_counts(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, count, share of all)."""
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
     return n.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy(F.lit(1))))
 
@@ -92,6 +94,7 @@ def wide(df: DataFrame, rows: list[str], names: str, values: list[str], agg: Col
 
 
 def joined_set(c: str, sep: str = "|") -> Column:
+    """The sorted distinct values as one text; nulls are left out."""
     return F.array_join(F.array_sort(F.collect_set(c)), sep)
 
 
@@ -102,6 +105,7 @@ def mix_shares(df: DataFrame, groups: list[str], flags: dict[str, Column]) -> Da
 
 
 def conditional_sum(value: Column | str, flag: Column) -> Column:
+    """Sum of the values whose flag holds; 0 if none."""
     v = F.col(value) if isinstance(value, str) else value
     return F.coalesce(F.sum(F.when(flag, v)), F.lit(0.0))
 
@@ -123,6 +127,7 @@ def aggregated_periods(sales: DataFrame, period: Column, value: str) -> DataFram
 
 
 def sunday_weeks(df: DataFrame, keys: list[str], day: str, *aggs: Column) -> DataFrame:
+    """Aggregates a key and week, labelled by the Sunday that ends it."""
     return df.withColumn("week_end", sunday_label(day)).groupBy(*keys, "week_end").agg(*aggs)
 
 
@@ -157,6 +162,7 @@ def compositions(df: DataFrame, dims: list[str]) -> DataFrame:
 
 
 def winsorized(value: str, share: float = 0.99, keys: list[str] = ()) -> Column:
+    """Values cut at a quantile of their keys; without keys at that of the whole table, in one task."""
     w = Window.partitionBy(*(keys or [F.lit(1)]))
     return F.least(F.col(value), F.percentile(value, share).over(w))
 
@@ -174,11 +180,13 @@ def missing_census(df: DataFrame) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
+    """How many rows are further copies of another."""
     g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
     return g.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
 def describe(df: DataFrame, value: str) -> DataFrame:
+    """Count, mean, deviation, extremes and quartiles of a column."""
     q = F.percentile(value, [0.25, 0.5, 0.75])
     return df.agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.max(value).alias("max"))
 
@@ -233,6 +241,7 @@ def overlap(activity: DataFrame, domains: DataFrame, topic: str = "topic") -> Da
 
 
 def largest_unit(df: DataFrame, groups: list[str], unit: str) -> DataFrame:
+    """Records, the largest unit's records and its share, a group."""
     per = df.groupBy(*groups, unit).agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy(*groups).agg(F.sum("n").alias("records"), F.max("n").alias("largest"), F.try_divide(F.max("n").cast("double"), F.sum("n").cast("double")).alias("largest_share"))
 

@@ -42,6 +42,7 @@ def same_author_repeat(df: DataFrame, author: str, family: str, time: str, recor
 
 
 def cross_author_flag(df: DataFrame, author: str, family: str) -> DataFrame:
+    """True where more than one known author posted a row's text."""
     return df.withColumn("is_cross_author_duplicate", group_distinct(author, family) > 1)
 
 

@@ -18,6 +18,7 @@ def duplicated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def expect_unique(df: DataFrame, keys: list[str], what: str = "table") -> DataFrame:
+    """``df``, or an error that names keys that repeat."""
     bad = duplicated_keys(df, keys).limit(3).collect()
     if bad:
         raise KeyViolation(f"Duplicate {'/'.join(keys)} in {what}: {[tuple(r) for r in bad]}")
@@ -31,6 +32,7 @@ def one_to_one(left: DataFrame, right: DataFrame, keys: list[str], suffixes: tup
 
 
 def suffixed_join(left: DataFrame, right: DataFrame, keys: list[str], suffixes: tuple[str, str] = ("_x", "_y"), how: str = "inner") -> DataFrame:
+    """A join in which columns of both sides get suffixes."""
     both = (set(left.columns) & set(right.columns)) - set(keys)
     a = left.withColumnsRenamed({c: c + suffixes[0] for c in both})
     b = right.withColumnsRenamed({c: c + suffixes[1] for c in both})
@@ -70,10 +72,12 @@ def same_thread_parent(df: DataFrame, ident: str, parent: str, thread: str, text
 
 
 def semi(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of ``df`` whose keys are in ``keys``."""
     return df.join(keys, on, "left_semi")
 
 
 def anti(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of ``df`` whose keys are not in ``keys``; null keys stay."""
     return df.join(keys, on, "left_anti")
 
 

@@ -14,10 +14,12 @@ def draw(key: str, seed: int | str) -> Column:
 
 
 def simple_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """``n`` rows, in hash order."""
     return df.orderBy(draw(key, seed), key).limit(n)
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """All rows in hash order."""
     return df.orderBy(draw(key, seed), key)
 
 
@@ -88,6 +90,7 @@ def unique_quota(df: DataFrame, stratum: str, key: str, unique: list[str], quota
 
 
 def split(df: DataFrame, stratum: str, key: str, first: int, names: tuple[str, str] = ("calibration", "holdout"), seed: int = 42) -> DataFrame:
+    """The first rows of each stratum in hash order under one name, the rest under the other."""
     w = Window.partitionBy(stratum).orderBy(draw(key, seed), key)
     return df.withColumn("split", F.when(F.row_number().over(w) <= first, names[0]).otherwise(names[1]))
 

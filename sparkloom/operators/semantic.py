@@ -87,6 +87,7 @@ def tfidf(tf: DataFrame, doc: str, documents: int, min_df: int = 1, max_share: f
 
 
 def mean_tfidf(weights: DataFrame, documents: int, top: int) -> DataFrame:
+    """The terms of the largest mean weight over all documents."""
     return weights.groupBy("term").agg((F.sum("weight") / documents).alias("mean_weight")).orderBy(F.desc("mean_weight"), "term").limit(top)
 
 
@@ -102,6 +103,7 @@ def class_tfidf(tf: DataFrame, group: str, top: int = 10, min_df: int = 1) -> Da
 
 
 def topic_table(df: DataFrame, topic: str, keywords: DataFrame | None = None) -> DataFrame:
+    """Rows a topic, with its keywords in order where they are given."""
     n = df.groupBy(topic).agg(F.count(F.lit(1)).alias("count"))
     if keywords is None:
         return n
@@ -115,6 +117,7 @@ def inherit_topic(rows: DataFrame, trained: DataFrame, key: str, topic: str, noi
 
 
 def topic_diversity(keywords: DataFrame) -> DataFrame:
+    """Share of the topics' keywords that are distinct."""
     return keywords.agg((F.count_distinct("term") / F.count("term")).alias("diversity"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 
 def union_by_name(*frames: DataFrame) -> DataFrame:
+    """Rows of all tables; columns that one lacks are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
@@ -26,6 +27,7 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def top_k(df: DataFrame, k: int, *order: Column | str) -> DataFrame:
+    """The first ``k`` rows by an order."""
     return df.orderBy(*order).limit(k)
 
 

@@ -14,6 +14,7 @@ from .windows import average_rank, row_index
 
 
 def unpivot_specs(panel: DataFrame, keys: list[str], specs: list[str]) -> DataFrame:
+    """A panel's specifications as rows (keys, spec, x)."""
     return panel.unpivot([F.col(k) for k in keys], [F.col(s) for s in specs], "spec", "x")
 
 
@@ -56,6 +57,7 @@ def detrended(df: DataFrame, groups: list[str], order: str, value: str, out: str
 
 
 def autocorrelation(df: DataFrame, groups: list[str], order: str, value: str, by: int = 1) -> DataFrame:
+    """Correlation of a series with itself ``by`` steps before, a group."""
     w = Window.partitionBy(*groups).orderBy(order)
     return df.withColumn("_b", F.lag(value, by).over(w)).groupBy(*groups).agg(correlation(value, "_b").alias("autocorrelation"))
 
@@ -109,6 +111,7 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
+    """The regularized incomplete beta function."""
     if x <= 0 or x >= 1:
         return float(x >= 1)
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
@@ -184,6 +187,7 @@ def bootstrap_correlations(pairs: DataFrame, groups: list[str], order: str, indi
 
 
 def intervals(draws: DataFrame, groups: list[str], value: str = "r", at: tuple[float, float] = (0.025, 0.975)) -> DataFrame:
+    """Quantiles of the draws, a group."""
     q = F.percentile(value, list(at))
     return draws.groupBy(*groups).agg(F.count(value).alias("valid_draws"), q[0].alias("low"), q[1].alias("high"))
 
@@ -252,4 +256,5 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def assigned_jaccard(df: DataFrame, a: Column, b: Column) -> DataFrame:
+    """Rows that both conditions hold for, as a share of those that either does."""
     return df.agg(F.try_divide(F.count_if(a & b).cast("double"), F.count_if(a | b).cast("double")).alias("jaccard"))

@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 
 def group_size(*keys: str) -> Column:
+    """Rows of the key."""
     return F.count(F.lit(1)).over(Window.partitionBy(*keys))
 
 
 def group_distinct(value: str, *keys: str) -> Column:
+    """Distinct values of the key; nulls are left out."""
     return F.size(F.collect_set(value).over(Window.partitionBy(*keys)))
 
 
 def nth(keys: list[str], *order: Column | str) -> Column:
+    """A row's number within its key, from 1."""
     return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
 
 
@@ -24,6 +27,7 @@ def repeated(keys: list[str], *order: Column | str) -> Column:
 
 
 def ambiguous(*keys: str) -> Column:
+    """True where the key repeats."""
     return group_size(*keys) > 1
 
 
@@ -33,18 +37,22 @@ def best(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
 
 
 def first_in(value: str, keys: list[str], *order: Column | str) -> Column:
+    """The key's first value by an order."""
     return F.first(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
 
 
 def previous(value: str, keys: list[str], *order: str, by: int = 1) -> Column:
+    """The value ``by`` rows before."""
     return F.lag(value, by).over(Window.partitionBy(*keys).orderBy(*order))
 
 
 def following(value: str, keys: list[str], *order: str, by: int = 1) -> Column:
+    """The value ``by`` rows after."""
     return F.lead(value, by).over(Window.partitionBy(*keys).orderBy(*order))
 
 
 def change(value: str, keys: list[str], *order: str) -> Column:
+    """The value less that of the row before."""
     return F.col(value) - previous(value, keys, *order)
 
 
@@ -60,6 +68,7 @@ def trailing_mean(value: str, keys: list[str], *order: str, rows: int = 4) -> Co
 
 
 def surge(value: str, keys: list[str], *order: str, rows: int = 4) -> Column:
+    """The value over the mean of the rows before it."""
     return F.try_divide(F.col(value).cast("double"), F.nullif(trailing_mean(value, keys, *order, rows=rows), F.lit(0.0)))
 
 
@@ -69,6 +78,7 @@ def average_rank(value: str, keys: list[str]) -> Column:
 
 
 def z_score(value: str, keys: list[str]) -> Column:
+    """Distance from the key's mean in deviations."""
     w = Window.partitionBy(*keys)
     return F.try_divide(F.col(value) - F.avg(value).over(w), F.nullif(F.stddev_samp(value).over(w), F.lit(0.0)))
 

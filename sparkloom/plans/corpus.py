@@ -48,6 +48,7 @@ def flagged(d: DataFrame, zone: str = "Asia/Dubai") -> DataFrame:
 
 
 def waterfall(d: DataFrame, start: str, end: str) -> tuple[DataFrame, DataFrame]:
+    """The exclusion reason of each row, first rule first."""
     ts = F.col("timestamp_utc")
     return exclusion_waterfall(
         d,

@@ -8,12 +8,14 @@ from pyspark.sql.types import StructType
 
 
 def exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything stands at a path of any file system."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
     return bool(found)
 
 
 def first_existing(spark: SparkSession, paths: list[str]) -> str:
+    """The first path that exists, or an error that names them all."""
     for p in paths:
         if exists(spark, p):
             return p
@@ -43,6 +45,7 @@ def read(spark: SparkSession, path: str, schema: StructType | str | None = None,
 
 
 def write(df: DataFrame, path: str, mode: str = "errorifexists", **options: str) -> None:
+    """Write by the path's extension; refuses to overwrite unless told to."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     w = df.write.mode(mode).options(**options)
     if kind == "csv":
@@ -74,6 +77,7 @@ def first_column(df: DataFrame, candidates: list[str]) -> str | None:
 
 
 def coalesced(df: DataFrame, candidates: list[str], default: str | None = None) -> Column:
+    """The first of the candidate columns that a table has, by row; ``default`` where all are null."""
     got = [F.col(f"`{c}`").cast("string") for c in candidates if c in df.columns]
     return F.coalesce(*got, F.lit(default)) if got else F.lit(default).cast("string")
 

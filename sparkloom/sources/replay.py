@@ -28,11 +28,13 @@ class PagedReplay(DataSource):
 
 
 class FilePartition(InputPartition):
+    """One file of pages."""
     def __init__(self, path: str):
         self.path = path
 
 
 class PagedReader(DataSourceReader):
+    """Replays files of a local folder as the pages of an interface."""
     def __init__(self, options: dict):
         self.path = options["path"]
         self.limit = int(options.get("limit", 100))
@@ -55,4 +57,5 @@ class PagedReader(DataSourceReader):
 
 
 def register(spark) -> None:
+    """Make the source known to a session."""
     spark.dataSource.register(PagedReplay)

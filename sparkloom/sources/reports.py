@@ -10,10 +10,12 @@ _TEX = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#
 
 
 def tex(value: object) -> str:
+    """A value as LaTeX text."""
     return "" if value is None else "".join(_TEX.get(c, c) for c in str(value))
 
 
 def rows_of(df: DataFrame, limit: int = MAX_ROWS) -> list:
+    """A small table's rows; more than ``limit`` are an error."""
     rows = df.limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"a report of more than {limit} rows: write a table instead")
@@ -25,17 +27,20 @@ def _cell(v: object, digits: int) -> str:
 
 
 def latex(df: DataFrame, digits: int = 3) -> str:
+    """A small table as LaTeX."""
     head = " & ".join(tex(c) for c in df.columns)
     body = [" & ".join(tex(_cell(v, digits)) for v in r) + r" \\" for r in rows_of(df)]
     return "\n".join([rf"\begin{{tabular}}{{{'l' * len(df.columns)}}}", r"\toprule", head + r" \\", r"\midrule", *body, r"\bottomrule", r"\end{tabular}"]) + "\n"
 
 
 def markdown(df: DataFrame, digits: int = 3) -> str:
+    """A small table as Markdown."""
     line = lambda cells: "| " + " | ".join(c.replace("|", r"\|").replace("\n", " ") for c in cells) + " |"
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *[line([_cell(v, digits) for v in r]) for r in rows_of(df)]]) + "\n"
 
 
 def quoted(text: str | None) -> str:
+    """A text as a Markdown quotation."""
     return "\n".join("> " + x for x in (text or "[Not available]").splitlines())
 
 

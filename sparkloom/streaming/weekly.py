@@ -10,6 +10,7 @@ MONDAY = "4 days"
 
 
 def weekly_window(ts: str) -> Column:
+    """The week that a time lies in, from Monday."""
     return F.window(ts, "7 days", startTime=MONDAY)
 
 
