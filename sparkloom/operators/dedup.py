@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import best, group_distinct, group_size, repeated
+from .windows import best, group_distinct, group_size, repeated, spare
 
 
 def best_engagement(df: DataFrame, ident: str, score: str, tie: str | None = None) -> DataFrame:
@@ -16,8 +16,9 @@ def best_engagement(df: DataFrame, ident: str, score: str, tie: str | None = Non
 def by_id_then_text(df: DataFrame, ident: str, text_key: str, score: str) -> DataFrame:
     """Best row an id, then best row a text; blank texts are not copies of each other."""
     one = best_engagement(df, ident, score)
-    named = one.withColumn("_k", F.when(F.coalesce(F.col(text_key), F.lit("")) == "", F.concat(F.lit("id:"), F.col(ident).cast("string"))).otherwise(F.concat(F.lit("t:"), F.col(text_key))))
-    return best(named, ["_k"], F.desc_nulls_last(score), F.asc(ident)).drop("_k")
+    k = spare(df.columns, "_k")
+    named = one.withColumn(k, F.when(F.coalesce(F.col(text_key), F.lit("")) == "", F.concat(F.lit("id:"), F.col(ident).cast("string"))).otherwise(F.concat(F.lit("t:"), F.col(text_key))))
+    return best(named, [k], F.desc_nulls_last(score), F.asc(ident)).drop(k)
 
 
 def merge_streams(df: DataFrame, ident: str, score: str, stream: str, provenance: str, names: tuple[str, str] = ("regex", "semantic")) -> DataFrame:
@@ -37,8 +38,8 @@ def same_author_repeat(df: DataFrame, author: str, family: str, time: str, recor
     """True for all but a known author's first posting of a text."""
     known = F.coalesce(F.trim(F.col(author).cast("string")), F.lit("")) != ""
     unit = F.when(known, F.concat(F.lit("a:"), F.col(author))).otherwise(F.concat(F.lit("r:"), F.col(record).cast("string")))
-    d = df.withColumn("_u", unit)
-    return d.withColumn("is_same_author_exact_text_repeat", repeated([*keys, "_u", family], time, record)).drop("_u")
+    u = spare(df.columns, "_u")
+    return df.withColumn(u, unit).withColumn("is_same_author_exact_text_repeat", repeated([*keys, u, family], time, record)).drop(u)
 
 
 def cross_author_flag(df: DataFrame, author: str, family: str) -> DataFrame:

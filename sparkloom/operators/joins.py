@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import spare
+
 
 class KeyViolation(ValueError):
     """A key that must be unique, or present, is not."""
@@ -49,9 +51,9 @@ def lookup(df: DataFrame, on: Column, tables: list[tuple[DataFrame, str, str]],
     joined = df
     found = []
     for i, (table, key, value) in enumerate(tables):
-        t = table.select(F.col(key).alias(f"_k{i}"), F.col(value).alias(f"_v{i}"))
-        joined = joined.join(t, on == F.col(f"_k{i}"), "left")
-        found.append(F.col(f"_v{i}"))
+        k, v = spare(df.columns, f"_k{i}"), spare(df.columns, f"_v{i}")
+        joined = joined.join(table.select(F.col(key).alias(k), F.col(value).alias(v)), on == F.col(k), "left")
+        found.append(F.col(v))
     return joined.select(*df.columns, F.coalesce(*found, F.lit(default)).alias(out))
 
 
@@ -107,8 +109,8 @@ def waterfall_match(left: DataFrame, right: DataFrame, left_id: str, right_id: s
 
 def unambiguous(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join after dropping every row of a key that the left table repeats."""
-    n = Window.partitionBy(*keys)
-    return left.withColumn("_n", F.count(F.lit(1)).over(n)).where("_n = 1").drop("_n").join(right, keys)
+    n = spare(left.columns, "_n")
+    return left.withColumn(n, F.count(F.lit(1)).over(Window.partitionBy(*keys))).where(F.col(n) == 1).drop(n).join(right, keys)
 
 
 def spine_join(spine: DataFrame, df: DataFrame, keys: list[str], zeros: list[str] = ()) -> DataFrame:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import spare
+
 
 def draw(key: str, seed: int | str) -> Column:
     """A hash that SQL engines agree on."""
@@ -26,7 +28,8 @@ def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
 def per_group(df: DataFrame, groups: list[str], key: str, n: int, seed: int = 42) -> DataFrame:
     """At most ``n`` a group."""
     w = Window.partitionBy(*groups).orderBy(draw(key, seed), key)
-    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+    place = spare(df.columns, "_n")
+    return df.withColumn(place, F.row_number().over(w)).where(F.col(place) <= n).drop(place)
 
 
 def allocate(sizes: dict, n: int) -> dict:
@@ -44,10 +47,11 @@ def proportional(df: DataFrame, stratum: str, key: str, n: int, seed: int = 42)
     sizes = {r[0]: r[1] for r in df.groupBy(stratum).agg(F.count(F.lit(1))).collect()}
     if not sizes:
         return df
-    table = df.sparkSession.createDataFrame([(k, v) for k, v in allocate(sizes, n).items()], f"_s {df.schema[stratum].dataType.simpleString()}, _quota int")
+    own, quota, place = (spare(df.columns, c) for c in ("_s", "_quota", "_n"))
+    table = df.sparkSession.createDataFrame([(k, v) for k, v in allocate(sizes, n).items()], f"`{own}` {df.schema[stratum].dataType.simpleString()}, `{quota}` int")
     w = Window.partitionBy(stratum).orderBy(draw(key, seed), key)
-    ranked = df.withColumn("_n", F.row_number().over(w)).join(table, F.col(stratum).eqNullSafe(F.col("_s")))
-    return ranked.where("_n <= _quota").select(*df.columns)
+    ranked = df.withColumn(place, F.row_number().over(w)).join(table, F.col(stratum).eqNullSafe(F.col(own)))
+    return ranked.where(F.col(place) <= F.col(quota)).select(*df.columns)
 
 
 def rounded_by_label(df: DataFrame, label: str, key: str, n: int, cap: int, seed: int = 42) -> DataFrame:
@@ -55,7 +59,9 @@ def rounded_by_label(df: DataFrame, label: str, key: str, n: int, cap: int, seed
     per = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
     quota = per.withColumn("_quota", F.least(F.lit(cap), F.greatest(F.lit(1), F.bround(n * F.col("_c") / F.sum("_c").over(Window.partitionBy(F.lit(1))), 0).cast("int")))).select(F.col(label).alias("_l"), "_quota")
     w = Window.partitionBy(label).orderBy(draw(key, seed), key)
-    return df.withColumn("_n", F.row_number().over(w)).join(quota, F.col(label).eqNullSafe(F.col("_l"))).where("_n <= _quota").select(*df.columns)
+    own, most, place = (spare(df.columns, c) for c in ("_l", "_quota", "_n"))
+    quota = quota.select(F.col("_l").alias(own), F.col("_quota").alias(most))
+    return df.withColumn(place, F.row_number().over(w)).join(quota, F.col(label).eqNullSafe(F.col(own))).where(F.col(place) <= F.col(most)).select(*df.columns)
 
 
 def unique_quota(df: DataFrame, stratum: str, key: str, unique: list[str], quota: int, seed: int = 42, slack: int = 50) -> DataFrame:

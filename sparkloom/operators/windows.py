@@ -6,6 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def spare(columns: list[str], base: str) -> str:
+    """``base``, with underscores behind it until no column has that name: for helper columns beside a caller's own."""
+    have = {c.lower() for c in columns}
+    while base.lower() in have:
+        base += "_"
+    return base
+
+
 def group_size(*keys: str) -> Column:
     """Rows of the key."""
     return F.count(F.lit(1)).over(Window.partitionBy(*keys))
@@ -33,7 +41,8 @@ def ambiguous(*keys: str) -> Column:
 
 def best(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     """The first row of each key."""
-    return df.withColumn("_n", nth(keys, *order)).where("_n = 1").drop("_n")
+    n = spare(df.columns, "_n")
+    return df.withColumn(n, nth(keys, *order)).where(F.col(n) == 1).drop(n)
 
 
 def first_in(value: str, keys: list[str], *order: Column | str) -> Column:
@@ -94,8 +103,9 @@ def row_index(df: DataFrame, order: list[str], out: str = "source_row", chunk_ro
     lead = F.unix_micros(F.col(order[0]).cast("timestamp")).cast("double") if kind in ("date", "timestamp", "timestamp_ntz") else F.col(order[0]).cast("double")
     cuts = df.agg(F.percentile_approx(lead, [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else []
     bucket = sum((F.coalesce(lead >= c, F.lit(False)).cast("int") for c in sorted(set(cuts or []))), F.lit(0))
-    dealt = df.withColumn("_p", bucket)
-    ranked = dealt.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    base = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"))
-    return ranked.join(base, "_p").select(*df.columns, (F.col("_b") + F.col("_r")).cast("long").alias(out))
+    p, r, b = (spare(df.columns, c) for c in ("_p", "_r", "_b"))
+    dealt = df.withColumn(p, bucket)
+    ranked = dealt.withColumn(r, F.row_number().over(Window.partitionBy(p).orderBy(*order)) - 1)
+    before = Window.orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
+    base = dealt.groupBy(p).agg(F.count(F.lit(1)).alias("n")).select(p, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(b))
+    return ranked.join(base, p).select(*[F.col(f"`{c}`") for c in df.columns], (F.col(b) + F.col(r)).cast("long").alias(out))

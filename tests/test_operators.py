@@ -259,3 +259,13 @@ def test_false_discovery_in_chunks_equals_one_window(spark):
     parts = {r.k: r.q for r in K.benjamini_hochberg(d, "p", "k", chunk_rows=37).collect()}
     assert whole.keys() == parts.keys() and whole[300] is None and parts[300] is None
     assert all(abs(whole[k] - parts[k]) < 1e-12 for k in range(300))
+
+
+def test_helper_columns_leave_the_callers_alone(spark):
+    d = spark.createDataFrame([(1, "a", 5, 7, 9), (2, "a", 6, 8, 9), (3, "b", 7, 9, 9)], "id int, g string, _n int, _k0 int, _s int")
+    assert sorted(map(tuple, Q.per_group(d, ["g"], "id", 1).select("g", "_n").collect())) and "_n" in Q.per_group(d, ["g"], "id", 1).columns
+    assert sorted(r._n for r in W.best(d, ["g"], "id").collect()) == [5, 7]
+    assert [r._n for r in J.unambiguous(d.select("g", "_n"), spark.createDataFrame([("b",)], "g string"), ["g"]).collect()] == [7]
+    looked = J.lookup(d, F.col("id"), [(spark.createDataFrame([(1, "one")], "k int, v string"), "k", "v")], "name", "?")
+    assert [(r._k0, r.name) for r in looked.orderBy("id").collect()] == [(7, "one"), (8, "?"), (9, "?")]
+    assert Q.proportional(d, "g", "id", 2).columns == d.columns and W.row_index(d.withColumnRenamed("_k0", "_p"), ["id"]).count() == 3
