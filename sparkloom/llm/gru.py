@@ -15,11 +15,13 @@ counts by word. No frequent word is in that join, wherever it occurs, so it has
 
 from __future__ import annotations
 
+import contextlib
 import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -32,12 +34,12 @@ from .common import durable, fold, table
 
 MODULUS, HELD_OUT = 10, 0
 HEAD = 200_000
-HIDDEN, CLASSES, WIDTH, BUCKETS = 16, 32, 32, 128
+HIDDEN, CLASSES, WIDTH, BUCKETS = 16, 32, 64, 1024
 OUTPUTS = CLASSES * WIDTH
 WINDOW, LANES = 32, 512
 #: Training: documents of the driver's sample, its steps, documents of a refiner, and models averaged in one task.
 WARM_DOCS, WARM_STEPS, REFINER_DOCS, FAN_IN = 1500, 300, 8000, 16
-REFINE_RATE = 0.002
+REFINE_RATE = 0.006
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -126,6 +128,17 @@ def build_lexicon(counts: DataFrame, n_docs: int, head: int = HEAD) -> tuple[Lex
     return lex, out
 
 
+def keep_freed_memory() -> None:
+    """Let this worker reuse what it frees: the C library else returns a window's arrays, a few MB, and fetches them anew page
+    by page for the next. At most a quarter of a GB is kept; without the GNU library nothing happens."""
+    import ctypes
+
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 25)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 28)  # M_TRIM_THRESHOLD
+
+
 class Network:
     """Gated recurrent unit with a class-factored softmax; output o is place ``place[o]`` of class ``cls[o]``.
 
@@ -258,7 +271,7 @@ class Network:
         grad["x"][at[sort[starts]]] = np.add.reduceat(dgates.reshape(-1, 3 * k)[sort], starts, axis=0)
         return float(-log_p.sum() / count), grad, h
 
-    def train(self, docs: list[np.ndarray], steps: int | None, rate: float, lanes: int = 128, seed: int = 0) -> int:
+    def train(self, docs: list[np.ndarray], steps: int | None, rate: float, lanes: int = 256, seed: int = 0) -> int:
         """Truncated backpropagation with Adam over ``docs`` (arrays of outputs), round and round for ``steps`` windows, or once
         over every token: what the lanes do not divide is a lane of its own, last."""
         docs = [d for d in docs if len(d)]
@@ -345,7 +358,7 @@ class Network:
 def _outputs(words: list[bytes], lex: Lexicon) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Head ids (-1: not in the head), the model's outputs with the end, and the words outside the head."""
     get = lex.ids.get
-    ids = np.fromiter((get(w, -1) for w in words), dtype=np.int32, count=len(words))
+    ids = np.fromiter(map(get, words, repeat(-1)), dtype=np.int32, count=len(words))
     out = np.zeros(len(words) + 1, dtype=np.int32)
     if len(words):
         if len(lex.output):
@@ -406,6 +419,7 @@ def learn_coded(coded: DataFrame, counts: np.ndarray, seed: int = 0) -> Network:
     start = net.parameters()
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         own = Network(counts, seed)
         own.load(start)
         held, size, tokens = [], 0, 0
@@ -461,6 +475,7 @@ def score_pass(coded: DataFrame, net: Network, tokens_at_once: int = 3_000_000)
     shared = coded.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         net = shared.value
         held: list[pa.RecordBatch] = []
         arrays: list[np.ndarray] = []
