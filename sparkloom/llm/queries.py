@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, gru, language, matroska, mixing, packing, quality, rabitq, sharding, simhash
+from . import chat, fim, gru, language, matroska, mixing, packing, quality, rabitq, sharding, simhash
 
 QUERIES = {
     "op1_simhash_neardup": simhash.op1_simhash,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_chat_prefix_target": chat.op8_chat,
     "op9_source_mixing": mixing.op9_mixing,
     "op10_rendezvous_sharding": sharding.op10_sharding,
+    "op11_fim_arrow": fim.op11_fim,
 }
-ORACLES: dict[str, str] = {"op3_rabitq_ann": rabitq.ORACLE, "op8_chat_prefix_target": chat.ORACLE, "op9_source_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op3_rabitq_ann": rabitq.ORACLE, "op8_chat_prefix_target": chat.ORACLE, "op9_source_mixing": mixing.ORACLE, "op11_fim_arrow": fim.ORACLE}
