@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact, fim, gru, language, matroska, mixing, packing, quality, rabitq, sharding, simhash
+from . import chat, exact, fim, gru, language, matroska, mixing, packing, quality, rabitq, repair, sharding, simhash
 
 QUERIES = {
     "op1_simhash_neardup": simhash.op1_simhash,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_source_mixing": mixing.op9_mixing,
     "op10_rendezvous_sharding": sharding.op10_sharding,
     "op11_fim_arrow": fim.op11_fim,
+    "op12_conversation_repair": repair.op12_repair,
     "op13_exact_dedup": exact.op13_exact,
 }
-ORACLES: dict[str, str] = {"op3_rabitq_ann": rabitq.ORACLE, "op8_chat_prefix_target": chat.ORACLE, "op9_source_mixing": mixing.ORACLE, "op11_fim_arrow": fim.ORACLE, "op13_exact_dedup": exact.ORACLE}
+ORACLES: dict[str, str] = {"op3_rabitq_ann": rabitq.ORACLE, "op8_chat_prefix_target": chat.ORACLE, "op9_source_mixing": mixing.ORACLE, "op11_fim_arrow": fim.ORACLE, "op12_conversation_repair": repair.ORACLE, "op13_exact_dedup": exact.ORACLE}
