@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 from array import array
 from collections.abc import Iterator
-from operator import methodcaller
 
 import pandas as pd
 import regex
@@ -25,12 +24,21 @@ UNITS = {"code point": r"(?s:.)", "word": r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\
 #: Marks before the prefix, the suffix and the middle.
 MARKS = ("<P>", "<S>", "<M>")
 FIELDS = "n long, form string, prefix_chars long, middle_chars long, output string, output_sha256 string"
-_end = methodcaller("end")
+#: Units to one match.
+BLOCK = 256
+
+
+def compiled(unit: str) -> regex.Pattern:
+    """A pattern that takes up to BLOCK units a match, each an own capture of its one group."""
+    return regex.compile(f"({UNITS[unit]}){{1,{BLOCK}}}+")
 
 
 def unit_ends(pattern: regex.Pattern, text: str) -> array:
-    """The offsets at which the units of ``text`` end, four bytes each."""
-    return array("I", map(_end, pattern.finditer(text)))
+    """The offsets at which the units of ``text`` end, four bytes each; ``pattern`` as ``compiled`` gives it."""
+    out = array("I")
+    for block in pattern.finditer(text):
+        out.extend(block.ends(1))
+    return out
 
 
 def draws(seed: int, doc_id: str) -> list[int]:
@@ -74,10 +82,9 @@ def fill_in_middle(docs: DataFrame, unit: str = "code point", seed: int = 1, kee
     if unit not in UNITS:
         raise ValueError(f"unit is one of {sorted(UNITS)}")
     _check(marks)
-    source = UNITS[unit]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pattern = regex.compile(source)
+        pattern = compiled(unit)
         for f in batches:
             rows = []
             for i, t in zip(f["id"], f["text"], strict=True):
@@ -107,7 +114,7 @@ def fim_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFra
     Rows travel whole beside their text, so that ids may repeat or be missing. A null text comes back empty."""
     row, joined = free_name(docs.columns, "row_"), free_name(docs.columns, "output")
     id_col = options.pop("id_col", "doc_id")
-    source, marks = UNITS[options.pop("unit", "code point")], options.pop("marks", MARKS)
+    unit, marks = options.pop("unit", "code point"), options.pop("marks", MARKS)
     seed, keep_pct, spm_pct = (options.pop(k, v) for k, v in (("seed", 1), ("keep_pct", 90), ("spm_pct", 20)))
     if options:
         raise TypeError(f"unknown options {sorted(options)}")
@@ -115,7 +122,7 @@ def fim_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFra
 
     @F.pandas_udf("string")
     def output(ids: pd.Series, texts: pd.Series) -> pd.Series:
-        pattern = regex.compile(source)
+        pattern = compiled(unit)
         return pd.Series([transform(t or "", i or "", pattern, seed, keep_pct, spm_pct, marks)[-1] for i, t in zip(ids, texts, strict=True)], dtype=object)
 
     made = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), output(as_text(id_col), F.col(text_col).cast("string")).alias(joined))

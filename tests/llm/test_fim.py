@@ -53,7 +53,7 @@ def test_other_units_cut_between_units_and_come_back(spark, unit):
         count = len(text.splitlines(keepends=True)) if unit == "line" and "\r" not in text and "\x0b" not in text else None
         assert count is None or r.n == count
         if r.form != "plain":
-            edges = {0, *fim.unit_ends(fim.regex.compile(fim.UNITS[unit]), text)}
+            edges = {0, *fim.unit_ends(fim.compiled(unit), text)}
             assert r.prefix_chars in edges and r.prefix_chars + r.middle_chars in edges
 
 
@@ -73,3 +73,9 @@ def test_marks_that_overlap_are_refused(spark):
             fim.fill_in_middle(df, marks=marks)
     with pytest.raises(ValueError):
         fim.fill_in_middle(df, unit="page")
+
+
+@pytest.mark.parametrize("unit", sorted(fim.UNITS))
+def test_blocks_of_units_end_where_single_units_end(unit):
+    for text in ["", "a", "a  b\n\nc ", " ", "\n", "é😀\n" * 700, "word " * 600 + "\n\n", "x" * 256, "x" * 257, " \t" * 300]:
+        assert list(fim.unit_ends(fim.compiled(unit), text)) == [m.end() for m in fim.regex.finditer(fim.UNITS[unit], text)]
