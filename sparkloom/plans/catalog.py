@@ -17,7 +17,7 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..functions import time as C
 from ..operators import aggregates as A
-from ..operators import clustering, neardup
+from ..operators import agglomerate, clustering, density, neardup
 from ..operators import dedup as D
 from ..operators import joins as J
 from ..operators import sampling as Q
@@ -622,7 +622,14 @@ def policy_grid(spark, d):
 
 @query()
 def density_topics(spark, d):
-    return rounded(clustering.density_topics(M.centroids(t(spark, d, "embeddings"), "label", "embedding"), "label", "centroid", 2, 1))
+    """All vectors, grouped by density."""
+    return rounded(density.topics(t(spark, d, "embeddings"), "vec_id", "embedding", 20, 10))
+
+
+@query()
+def noise_clustering(spark, d):
+    """All vectors by average and complete linkage, cut at three heights."""
+    return agglomerate.clustering_study(t(spark, d, "embeddings"), "vec_id", "embedding")
 
 
 # --- near-duplicates -------------------------------------------------------------------------------------------------------
