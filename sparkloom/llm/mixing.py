@@ -90,10 +90,11 @@ def schedule(sources: DataFrame, total: int, block: int, cap: float = 3.0) -> Da
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Rows (doc_id, size, source_size, target, taken), one for each row of ``docs``.
+    """Rows (doc_id, size, source_size, target, taken, slots), one for each row of ``docs``.
 
-    taken counts the words that the mix takes from the row, repeats counted, at most ``cap`` times its size. A source's
-    blocks wear evenly: the first few of its shuffled order are taken once more than the rest. Null texts have size 0
+    taken counts the words that the mix takes from the row, repeats counted, at most ``cap`` times its size. slots are the
+    places in the mix where the row begins, one each time it is taken, in order; the last may take its first words only.
+    A source's blocks wear evenly: the first few of its shuffled order are taken once more than the rest. Null texts have size 0
     and give nothing; null sources are one source, last; repeated rows are rows of their own; an empty table gives no
     rows; other columns are not read. Rows alike in source, id and size are laid out as one group, so that no id, null
     ones included, can fill a window.
@@ -127,21 +128,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0,
     if most > 1:
         laid = laid.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("start", F.col("start") + F.col("i") * F.col("size"))
     taken = _by_slots(laid.select("doc_id", "size", "sid", "start"), sources, total, block, cap)
-    none = named.where("size = 0").select("sid", F.lit(-1).cast("long").alias("start"), "doc_id", "size", F.lit(0).cast("long").alias("taken"))
+    none = named.where("size = 0").select("sid", F.lit(-1).cast("long").alias("start"), "doc_id", "size", F.lit(0).cast("long").alias("taken"), F.array().cast("array<long>").alias("slots"))
     out = taken.unionByName(none).join(sources.select("sid", "source_size", "target"), "sid")
-    return out.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "slots")
 
 
 def _by_slots(laid: DataFrame, sources: DataFrame, total: int, block: int, cap: float) -> DataFrame:
-    """Rows (sid, start, doc_id, size, taken): documents cut into blocks, each taken once for every slot that names it."""
+    """Rows (sid, start, doc_id, size, taken, slots): documents cut into blocks, each taken once for every slot that names it.
+
+    A block is named ``cap`` + 1 times at most, so its slots are a short list; a document begins in those of its first block."""
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     cut = laid.withColumn("block", F.explode(F.sequence(first, last)))
     begin = F.greatest(F.col("start"), F.col("block") * block) - F.col("block") * block
     end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.col("block") * block
-    uses = schedule(sources, total, block, cap).groupBy("sid", "block").agg(F.count_if(~F.col("part")).alias("uses"), F.max(F.when(F.col("part"), F.col("words"))).alias("first_words"))
+    uses = schedule(sources, total, block, cap).groupBy("sid", "block").agg(F.count_if(~F.col("part")).alias("uses"), F.max(F.when(F.col("part"), F.col("words"))).alias("first_words"), F.sort_array(F.collect_list("slot")).alias("named"))
     taken = cut.withColumn("begin", begin).withColumn("end", end).join(uses, ["sid", "block"], "left")
     words = (F.col("end") - F.col("begin")) * F.coalesce("uses", F.lit(0)) + F.greatest(F.lit(0), F.least("end", F.coalesce("first_words", F.lit(0))) - F.col("begin"))
-    return taken.groupBy("sid", "start", "doc_id", "size").agg(F.sum(words).alias("taken"))
+    named = F.coalesce("named", F.array().cast("array<long>"))
+    begins = F.when(F.col("begin") >= F.coalesce("first_words", F.lit(block)), F.slice(named, 1, F.size(named) - 1)).otherwise(named)  # the last slot ends before it
+    return taken.groupBy("sid", "start", "doc_id", "size").agg(F.sum(words).alias("taken"), F.max(F.when(F.col("block") == first, begins)).alias("slots"))
 
 
 def _name(sized: DataFrame, sources: DataFrame) -> DataFrame:
@@ -151,26 +156,25 @@ def _name(sized: DataFrame, sources: DataFrame) -> DataFrame:
     return d.join(s, ["_null", "_name"]).select("doc_id", "size", "sid")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The mix's rows with the columns of ``docs``: a document comes as often as it is taken whole.
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix's rows in its order, with the columns of ``docs``: a document stands wherever a slot begins to take it.
 
-    What remains of it (where a source's last slot ends within a document) comes as a row with just those words, joined
-    by single spaces. Rows of an id that repeats share its words in proportion to their sizes; documents without words
-    give nothing.
+    Where a source's last slot ends within a document, its last row has just the first words, joined by single spaces.
+    Documents without words give nothing. Every source gives its target to the word: where ids repeat or are missing,
+    rows are numbered and written first, so that each has a share of its own, whatever its id or source.
     """
-    taken = mix(docs, id_col=id_col, text_col=text_col, **options)
-    per_id = taken.groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("sizes")).where("taken > 0")
-    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # whole rows ride in one column, so that no name can clash
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(doc.alias("doc"), F.col(id_col).cast("long").alias("id"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
-    rows = rows.where("size > 0").join(per_id, F.col("id").eqNullSafe(F.col("doc_id")))
-    own = F.when(F.col("sizes") == F.col("size"), F.col("taken")).otherwise(F.floor(F.col("taken") / F.col("sizes") * F.col("size")))
-    rows = rows.withColumn("t", own).withColumns({"whole": F.floor(F.col("t") / F.col("size")), "rest": (F.col("t") % F.col("size")).cast("int")})
-    # copy 0 is the part; 1, 2, ... are whole
-    copies = F.filter(F.sequence(F.lit(0).cast("long"), F.col("whole")), lambda k: (k > 0) | (F.col("rest") > 0))
-    rows = rows.withColumn("copy", F.explode(copies))
-    body, is_whole = F.col("doc").getField(text_col), F.col("copy") > 0
-    part = F.array_join(F.slice(F.regexp_extract_all(body, F.lit(f"({WORD})"), F.lit(1)), 1, F.greatest(F.col("rest"), F.lit(1))), " ")
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")  # whole rows ride in one column, so that no name can clash
+    rows, known, ids = docs.select(F.count(F.lit(1)), F.count(id_col), F.count_distinct(F.col(id_col).cast("long"))).first()
+    if rows == known == ids:
+        held = docs.select(doc, F.col(id_col).cast("long").alias("row"))
+    else:
+        held = durable(docs.select(doc, F.monotonically_increasing_id().alias("row")), "mix-rows")
+    taken = mix(held.select("row", F.col("doc").getField(text_col).alias("text"), F.col("doc").getField(source_col).alias("source")), id_col="row", **options)
+    taken = taken.where("taken > 0").select(F.col("doc_id").alias("row_"), "size", "taken", F.posexplode("slots").alias("copy", "slot"))
+    left = F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size")).cast("int")
+    rows = held.join(taken, F.col("row") == F.col("row_")).withColumn("left", left).orderBy("slot", "row")
+    body, is_whole = F.col("doc").getField(text_col), F.col("left") == F.col("size")
+    part = F.array_join(F.slice(F.regexp_extract_all(body, F.lit(f"({WORD})"), F.lit(1)), 1, F.greatest(F.col("left"), F.lit(1))), " ")
     out = []
     for c in docs.columns:
         if c == text_col:
@@ -183,8 +187,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the mix takes of all documents."""
-    return mix(table(spark, sf_dir, "documents"))
+    """What the mix takes of all documents, and the slot where it first takes each."""
+    taken = mix(table(spark, sf_dir, "documents"))
+    return taken.select("doc_id", "size", "source_size", "target", "taken", F.get("slots", F.lit(0)).alias("first_slot"))
 
 
 ORACLE = rf"""
@@ -197,9 +202,20 @@ s2 AS (SELECT *, cap / w AS ratio, (SELECT total FROM t) AS total,
    sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY cap / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS w_left FROM s1),
 s3 AS (SELECT *, max(CASE WHEN words_left / w_left <= ratio THEN words_left / w_left END) OVER () AS level FROM s2),
 s4 AS (SELECT source, sid, source_size, least(cap, level * w) AS target, total FROM s3),
-e AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS whole,
-   CASE WHEN source_size > 0 THEN round(target)::BIGINT % source_size ELSE 0 END AS extra FROM s4),
+e AS (SELECT *, round(target)::BIGINT AS due, greatest(1, least(4096, total // 131072)) AS block FROM s4),
+g AS (SELECT source, sid, source_size, target, block, total, CASE WHEN source_size > 0 THEN due // source_size ELSE 0 END AS whole, CASE WHEN source_size > 0 THEN due % source_size ELSE 0 END AS rest FROM e),
+z AS (SELECT *, whole * ceil(source_size / block)::BIGINT + ceil(rest / block)::BIGINT AS ranks, sum(target) OVER (ORDER BY sid) / total AS hi FROM g WHERE source_size > 0 AND target > 0),
+q AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY sid), 0.0) AS lo, CASE WHEN lead(sid) OVER (ORDER BY sid) IS NULL THEN 2.0 ELSE hi END AS up FROM z),
+deal AS (SELECT ceil((SELECT total FROM t) / (SELECT max(block) FROM e))::BIGINT AS n),
+u AS (SELECT i AS slot, i * {GOLDEN!r}::DOUBLE - floor(i * {GOLDEN!r}::DOUBLE) AS u FROM (SELECT unnest(range((SELECT n FROM deal))) AS i)),
+named AS (SELECT slot, sid, ranks, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS r FROM u JOIN q ON u.u >= q.lo AND u.u < q.up),
+void AS (SELECT slot, row_number() OVER (ORDER BY slot) - 1 AS place FROM named WHERE r >= ranks),
+few AS (SELECT q.sid, greatest(0, q.ranks - coalesce(got, 0)) AS few FROM q LEFT JOIN (SELECT sid, count(*) AS got FROM named GROUP BY sid) c ON c.sid = q.sid),
+late AS (SELECT sid, unnest(range(few)) + coalesce(sum(few) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place FROM few),
+slots AS (SELECT slot, sid FROM named WHERE r < ranks UNION ALL SELECT coalesce(slot, place + (SELECT n FROM deal)), sid FROM late LEFT JOIN void USING (place)),
+ranked AS (SELECT slot, sid, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS r FROM slots),
 p AS (SELECT doc_id, size, source, sum(size) OVER (PARTITION BY source ORDER BY md5('mix:' || coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d)
-SELECT doc_id, p.size, source_size, target, CAST(whole * p.size + greatest(0, least(p.size, extra - start)) AS BIGINT) AS taken
-FROM p JOIN e ON p.source IS NOT DISTINCT FROM e.source
+SELECT doc_id, p.size, g.source_size, g.target, CAST(whole * p.size + greatest(0, least(p.size, rest - start)) AS BIGINT) AS taken,
+ CASE WHEN p.size > 0 AND (whole > 0 OR rest > start) THEN ranked.slot END AS first_slot
+FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source LEFT JOIN ranked ON ranked.sid = g.sid AND ranked.r = start // block
 """

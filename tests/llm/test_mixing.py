@@ -113,3 +113,39 @@ def test_groups_of_like_rows_and_null_ids_are_laid_out_row_by_row(spark, monkeyp
     want = targets(sizes)
     assert sum(r.taken for r in out if r.source_size == 360) == round(want["a"]) and sum(r.taken for r in out if r.source_size != 360) == round(want["b"])
     assert all(0 <= r.taken <= 3 * r.size for r in out)
+
+
+def test_ids_that_are_missing_or_shared_leave_every_source_its_target(spark):
+    shared = [(1, "w " * 900, "s1", None, 1), (1, "v " * 2700, "s2", None, 1)] + [(2, f"x{k} y z", "s1", None, 1) for k in range(5)]
+    missing = [(None, f"a{k} b c", s, None, 1) for k, s in enumerate(["s1"] * 14 + ["s2"] * 13 + ["s3"] * 13)]
+    for rows in (shared, missing, shared + missing + [(None, None, None, None, None), (7, "only", None, None, 1)]):
+        sizes, got = defaultdict(int), defaultdict(int)
+        for _, t, s, _, _ in rows:
+            sizes[s] += len((t or "").split())
+        for r in mixing.mixed_documents(spark.createDataFrame(rows, SCHEMA)).collect():
+            got[r.source] += len(r.text.split())
+        for s, t in targets(sizes).items():
+            assert got[s] == round(t), s
+
+
+def test_the_mix_comes_in_its_order(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS", 4000)
+    rows = [(i, " ".join([f"{s}{i}"] * 10), s, None, 1) for i, s in enumerate(random.Random(2).choices("abc", [6, 3, 3], k=4000))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    sizes = defaultdict(int)
+    for _, t, s, _, _ in rows:
+        sizes[s] += len(t.split())
+    want, total = targets(sizes), sum(sizes.values())
+    out = mixing.mixed_documents(df).collect()
+    for share in (0.01, 0.02, 0.05, 0.2, 0.5):
+        n = defaultdict(int)
+        for r in out[: int(share * len(out))]:
+            n[r.source] += len(r.text.split())
+        for s, t in want.items():
+            assert abs(n[s] - t / total * sum(n.values())) <= 3 * 10, (share, s)  # a block of ten words a source, and a cut at either end
+    slots = [r.slots for r in mixing.mix(df).orderBy("doc_id").collect()]
+    assert all(x == sorted(x) and len(set(x)) == len(x) for x in slots)
+    monkeypatch.setattr(mixing, "GOLDEN", 0.1234567)
+    other = mixing.mix(df).orderBy("doc_id").collect()
+    assert slots != [r.slots for r in other]
+    assert [r.doc_id for r in mixing.mixed_documents(df).collect()] != [r.doc_id for r in out]
