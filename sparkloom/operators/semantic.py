@@ -66,9 +66,12 @@ def terms(df: DataFrame, doc: str, text: str, grams: int = 1, stop: list[str] =
     """(doc, term, tf): words of the text key (stop words out), then runs of up to ``grams``."""
     words = F.filter(F.split(text_key(text), " "), lambda w: (F.char_length(w) > 1) & ~w.isin(*stop)) if stop else F.filter(F.split(text_key(text), " "), lambda w: F.char_length(w) > 1)
     d = df.select(doc, words.alias("w"))
-    runs = [F.col("w")]
-    for n in range(2, grams + 1):
-        runs.append(F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), lambda i, n=n: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>")))
+
+    def of_length(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1)))
+        return F.when(F.size("w") >= n, F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    runs = [F.col("w"), *[of_length(n) for n in range(2, grams + 1)]]
     return d.select(doc, F.explode(F.concat(*runs) if len(runs) > 1 else runs[0]).alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -86,6 +89,22 @@ def tfidf(tf: DataFrame, doc: str, documents: int, min_df: int = 1, max_share: f
     return raw.join(size, doc).select(doc, "term", (F.col("_w") / F.col("_n")).alias("weight"))
 
 
+def tfidf_within(tf: DataFrame, by: str, doc: str, sizes: DataFrame, min_df: int = 1, max_terms: int | None = None, buckets: int = 64) -> DataFrame:
+    """(by, doc, term, weight): ``tfidf`` with vocabulary and document frequencies of each group's own; ``sizes`` is (by, documents).
+
+    The vocabulary limit is found among the leading terms of hash buckets, so no window holds a group's whole vocabulary."""
+    df_ = tf.groupBy(by, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
+    if max_terms is not None:
+        order = (F.desc("total"), "term")
+        df_ = df_.withColumn("_b", F.pmod(F.xxhash64("term"), F.lit(buckets)))
+        df_ = df_.withColumn("_r", F.row_number().over(Window.partitionBy(by, "_b").orderBy(*order))).where(F.col("_r") <= max_terms)
+        df_ = df_.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_r") <= max_terms)
+    df_ = df_.join(sizes, by).select(by, "term", "df", "documents")
+    raw = tf.join(df_, [by, "term"]).withColumn("_w", F.col("tf") * (F.log((1.0 + F.col("documents")) / (1.0 + F.col("df"))) + 1.0))
+    size = raw.groupBy(doc).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_n"))
+    return raw.join(size, doc).select(by, doc, "term", (F.col("_w") / F.col("_n")).alias("weight"))
+
+
 def mean_tfidf(weights: DataFrame, documents: int, top: int) -> DataFrame:
     """The terms of the largest mean weight over all documents."""
     return weights.groupBy("term").agg((F.sum("weight") / documents).alias("mean_weight")).orderBy(F.desc("mean_weight"), "term").limit(top)

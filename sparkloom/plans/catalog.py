@@ -17,7 +17,7 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..functions import time as C
 from ..operators import aggregates as A
-from ..operators import agglomerate, clustering, density, neardup
+from ..operators import agglomerate, clustering, density, neardup, projection
 from ..operators import dedup as D
 from ..operators import joins as J
 from ..operators import sampling as Q
@@ -626,6 +626,19 @@ def density_topics(spark, d):
     return rounded(density.topics(t(spark, d, "embeddings"), "vec_id", "embedding", 20, 10))
 
 
+@query()
+def topic_discovery(spark, d):
+    """All vectors, projected to five dimensions, then grouped by density."""
+    return rounded(projection.discovered_topics(t(spark, d, "embeddings"), "vec_id", "embedding", rounds=8))
+
+
+@query()
+def projection_overlap(spark, d):
+    """How many of each vector's nearest stay its nearest in two dimensions."""
+    e = t(spark, d, "embeddings")
+    return rounded(projection.neighbour_overlap(e, "vec_id", "embedding", projection.project(e, "vec_id", "embedding", components=2, rounds=8)))
+
+
 @query()
 def noise_clustering(spark, d):
     """All vectors by average and complete linkage, cut at three heights."""
@@ -644,14 +657,33 @@ def near_families(spark, d):
     return neardup.near_families(t(spark, d, "documents"), "doc_id", "text")
 
 
-@query()
+def nearest_sql(texts: str, limit: int) -> str:
+    """SQL of every text's nearest other of its kind by character runs; ``texts`` selects (k, kind, text, who)."""
+    return rf"""WITH src AS ({texts}),
+w AS (SELECT k, kind, w, count(*) AS n FROM (SELECT k, kind, unnest(string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ')) AS w FROM src) WHERE w <> '' GROUP BY ALL),
+g AS (SELECT k, kind, n, len AS size, ' ' || w || ' ' AS p FROM w, (VALUES (3), (4), (5)) AS v(len)),
+tf AS (SELECT k, kind, term, sum(n) AS tf FROM (SELECT k, kind, n, unnest([substring(p, i::INT, size) FOR i IN range(1, length(p) - size + 2)]) AS term FROM g WHERE length(p) >= size) GROUP BY ALL),
+df AS (SELECT kind, term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY ALL HAVING count(*) >= 2),
+voc AS (SELECT kind, term, ln((1.0 + docs) / (1.0 + df)) + 1.0 AS idf FROM (SELECT * FROM df QUALIFY row_number() OVER (PARTITION BY kind ORDER BY total DESC, term) <= {limit}) JOIN (SELECT kind, count(*) AS docs FROM src GROUP BY 1) USING (kind)),
+raw AS (SELECT k, kind, term, tf * idf AS x FROM tf JOIN voc USING (kind, term)),
+wt AS (SELECT k, kind, term, x / sqrt(sum(x * x) OVER (PARTITION BY k)) AS x FROM raw),
+sim AS (SELECT a.kind, a.k AS a, b.k AS b, round(sum(a.x * b.x), 9) AS s FROM wt a JOIN wt b ON a.kind = b.kind AND a.term = b.term AND a.k < b.k GROUP BY ALL HAVING sum(a.x * b.x) >= 0.9 - 1e-9),
+pairs AS (SELECT kind, a AS k, b AS o, s FROM sim UNION ALL SELECT kind, b, a, s FROM sim),
+best AS (SELECT kind, k, o, s FROM pairs QUALIFY row_number() OVER (PARTITION BY k ORDER BY s DESC, o) = 1)
+SELECT DISTINCT kind, least(k, o) AS a, greatest(k, o) AS b, round(s, 6) AS similarity FROM best"""
+
+
+@query("SELECT a, b, similarity FROM (" + nearest_sql("SELECT doc_id AS k, '' AS kind, text FROM documents", 1 << 40) + ")")
 def char_gram_neighbours(spark, d):
     docs = t(spark, d, "documents")
     w = M.tfidf(neardup.char_grams(docs, "doc_id", "text"), "key", docs.count(), 2)
     return rounded(neardup.best_neighbour(w, 0.9))
 
 
-@query()
+LONG_TURNS = r"SELECT conv_id || '-' || turn AS k, role AS kind, text FROM conversations WHERE length(text) >= 40 AND len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) >= 6"
+
+
+@query("SELECT kind AS role, a, b, similarity, split_part(a, '-', 1) = split_part(b, '-', 1) AS same_author FROM (" + nearest_sql(LONG_TURNS, 50_000) + ")")
 def near_duplicate_audit(spark, d):
     """Every turn of every conversation; a turn's author is its conversation."""
     c = t(spark, d, "conversations").withColumn("key", F.format_string("%d-%d", "conv_id", "turn"))
