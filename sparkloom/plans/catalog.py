@@ -17,7 +17,7 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..functions import time as C
 from ..operators import aggregates as A
-from ..operators import agglomerate, clustering, density, neardup, projection
+from ..operators import agglomerate, clustering, corex, density, neardup, projection
 from ..operators import dedup as D
 from ..operators import joins as J
 from ..operators import sampling as Q
@@ -626,6 +626,20 @@ def density_topics(spark, d):
     return rounded(density.topics(t(spark, d, "embeddings"), "vec_id", "embedding", 20, 10))
 
 
+@query()
+def anchored_topics(spark, d):
+    """The topic of every document by its words, with two anchored groups of words."""
+    _, docs = corex.anchored_topics(t(spark, d, "documents"), "doc_id", "text", ["the", "of"], topics=6, anchors=[["und", "der"], ["que", "los"]], rounds=10)
+    return rounded(docs.select(F.col("doc").alias("doc_id"), "topic", F.array_max("p").alias("most")))
+
+
+@query()
+def anchored_topic_words(spark, d):
+    """The ten words that tell most about each of those topics."""
+    words, _ = corex.anchored_topics(t(spark, d, "documents"), "doc_id", "text", ["the", "of"], topics=6, anchors=[["und", "der"], ["que", "los"]], rounds=10)
+    return rounded(words)
+
+
 @query()
 def topic_discovery(spark, d):
     """All vectors, projected to five dimensions, then grouped by density."""
