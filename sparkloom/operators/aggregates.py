@@ -161,10 +161,20 @@ def compositions(df: DataFrame, dims: list[str]) -> DataFrame:
     return out.select(which.alias("dimension"), value.alias("value"), "n")
 
 
-def winsorized(value: str, share: float = 0.99, keys: list[str] = ()) -> Column:
-    """Values cut at a quantile of their keys; without keys at that of the whole table, in one task."""
-    w = Window.partitionBy(*(keys or [F.lit(1)]))
-    return F.least(F.col(value), F.percentile(value, share).over(w))
+def winsorized(df: DataFrame, value: str, out: str, share: float = 0.99, keys: list[str] = ()) -> DataFrame:
+    """``df`` with ``out``: values cut at a quantile of their keys, or of the whole table. Quantiles come from one aggregate and
+    are joined back, so no task holds a key's rows; null keys are a key."""
+    from .windows import spare
+
+    names = [spare(df.columns, f"_k{i}") for i in range(len(keys))]
+    most = spare(df.columns, "_most")
+    q = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg(F.percentile(value, share).alias(most))
+    if keys:
+        same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]
+        joined = df.join(q, same)
+    else:
+        joined = df.crossJoin(q)  # one row
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], F.when(F.col(value).isNotNull(), F.least(F.col(value), F.col(most))).alias(out))
 
 
 def quantiles(df: DataFrame, groups: list[str], value: str, at: list[float]) -> DataFrame:

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 from .windows import spare
 
@@ -102,8 +103,18 @@ def split(df: DataFrame, stratum: str, key: str, first: int, names: tuple[str, s
 
 
 def public_ids(df: DataFrame, order: list[Column | str], pattern: str = "CTX-%03d", out: str = "review_id") -> DataFrame:
-    """Numbers a sample (a small table) in the given order."""
-    return df.withColumn(out, F.format_string(pattern, F.row_number().over(Window.orderBy(*order))))
+    """Numbers rows in the given order. A number, date or time in front orders any number of rows without one window; other
+    orders are for samples."""
+    from .windows import row_index
+
+    cols = [spare(df.columns, f"_o{i}") for i in range(len(order))]
+    held = df.select("*", *[(F.col(o) if isinstance(o, str) else o).alias(c) for o, c in zip(order, cols, strict=True)])
+    place = spare([*df.columns, *cols], "_place")
+    if isinstance(held.schema[cols[0]].dataType, NumericType | DateType | TimestampType | TimestampNTZType):
+        placed = row_index(held, cols, place).withColumn(place, F.col(place) + 1)
+    else:
+        placed = held.withColumn(place, F.row_number().over(Window.orderBy(*cols)))
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], F.format_string(pattern, F.col(place)).alias(out))
 
 
 def packets(df: DataFrame, key: str, annotators: list[str], blinded: list[str]) -> dict[str, DataFrame]:

@@ -17,7 +17,7 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..functions import time as C
 from ..operators import aggregates as A
-from ..operators import agglomerate, clustering, corex, density, neardup, projection
+from ..operators import agglomerate, clustering, corex, density, neardup, projection, reduction
 from ..operators import dedup as D
 from ..operators import joins as J
 from ..operators import sampling as Q
@@ -216,7 +216,7 @@ def quantiles(spark, d):
 
 @query(f"WITH q AS (SELECT area, quantile_cont(value, 0.99) AS q FROM {MKT} GROUP BY 1) SELECT area, round(sum(least(value, q)), 2) AS winsorized FROM {MKT} JOIN q USING (area) GROUP BY 1")
 def winsorized(spark, d):
-    return market(spark, d).withColumn("w", A.winsorized("value", 0.99, ["area"])).groupBy("area").agg(F.round(F.sum("w"), 2).alias("winsorized"))
+    return A.winsorized(market(spark, d), "value", "w", 0.99, ["area"]).groupBy("area").agg(F.round(F.sum("w"), 2).alias("winsorized"))
 
 
 @query("SELECT count(l_quantity) AS count, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS std, min(l_quantity) AS min, quantile_cont(l_quantity, 0.25) AS q25, quantile_cont(l_quantity, 0.5) AS q50, quantile_cont(l_quantity, 0.75) AS q75, max(l_quantity) AS max FROM lineitem")
@@ -417,7 +417,8 @@ def sample_split(spark, d):
 
 @query("SELECT item_id, printf('CTX-%03d', row_number() OVER (ORDER BY md5('7:' || item_id), item_id)) AS review_id FROM benchmark")
 def public_ids(spark, d):
-    return Q.public_ids(t(spark, d, "benchmark").select("item_id"), [Q.draw("item_id", 7), "item_id"])
+    lead = F.conv(F.substring(Q.draw("item_id", 7), 1, 12), 16, 10).cast("long")  # a number that stands as the hash does
+    return Q.public_ids(t(spark, d, "benchmark").select("item_id"), [lead, Q.draw("item_id", 7), "item_id"])
 
 
 # --- statistics -------------------------------------------------------------------------------------------------------
@@ -641,6 +642,14 @@ def anchored_topic_words(spark, d):
     return rounded(words)
 
 
+@query()
+def reduced_topics(spark, d):
+    """The documents' sources as topics, merged while their words are alike."""
+    docs = t(spark, d, "documents").select(F.regexp_extract("source", r"(\d+)", 1).try_cast("int").alias("topic"), "text")
+    labels, _ = reduction.reduced_topics(M.terms(docs, "topic", "text").withColumnRenamed("tf", "n"), 0.8)
+    return labels
+
+
 @query()
 def topic_discovery(spark, d):
     """All vectors, projected to five dimensions, then grouped by density."""
