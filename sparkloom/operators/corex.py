@@ -88,9 +88,11 @@ def updated(words: list[str], held: np.ndarray, sums: np.ndarray, mass: np.ndarr
     return Model(words, alpha, with_topic, without, alone, share, information, np.zeros(len(share)))
 
 
-def vocabulary(terms: DataFrame, documents: int, min_df: int, max_share: float, max_terms: int) -> DataFrame:
-    """(term, held): words in at least ``min_df`` documents and at most ``max_share`` of them; of more than ``max_terms``, the most frequent."""
-    held = terms.select("doc", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("held"))
+def vocabulary(bags: DataFrame, documents: int, min_df: int, max_share: float, max_terms: int) -> DataFrame:
+    """(term, held): words in at least ``min_df`` documents and at most ``max_share`` of them; of more than ``max_terms``, the most frequent.
+
+    ``bags``: rows with ``words``, an array; what moves is a count for each word and task."""
+    held = bags.select(F.explode(F.array_distinct("words")).alias("term")).where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("held"))
     return held.where((F.col("held") >= min_df) & (F.col("held") <= max_share * documents)).orderBy(F.desc("held"), "term").limit(max_terms)
 
 
@@ -99,23 +101,28 @@ def beginnings(topics: int, seed: int):
     return F.array(*[F.pmod(F.xxhash64("doc", F.lit(j), F.lit(seed)), F.lit(1 << 20)) / float(1 << 20) for j in range(topics)])
 
 
-def fit(docs: DataFrame, terms: DataFrame, topics: int = 10, anchors: list[list[str]] = (), strength: float = 3.0, seed: int = 42, rounds: int = 30, tolerance: float = 1e-4, min_df: int = 5, max_share: float = 0.8, max_terms: int = 20_000) -> tuple[Model, DataFrame]:
-    """(model, documents): ``docs`` holds every key as ``doc`` once, ``terms`` rows (doc, term), repeats without effect.
+def fit(docs: DataFrame, topics: int = 10, anchors: list[list[str]] = (), strength: float = 3.0, seed: int = 42, rounds: int = 30, tolerance: float = 1e-4, min_df: int = 5, max_share: float = 0.8, max_terms: int = 20_000) -> tuple[Model, DataFrame]:
+    """(model, documents): ``docs`` holds every key as ``doc`` once and its ``words``, an array, repeats without effect.
 
     The second result is (doc, ids), for ``label``. Anchor words outside the vocabulary have no effect; a document without
-    words of the vocabulary is one whose words are all absent; null terms are left out; an empty vocabulary is an error.
+    words of the vocabulary is one whose words are all absent; null words and arrays are empty; an empty vocabulary is an
+    error.
     """
-    terms = terms.where("term is not null")
     n = docs.count()
-    rows = vocabulary(terms, n, min_df, max_share, max_terms).collect()  # at most max_terms
+    rows = vocabulary(docs, n, min_df, max_share, max_terms).collect()  # at most max_terms
     if not rows:
         raise ValueError("no word is in enough documents")
     words, held = [r[0] for r in rows], np.array([r[1] for r in rows], float)
     number = {w: i for i, w in enumerate(words)}
     fixed = {(number[w], j): strength for j, group in enumerate(anchors) for w in group if w in number}
-    named = docs.sparkSession.createDataFrame(list(number.items()), "term string, id int")
-    bags = terms.join(F.broadcast(named), "term").groupBy("doc").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    data = durable(docs.select("doc").join(bags, "doc", "left").select("doc", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"), beginnings(topics, seed).alias("p")), "bags")
+    kind = docs.schema["doc"].dataType.simpleString()
+
+    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            ids = [sorted({number[w] for w in ws if w in number}) if ws is not None else [] for ws in f["words"]]
+            yield pd.DataFrame({"doc": f["doc"], "ids": ids})
+
+    data = durable(docs.select("doc", "words").mapInPandas(coded, f"doc {kind}, ids array<int>").withColumn("p", beginnings(topics, seed)), "bags")
 
     def summed(given: tuple | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,14 +178,14 @@ def label(model: Model, bags: DataFrame, kind: str) -> DataFrame:
 
 
 def anchored_topics(df: DataFrame, doc: str, text: str, stop: list[str] = (), top: int = 10, **options) -> tuple[DataFrame, DataFrame]:
-    """(words, documents): (topic, rank, term, information, strength) and (doc, topic, p), by the words of ``semantic.dtm_terms``.
+    """(words, documents): (topic, rank, term, information, strength) and (doc, topic, p), by lower-case letter words without stop words, unless
+    they are anchors.
 
     Keys must be unique and not null. A null text has no words."""
-    from .semantic import dtm_terms
-
-    keep = [w for g in options.get("anchors", ()) for w in g]
-    terms = dtm_terms(df, doc, text, list(stop), keep).select(F.col(doc).alias("doc"), "term")
-    docs = df.select(F.col(doc).alias("doc"))
-    model, bags = fit(docs, terms, **options)
-    words = df.sparkSession.createDataFrame(model.top_words(top), "topic int, rank int, term string, information double, strength double")
-    return words, label(model, bags, docs.schema["doc"].dataType.simpleString())
+    keep = {w for g in options.get("anchors", ()) for w in g}
+    drop = [w for w in stop if w not in keep]
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z]+"), F.lit(0)))
+    docs = df.select(F.col(doc).alias("doc"), (F.array_except(words, F.array(*map(F.lit, drop))) if drop else words).alias("words"))
+    model, bags = fit(docs, **options)
+    found = df.sparkSession.createDataFrame(model.top_words(top), "topic int, rank int, term string, information double, strength double")
+    return found, label(model, bags, docs.schema["doc"].dataType.simpleString())
