@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import durable
+
+#: Ranges into which ``row_index`` deals rows at most.
+RANGES = 1000
+
 
 def spare(columns: list[str], base: str) -> str:
     """``base``, with underscores behind it until no column has that name: for helper columns beside a caller's own."""
@@ -93,19 +98,16 @@ def z_score(value: str, keys: list[str]) -> Column:
 
 
 def row_index(df: DataFrame, order: list[str], out: str = "source_row", chunk_rows: int = 200_000) -> DataFrame:
-    """A gapless index from 0 in the total order of ``order``, whose first column is a number, date or time.
+    """A gapless index from 0 in the total order of ``order``.
 
-    Approximate quantiles of that column cut the rows into buckets in order; rows are numbered within a bucket and
-    only the buckets' sizes, a row each, meet in one place. Equal leading values share a bucket.
+    Rows are dealt to ranges of all of ``order``, so equal leading values spread too, sorted there and written once with their
+    place; only the ranges' sizes, a row each, meet in one place. A range is about ``chunk_rows`` rows, more beyond ``RANGES`` of them.
     """
-    n = max(1, -(-df.count() // chunk_rows))
-    kind = df.schema[order[0]].dataType.typeName()
-    lead = F.unix_micros(F.col(order[0]).cast("timestamp")).cast("double") if kind in ("date", "timestamp", "timestamp_ntz") else F.col(order[0]).cast("double")
-    cuts = df.agg(F.percentile_approx(lead, [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else []
-    bucket = sum((F.coalesce(lead >= c, F.lit(False)).cast("int") for c in sorted(set(cuts or []))), F.lit(0))
-    p, r, b = (spare(df.columns, c) for c in ("_p", "_r", "_b"))
-    dealt = df.withColumn(p, bucket)
-    ranked = dealt.withColumn(r, F.row_number().over(Window.partitionBy(p).orderBy(*order)) - 1)
+    n = min(RANGES, max(1, -(-df.count() // chunk_rows)))
+    p, r, b = (spare([*df.columns, out], c) for c in ("_p", "_r", "_b"))
+    place = F.monotonically_increasing_id()  # the partition, then 33 bits for the row in it
+    ranked = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(r, place)
+    ranked = durable(ranked, "row-index").withColumn(p, F.shiftright(r, 33))
     before = Window.orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
-    base = dealt.groupBy(p).agg(F.count(F.lit(1)).alias("n")).select(p, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(b))
-    return ranked.join(base, p).select(*[F.col(f"`{c}`") for c in df.columns], (F.col(b) + F.col(r)).cast("long").alias(out))
+    base = ranked.groupBy(p).agg(F.count(F.lit(1)).alias("n")).select(p, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(b))
+    return ranked.join(F.broadcast(base), p).select(*[F.col(f"`{c}`") for c in df.columns], (F.col(b) + F.col(r).bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias(out))

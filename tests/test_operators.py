@@ -74,6 +74,14 @@ def test_row_index_with_ties_and_chunks(spark):
     assert got == {i: i for i in range(500)}
 
 
+def test_row_index_of_very_many_chunks(spark, monkeypatch):
+    """A bucket a chunk, written as one sum of conditions, broke the parser's stack."""
+    monkeypatch.setattr(W, "RANGES", 8, raising=False)
+    d = spark.range(4000).select(F.col("id").alias("b"), (F.col("id") % 3000).alias("a"))
+    got = [r.b for r in W.row_index(d, ["a", "b"], "n", chunk_rows=1).orderBy("n").collect()]
+    assert got == sorted(range(4000), key=lambda i: (i % 3000, i))
+
+
 def test_waterfall_and_unknown_units(spark):
     d = spark.createDataFrame([("x", 1, ""), ("x", 2, None), ("y", 3, "u"), ("y", 4, "u")], "k string, n int, author string")
     rows, flow = A.exclusion_waterfall(d, [("one", F.col("n") == 1), ("author", F.col("author") == "u")], "k")
