@@ -82,15 +82,16 @@ def benjamini_hochberg(df: DataFrame, p: str, key: str, groups: list[str] = (),
     known, none = df.where(F.col(p).isNotNull()), df.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double"))
     if groups:
         w = Window.partitionBy(*groups)
-        d = known.withColumn("_raw", F.col(p) * F.count(p).over(w) / F.row_number().over(w.orderBy(p, key)))
-        tail = w.orderBy(p, key).rowsBetween(0, Window.unboundedFollowing)
-        return d.withColumn(out, F.least(F.lit(1.0), F.min("_raw").over(tail))).drop("_raw").unionByName(none)
+        d = known.withColumn("_i", F.row_number().over(w.orderBy(p, key)))
+        d = d.withColumn("_raw", F.col(p) * F.count(p).over(w) / F.col("_i"))
+        tail = w.orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)  # from the right: a frame that only grows
+        return d.withColumn(out, F.least(F.lit(1.0), F.min("_raw").over(tail))).drop("_raw", "_i").unionByName(none)
     total = known.count()
     d = row_index(known, [p, key], "_i", chunk_rows).withColumn("_raw", F.col(p) * F.lit(float(total)) / (F.col("_i") + 1)).withColumn("_c", F.floor(F.col("_i") / chunk_rows))
     least = d.groupBy("_c").agg(F.min("_raw").alias("_m"))
     later = Window.orderBy(F.desc("_c")).rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
     least = least.select("_c", F.min("_m").over(later).alias("_later"))
-    tail = Window.partitionBy("_c").orderBy("_i").rowsBetween(0, Window.unboundedFollowing)
+    tail = Window.partitionBy("_c").orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)  # from the right: a frame that only grows
     d = d.withColumn("_raw", F.min("_raw").over(tail)).join(least, "_c")
     return d.select(*df.columns, F.least(F.lit(1.0), F.col("_raw"), F.coalesce("_later", F.lit(1.0))).alias(out)).unionByName(none)
 

@@ -269,6 +269,13 @@ def test_false_discovery_in_chunks_equals_one_window(spark):
     assert all(abs(whole[k] - parts[k]) < 1e-12 for k in range(300))
 
 
+def test_false_discovery_frames_only_grow(spark):
+    """A frame from a row to the end is added up anew for each row: the square of a chunk's rows."""
+    d = spark.createDataFrame([(i, i / 50) for i in range(50)], "k int, p double")
+    for q in (K.benjamini_hochberg(d, "p", "k", chunk_rows=20), K.benjamini_hochberg(d.withColumn("g", F.lit(1)), "p", "k", ["g"])):
+        assert "unboundedfollowing" not in q._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_helper_columns_leave_the_callers_alone(spark):
     d = spark.createDataFrame([(1, "a", 5, 7, 9), (2, "a", 6, 8, 9), (3, "b", 7, 9, 9)], "id int, g string, _n int, _k0 int, _s int")
     assert sorted(map(tuple, Q.per_group(d, ["g"], "id", 1).select("g", "_n").collect())) and "_n" in Q.per_group(d, ["g"], "id", 1).columns
