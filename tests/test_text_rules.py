@@ -179,3 +179,24 @@ def test_every_route_has_a_reason(spark):
     d = spark.createDataFrame(rows, "t string, p string, a string")
     got = d.select(R.triage("t", "p", "a").alias("route"), R.triage("t", "p", "a", reasons=True).alias("why")).collect()
     assert all(R.TRIAGE_REASONS[r.route] == r.why for r in got) and len({r.route for r in got}) == 6
+
+
+def _patterns(df) -> int:
+    return df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(")
+
+
+def test_a_key_is_made_once_for_all_its_words(spark):
+    """Each of the words had the whole key computed anew."""
+    d = spark.createDataFrame([("Rent, RENT at www.x.y the-marina",)], "t string")
+    words = ["rent", "x.y", "the-marina", *[f"word{i}" for i in range(40)]]
+    hits = d.select(T.substring_hits("t", words).alias("h"))
+    assert _patterns(hits) <= 2 and hits.first().h == ["rent", "the-marina"]
+    filler = d.select(T.max_shingle_repeat(F.concat_ws(" ", F.array_repeat("t", 9)), 5).alias("n"))
+    assert _patterns(filler) == 1 and filler.first().n == 9
+
+
+def test_keys_take_one_pattern_beside_links(spark):
+    d = spark.createDataFrame([("@A  b#c -- d_e/f\tx\u00e9y http://q.r/s z!",)], "t string")
+    keys = d.select(T.text_key("t").alias("a"), T.match_key("t").alias("b"))
+    assert tuple(keys.first()) == ("a b c d e f x y z", "a b c -- d_e/f x y z")
+    assert _patterns(d.select(T.text_key("t").alias("k"))) == 2 and _patterns(d.select(T.match_key("t").alias("k"))) == 2
