@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -115,19 +116,52 @@ def match_key(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(drop_lower_urls(F.lower(text_of(c))), r"[^a-z0-9\-_/+.%]+", " "))
 
 
+def _any_of(points: Iterable[int]) -> str:
+    """A pattern for one of the characters, none of them ASCII, which are passed over by one test."""
+    runs: list[list[int]] = []
+    for p in sorted(points):
+        if runs and runs[-1][1] == p - 1:
+            runs[-1][1] = p
+        else:
+            runs.append([p, p])
+    return r"[[^\x00-\x7F]&&[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]]"
+
+
+@cache
+def _not_composed() -> frozenset[int]:
+    """Characters that may change in Unicode NFC, or change what stands before them: a text without them is in NFC."""
+    out = {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}  # later parts of Hangul syllables
+    for p in range(0x80, 0x110000):
+        x = chr(p)
+        if unicodedata.combining(x) or not unicodedata.is_normalized("NFC", x):
+            out.add(p)
+        parts = unicodedata.decomposition(x).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            out.add(int(parts[1], 16))
+    return frozenset(p for p in out if p > 0x7F)
+
+
+@cache
+def _not_folded() -> frozenset[int]:
+    """Characters whose case folding is not what lower case makes of them; the sharp s is seen to apart."""
+    plain = lambda p, x: p < 0x530 and p not in (0x130, 0x3A3) and x.casefold() == x.lower()
+    return frozenset(p for p in range(0x80, 0x110000) if (x := chr(p)).casefold() != x and not plain(p, x) and x != "\u00df")
+
+
 def repeat_key(c: Column | str) -> Column:
-    """Raw text in Unicode NFC, case-folded and squeezed: links, digits and negations stay."""
-    t = text_of(c)
+    """Raw text in Unicode NFC, case-folded and squeezed: links, digits and negations stay. Only texts with a character that
+    may change in NFC, or is folded to other than its lower case, go through the Arrow UDF."""
 
     def fold(x: str) -> str:
         return unicodedata.normalize("NFC", x).casefold()
 
-    return squeeze(F.lower(_mapped(t, r"[^\x00-\x7F]", fold)))
+    folded = _mapped(text_of(c), _any_of(_not_composed() | _not_folded()), fold)
+    return squeeze(F.lower(F.replace(folded, F.lit("\u00df"), F.lit("ss"))))
 
 
 def nfc(c: Column | str) -> Column:
-    """Unicode NFC, for which Spark has no expression; only texts beyond ASCII go through the Arrow UDF."""
-    return _mapped(col(c).cast("string"), r"[^\x00-\x7F]", lambda t: unicodedata.normalize("NFC", t))
+    """Unicode NFC, for which Spark has no expression; only texts with a character that may change go through the Arrow UDF."""
+    return _mapped(col(c).cast("string"), _any_of(_not_composed()), lambda t: unicodedata.normalize("NFC", t))
 
 
 #: Characters that are shown as pictures.

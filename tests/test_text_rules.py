@@ -200,3 +200,21 @@ def test_keys_take_one_pattern_beside_links(spark):
     keys = d.select(T.text_key("t").alias("a"), T.match_key("t").alias("b"))
     assert tuple(keys.first()) == ("a b c d e f x y z", "a b c -- d_e/f x y z")
     assert _patterns(d.select(T.text_key("t").alias("k"))) == 2 and _patterns(d.select(T.match_key("t").alias("k"))) == 2
+
+
+def test_repeat_keys_of_common_letters_stay_in_the_jvm(spark):
+    """Every text beyond ASCII went through Python, whose memory grew with them."""
+    import random
+    import unicodedata
+
+    seen = spark.createDataFrame([("\u00dcber Stra\u00dfen \u201cCaf\u00e9\u201d \u0416",), ("a\u0301",), ("\u0130",), ("\u1e9e",), ("\u03a3\u03c2",), ("\u212b",), ("\u1100\u1161",)], "t string")
+    assert [r.x for r in seen.select(F.col("t").rlike(T._any_of(T._not_composed() | T._not_folded())).alias("x")).collect()] == [False, True, True, True, True, True, True]
+    rnd = random.Random(3)
+    ranges = [(0x20, 0x7F), (0xA0, 0x530), (0x300, 0x370), (0x1100, 0x1200), (0x13A0, 0x1400), (0x1E00, 0x2000), (0xAC00, 0xAC20), (0xFB00, 0xFB07), (0x10400, 0x10450)]
+    texts = ["x" + "".join(chr(rnd.randrange(*rnd.choice(ranges))) for _ in range(rnd.randrange(1, 9))) + "x" for _ in range(3000)]
+    texts = [t for t in texts if not any(c.isspace() for c in t.replace(" ", ""))]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.repeat_key("t").alias("k"), T.nfc("t").alias("n")).collect()
+    lower = {r.c: r.l for r in spark.createDataFrame([(c,) for c in {c for t in texts for c in unicodedata.normalize("NFC", t).casefold()}], "c string").select("c", F.lower("c").alias("l")).collect()}
+    for r in got:
+        assert r.n == unicodedata.normalize("NFC", texts[r.i])
+        assert r.k == " ".join("".join(lower[c] for c in r.n.casefold()).split()), ascii(texts[r.i])
