@@ -8,11 +8,13 @@ the vocabulary and topic, and the vocabulary is limited by a parameter. Anchored
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,6 +98,26 @@ def vocabulary(bags: DataFrame, documents: int, min_df: int, max_share: float, m
     return held.where((F.col("held") >= min_df) & (F.col("held") <= max_share * documents)).orderBy(F.desc("held"), "term").limit(max_terms)
 
 
+def coded(words: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches (doc, words) as (doc, ids), the sorted numbers of a document's words among ``words``, ``STRIP`` documents at a time:
+    words stay in Arrow's buffers and never are objects of Python."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(words, pa.string())
+        for whole in batches:
+            for at in range(0, whole.num_rows, STRIP):
+                b = whole.slice(at, STRIP)
+                bags = b.column(1)
+                found = pc.index_in(bags.flatten().cast(pa.string()), value_set=known)
+                row, number = pc.list_parent_indices(bags).filter(found.is_valid()).to_numpy(), found.drop_null().to_numpy()
+                pairs = np.unique(row.astype(np.int64) * len(words) + number)
+                ends = np.searchsorted(pairs, np.arange(b.num_rows + 1) * len(words))
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pairs % len(words), pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column(0), ids], names=["doc", "ids"])
+
+    return run
+
+
 def beginnings(topics: int, seed: int):
     """Seeded first probabilities of a document's topics, from its key alone."""
     return F.array(*[F.pmod(F.xxhash64("doc", F.lit(j), F.lit(seed)), F.lit(1 << 20)) / float(1 << 20) for j in range(topics)])
@@ -117,12 +139,7 @@ def fit(docs: DataFrame, topics: int = 10, anchors: list[list[str]] = (), streng
     fixed = {(number[w], j): strength for j, group in enumerate(anchors) for w in group if w in number}
     kind = docs.schema["doc"].dataType.simpleString()
 
-    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in batches:
-            ids = [sorted({number[w] for w in ws if w in number}) if ws is not None else [] for ws in f["words"]]
-            yield pd.DataFrame({"doc": f["doc"], "ids": ids})
-
-    data = durable(docs.select("doc", "words").mapInPandas(coded, f"doc {kind}, ids array<int>").withColumn("p", beginnings(topics, seed)), "bags")
+    data = durable(docs.select("doc", "words").mapInArrow(coded(words), f"doc {kind}, ids array<int>").withColumn("p", beginnings(topics, seed)), "bags")
 
     def summed(given: tuple | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -82,3 +82,15 @@ def test_topics_of_texts(spark):
     assert sum(right) / len(right) > 0.75  # an anchor weighs three times as much as any word, and three in ten documents lack theirs
     with pytest.raises(ValueError):
         corex.fit(df.limit(0).selectExpr("k as doc", "split(text, ' ') as words"))
+
+
+def test_words_are_numbered_in_small_batches():
+    """A batch's words were all objects of Python at once, so memory grew with the rows of a batch."""
+    import pyarrow as pa
+
+    bags = [["b", "x", "a", "b"], None, [], [None, "c"], ["x"]] * 300
+    whole = pa.RecordBatch.from_arrays([pa.array(range(1505)), pa.array([["c"]] * 5 + bags)], names=["doc", "words"]).slice(5)
+    out = list(corex.coded(["c", "b", "a"])([whole]))
+    assert max(b.num_rows for b in out) <= corex.STRIP and len(out) > 1
+    got = pa.Table.from_batches(out).to_pydict()
+    assert got["doc"] == list(range(5, 1505)) and got["ids"] == [[1, 2], [], [], [0], []] * 300
