@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,25 @@ def test_audit_of_kinds_in_one_plan(spark, monkeypatch):
     assert all(same == (who[a] == who[b] != "") for (_, a, b), (_, same) in got.items())
     assert not any("one" in p for p in got)
     assert neardup.near_duplicate_audit(d.where(F.lit(False)), "key", "t", "kind", "who").count() == 0
+
+
+@pytest.mark.parametrize("vocabulary", [1 << 20, 60])
+def test_runs_move_packed_and_rare_ones_are_joined(spark, monkeypatch, vocabulary):
+    """Runs of characters were rows, and a document's vector moved once for every 1,024 others."""
+    monkeypatch.setattr(neardup, "VOCABULARY", vocabulary)
+    monkeypatch.setattr(neardup, "BLOCK", 30)
+    texts = dict(enumerate([*near(6, 100), "", "  ", "a", "ß 𝄞𝄞 x", None, "Tin  rose\nrose", "tin rose rose tin rose rose"]))
+    d = spark.createDataFrame(list(texts.items()), "id int, text string")
+    got = {(r.a, r.b): round(r.similarity, 6) for r in neardup.nearest_by_char_runs(d, "id", "text", 0.7).collect()}
+    want = {p: round(s, 6) for p, s in nearest({k: v for k, v in vectors({k: t or "" for k, t in texts.items()}, 2).items() if v}, 0.7).items()}
+    assert {k for p in got for k in p} == {k for p in want for k in p} and len(want) > 30
+    for k in {k for p in want for k in p}:
+        assert max(s for p, s in got.items() if k in p) == max(s for p, s in want.items() if k in p)
+    assert (105, 106) in got and got[105, 106] == 1.0
+
+
+def test_a_packed_document_takes_few_bytes():
+    rnd = np.random.default_rng(0)
+    ids, tf = np.sort(rnd.choice(1 << 18, 2000, replace=False)), rnd.geometric(0.7, 2000)
+    b = neardup._packed(ids, tf)
+    assert all((x == y).all() for x, y in zip(neardup._unpacked(b), (ids, tf), strict=True)) and len(b) < 2000 * 4
