@@ -67,3 +67,16 @@ def test_no_topics(spark):
     empty = spark.createDataFrame([], "topic int, term string, n long")
     labels, merges = reduction.reduced_topics(empty)
     assert labels.count() == 0 and merges.count() == 0
+
+
+def test_words_are_read_once(spark, monkeypatch):
+    """Each round was a search over all words of all topics; both ways give the same merges."""
+    rows = texts(3)
+    sums = spark.createDataFrame(rows, "topic long, text string").select("topic", F.explode(F.split("text", " ")).alias("term"), F.lit(1).alias("n"))
+    asked = []
+    search = reduction.best_neighbour
+    monkeypatch.setattr(reduction, "best_neighbour", lambda *a: asked.append(1) or search(*a))
+    once = {(r["round"], r.a, r.b, round(r.similarity, 6)) for r in reduction.reduced_topics(sums, 0.3)[1].collect()}
+    assert not asked and len(once) > 5
+    monkeypatch.setattr(reduction, "MANY", 2)
+    assert {(r["round"], r.a, r.b, round(r.similarity, 6)) for r in reduction.reduced_topics(sums, 0.3)[1].collect()} == once and asked
