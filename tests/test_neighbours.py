@@ -117,3 +117,33 @@ def test_a_packed_document_takes_few_bytes():
     ids, tf = np.sort(rnd.choice(1 << 18, 2000, replace=False)), rnd.geometric(0.7, 2000)
     b = neardup._packed(ids, tf)
     assert all((x == y).all() for x, y in zip(neardup._unpacked(b), (ids, tf), strict=True)) and len(b) < 2000 * 4
+
+
+def test_only_leading_hashes_are_rows_and_families_hold(spark, monkeypatch):
+    """Every hash of every text was a row, and every set moved for each side of the candidates."""
+    rnd = random.Random(5)
+    line = "one common line that very many of the texts share word for word here"
+    base = [[f"w{rnd.randrange(4000)}" for _ in range(60)] for _ in range(25)]
+    rows = []
+    for k in range(75):
+        w = list(base[k % 25])
+        w[rnd.randrange(60)] = f"x{k}"
+        rows.append((k, " ".join([line, *w] if k % 2 else w)))
+    rows += [(k + 100, t) for k, t in rows[:10]]
+    d = spark.createDataFrame(rows, "id int, text string")
+    prefix, *_ = neardup._prefixes(d, "id", "text", 0.85, 5, 20)
+    assert prefix.groupBy("rep").count().agg(F.max("count")).first()[0] <= 0.15 * 70 + 2
+    s = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in rows}
+    root = {k: k for k in s}
+    for _ in s:
+        for a in s:
+            for b in s:
+                if len(s[a] & s[b]) / len(s[a] | s[b]) >= 0.85:
+                    root[a] = root[b] = min(root[a], root[b])
+        if all(root[root[k]] == root[k] for k in s):
+            break
+    want = dict(root)
+    for asked in (1 << 22, 3):
+        monkeypatch.setattr(neardup, "ASKED", asked)
+        got = {r.key: r.family for r in neardup.near_families(d, "id", "text").collect()}
+        assert got == want and len(set(want.values())) < 75
