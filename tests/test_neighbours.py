@@ -147,3 +147,35 @@ def test_only_leading_hashes_are_rows_and_families_hold(spark, monkeypatch):
         monkeypatch.setattr(neardup, "ASKED", asked)
         got = {r.key: r.family for r in neardup.near_families(d, "id", "text").collect()}
         assert got == want and len(set(want.values())) < 75
+
+
+def shuffled(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_no_document_moves_for_every_block(spark, monkeypatch):
+    """A packed document was shuffled once for every block of its kind, and those files stayed."""
+    texts = dict(enumerate(near(8, 120)))
+    d = spark.createDataFrame(list(texts.items()), "id int, text string")
+    want = nearest(vectors(texts, 2), 0.7)
+    moved = []
+    for largest in (1 << 14, 8):
+        monkeypatch.setattr(neardup, "LARGEST", largest)
+        before = shuffled(spark)
+        got = {(r.a, r.b): round(r.similarity, 6) for r in neardup.nearest_by_char_runs(d, "id", "text", 0.7).collect()}
+        moved.append(shuffled(spark) - before)
+        assert {k for p in got for k in p} == {k for p in want for k in p} and len(want) > 30
+        assert all(max(s for p, s in got.items() if k in p) == round(max(s for p, s in want.items() if k in p), 6) for q in want for k in q)
+    assert moved[1] < 2 * moved[0]
+
+
+def test_shuffles_behind_a_written_table_go_at_once(spark):
+    from sparkloom.operators.scratch import durable
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: str(disk.getAllBlocks()).count("shuffle_")
+    before = files()
+    t = durable(spark.range(1000).repartition(3, "id"), "moved")
+    assert files() <= before and t.count() == 1000
