@@ -179,3 +179,12 @@ def test_shuffles_behind_a_written_table_go_at_once(spark):
     before = files()
     t = durable(spark.range(1000).repartition(3, "id"), "moved")
     assert files() <= before and t.count() == 1000
+
+
+def test_shingle_sets_of_all_texts_are_not_written(spark, monkeypatch):
+    """The sets of all texts were written, which took more room than the texts."""
+    written = []
+    monkeypatch.setattr(neardup, "_durable", lambda df, tag: written.append(df.columns) or df)
+    d = spark.createDataFrame([(k, " ".join(f"w{k + i}" for i in range(30))) for k in range(3)], "id int, text string")
+    neardup._prefixes(d, "id", "text", 0.85, 5, 20)
+    assert written and not any("s" in columns for columns in written)
